@@ -163,10 +163,13 @@ def daily_factors(
     return rows.filter(F.abs("value") > ZERO) if significant_only else rows
 
 
-def factor_summary(schedule: DataFrame, keys: Sequence[str], significant_only: bool = False) -> DataFrame:
+def factor_summary(
+    schedule: DataFrame, keys: Sequence[str], significant_only: bool = False, linear: bool = False
+) -> DataFrame:
     """Number of daily factors and their date ranges, worked out per element instead of per day.
 
-    With ``significant_only`` elements whose daily weight is about zero do not count.
+    With ``significant_only`` elements whose daily weight is about zero do not count. Linear factors
+    are all incurred on the element's first day and have no extra last day.
     """
     has_up = F.col("up_days") > 0
     has_dist = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
@@ -176,16 +179,16 @@ def factor_summary(schedule: DataFrame, keys: Sequence[str], significant_only: b
             F.abs(F.col("distribution") / F.col("dist_days") / F.col("element_days")) > ZERO
         )
     start = F.col("element_start")
-    last_incurred = F.greatest(
-        F.when(has_up, start), F.when(has_dist, F.date_add(start, F.col("element_days") - 1))
-    )
+    last_start = F.lit(0) if linear else F.col("element_days") - 1
+    exposed_days = F.col("dist_days") - 1 if linear else F.col("dist_days")
+    last_incurred = F.greatest(F.when(has_up, start), F.when(has_dist, F.date_add(start, last_start)))
     last_exposed = F.greatest(
         F.when(has_up, F.date_add(start, F.col("up_days") - 1)),
-        F.when(has_dist, F.date_add(start, F.col("element_days") - 1 + F.col("dist_days"))),
+        F.when(has_dist, F.date_add(start, last_start + exposed_days)),
     )
     first = F.when(has_up | has_dist, start)
     count = F.when(has_up, F.col("up_days")).otherwise(0).cast("long") + F.when(
-        has_dist, F.col("element_days").cast("long") * (F.col("dist_days") + 1)
+        has_dist, F.col("element_days").cast("long") * (exposed_days + 1)
     ).otherwise(0)
     return schedule.groupBy(*keys).agg(
         F.sum(count).alias("factors_count"),

@@ -57,7 +57,7 @@ def result_cells(
     incurred_set, exposure_set, _ = parse_selector(selector)
     keys = list(keys)
     schedule = config_schedule(configs, keys)
-    spans = factor_summary(schedule, keys, significant_only=True) if ranges is None else ranges
+    spans = factor_summary(schedule, keys, significant_only=True, linear=linear) if ranges is None else ranges
     start = F.col("start_date")
     incurred_ends = buckets.period_set(
         incurred_set, start, F.col("min_exposed"), F.col("max_exposed"), F.col("max_incurred"), F.col("incurred_unit")

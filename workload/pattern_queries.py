@@ -677,36 +677,3 @@ def j13(spark, sf_dir):
     lines = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
     known = lines.join(orders.select(F.col("pattern_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     return buckets.assign_bucket_by_key(known, "day", per_order, ["l_orderkey"])
-
-
-# --- results of configuration documents ----------------------------------------------------------
-
-
-def order_configs(spark, sf_dir):
-    """Every order as a configuration document: two to seven elements from its line items."""
-    lines = inputs.table(spark, sf_dir, "lineitem")
-    entry = F.struct(
-        F.col("l_linenumber").alias("at"),
-        F.col("l_extendedprice").alias("price"),
-        F.when(F.col("l_linestatus") == "O", "QUARTER").otherwise("MONTH").alias("type"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_tax")).otherwise(0.0).alias("initial"),
-        F.col("l_discount").alias("distribution"),
-        F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 5).otherwise(-1).cast("int").alias("duration"),
-        F.lit(-1).alias("initialDuration"),
-    )
-    packed = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    documents = inputs.table(spark, sf_dir, "orders").join(packed, "o_orderkey").select(
-        F.col("o_orderkey").alias("config_id"),
-        F.to_date("o_orderdate").alias("start_date"),
-        F.lit(True).alias("calendar"),
-        F.lit(False).alias("linear"),
-        (F.col("o_orderstatus") != "F").alias("end_of_period"),
-        F.lit(100).alias("default_duration"),
-        F.lit("QUARTER").alias("incurred_unit"),
-        F.when(F.col("o_orderstatus") == "P", "YEAR").otherwise("QUARTER").alias("exposed_unit"),
-        F.transform("_e", lambda e: F.struct(
-            e["type"].alias("type"), e["initial"].alias("initial"), e["distribution"].alias("distribution"),
-            e["duration"].alias("duration"), e["initialDuration"].alias("initialDuration"),
-        )).alias("elements"),
-    )
-    return patterns.config_elements(documents)
