@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .joins import lookup_join
 
-SEGMENTS_TYPE = "array<struct<x:double,a:double,b:double,c:double,d:double>>"
+SEGMENTS_TYPE = T.ArrayType(T.StructType([T.StructField(name, T.DoubleType()) for name in "xabcd"]))
 
 
 def _cubic_segments(x: np.ndarray, y: np.ndarray) -> list[dict] | None:
