@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .expand import daily_factors, element_schedule, factor_summary, financial_cells
-from .joins import HOT_ROWS, lookup_join
+from .expand import daily_factors, element_schedule, financial_cells, row_factor_summary, scheduled_elements
+from .joins import HOT_ROWS, lookup_join, spread_rows
 from .patterns import LOSS_CODE, ZERO, consolidate, nest_elements
 
 PAIR = ["pattern_id", "start_date"]
@@ -72,9 +72,12 @@ class CoveragePatterns:
     def pairs(self) -> DataFrame:
         return self.allocations.select(*PAIR).distinct()
 
+    def instances(self) -> DataFrame:
+        """One row per pair with the pattern's elements, spread over all tasks before it expands."""
+        return spread_rows(self.pairs().join(self.pattern_rows, "pattern_id"), PAIR)
+
     def schedule(self) -> DataFrame:
-        instances = self.pairs().join(self.pattern_rows, "pattern_id")
-        return element_schedule(instances, PAIR, clamp=COVERAGE_CLAMP)
+        return element_schedule(self.instances(), PAIR, clamp=COVERAGE_CLAMP)
 
     def pair_factors(self) -> DataFrame:
         """Daily factors per pair; large, meant for a few pairs. Sums come from ``pair_cells``."""
@@ -196,11 +199,15 @@ class CoveragePatterns:
         )
 
     def _pair_analysis(self) -> DataFrame:
-        counts = factor_summary(self.schedule(), PAIR)
-        elements = self.elements.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("total_elements"))
+        counts = (
+            self.instances()
+            .select(*PAIR, scheduled_elements(F.col("start_date"), clamp=COVERAGE_CLAMP).alias("_schedule"))
+            .select(*PAIR, F.size("_schedule").cast("long").alias("total_elements"), *[
+                column.alias(name) for name, column in row_factor_summary("_schedule").items()
+            ])
+        )
         return (
             counts.join(self.pair_vectors(), PAIR, "left")
-            .join(elements, "pattern_id")
             .join(self.names, "pattern_id", "left")
             .select(
                 *PAIR,

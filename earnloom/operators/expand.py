@@ -10,7 +10,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
-from .patterns import ELEMENT_FIELDS, ZERO, whole_days
+from .patterns import ZERO, whole_days
+
+
+def scheduled_elements(start: Column, calendar: Column | bool = True, clamp: str = "calendar") -> Column:
+    """The row's elements with start dates and lengths in days, as one array.
+
+    An element starts where the one before it stops. That length depends on the date, so the starts are
+    folded over the (short) element array of the row. Without the calendar all lengths are nominal
+    30/360 days; ``calendar`` may be a boolean column.
+    """
+
+    def either(by_calendar: Column, nominal: Column) -> Column:
+        if isinstance(calendar, Column):
+            return F.when(calendar, by_calendar).otherwise(nominal)
+        return by_calendar if calendar else nominal
+
+    def add(acc: Column, e: Column) -> Column:
+        at = acc["at"]
+        following = either(cal.advance(at, e["unit"], True, clamp), cal.advance(at, e["unit"], False))
+
+        def length(name: str) -> Column:
+            nominal = whole_days(e[name])
+            return either(cal.normalised_days(at, nominal, clamp), nominal)
+
+        row = F.struct(
+            e["ord"].alias("ord"),
+            e["unit"].alias("unit"),
+            at.alias("element_start"),
+            F.datediff(following, at).alias("element_days"),
+            e["up_front"].alias("up_front"),
+            length("up_front_days").alias("up_days"),
+            e["distribution"].alias("distribution"),
+            length("distribution_days").alias("dist_days"),
+        )
+        return F.struct(following.alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    empty = F.struct(start.alias("at"), F.array().cast(SCHEDULE_TYPE).alias("rows"))
+    return F.aggregate("elements", empty, add, lambda acc: acc["rows"])
+
+
+SCHEDULE_TYPE = (
+    "array<struct<ord:int,unit:string,element_start:date,element_days:int,up_front:double,up_days:int,"
+    "distribution:double,dist_days:int>>"
+)
 
 
 def element_schedule(
@@ -20,55 +63,13 @@ def element_schedule(
     calendar: bool | str = True,
     clamp: str = "calendar",
 ) -> DataFrame:
-    """One row per element with its start date and its lengths in days.
+    """One row per element with its start date and its lengths in days; no shuffle.
 
-    An element starts where the one before it stops. That length depends on the date, so the starts are
-    folded over the (short) element array of the row; no shuffle. ``calendar`` may be the name of a
-    boolean column; without the calendar all lengths are nominal 30/360 days.
+    The array is built inside the generator, so it is worked out once per pattern instance.
     """
-    carried = list(dict.fromkeys([*keys, start] + ([calendar] if isinstance(calendar, str) else [])))
-
-    def next_start(at: Column, element: Column) -> Column:
-        by_calendar = cal.advance(at, element["unit"], True, clamp)
-        nominal = cal.advance(at, element["unit"], False)
-        if isinstance(calendar, str):
-            return F.when(F.col(calendar), by_calendar).otherwise(nominal)
-        return by_calendar if calendar else nominal
-
-    starts = F.aggregate(
-        "elements",
-        F.struct(F.col(start).alias("at"), F.array(F.col(start)).alias("all")),
-        lambda acc, e: F.struct(
-            next_start(acc["at"], e).alias("at"),
-            F.concat(acc["all"], F.array(next_start(acc["at"], e))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-    rows = instances.select(*carried, starts.alias("_starts"), F.posexplode("elements").alias("_pos", "_e")).select(
-        *carried,
-        *[F.col(f"_e.{f}").alias(f) for f in ELEMENT_FIELDS],
-        F.element_at("_starts", F.col("_pos") + 1).alias("element_start"),
-        F.element_at("_starts", F.col("_pos") + 2).alias("_next"),
-    )
-
-    def length(column: str) -> Column:
-        nominal = whole_days(F.col(column))
-        by_calendar = cal.normalised_days("element_start", nominal, clamp)
-        if isinstance(calendar, str):
-            return F.when(F.col(calendar), by_calendar).otherwise(nominal)
-        return by_calendar if calendar else nominal
-
-    return rows.select(
-        *carried,
-        "ord",
-        "unit",
-        "element_start",
-        F.datediff("_next", "element_start").alias("element_days"),
-        "up_front",
-        length("up_front_days").alias("up_days"),
-        "distribution",
-        length("distribution_days").alias("dist_days"),
-    )
+    carried = list(dict.fromkeys([*keys, start]))
+    switch = F.col(calendar) if isinstance(calendar, str) else calendar
+    return instances.select(*carried, F.inline(scheduled_elements(F.col(start), switch, clamp)))
 
 
 # --- daily factors -------------------------------------------------------------------------------
@@ -163,6 +164,30 @@ def daily_factors(
     return rows.filter(F.abs("value") > ZERO) if significant_only else rows
 
 
+def _factor_facts(e, significant_only: bool, linear: bool) -> dict[str, Column]:
+    """Number of daily factors of an element and its date ranges; ``e`` looks up a field of the element."""
+    up_days, dist_days, element_days, start = e("up_days"), e("dist_days"), e("element_days"), e("element_start")
+    has_up = up_days > 0
+    has_dist = (dist_days > 0) & (element_days > 0)
+    if significant_only:
+        has_up = has_up & (F.abs(e("up_front") / up_days) > ZERO)
+        has_dist = has_dist & (F.abs(e("distribution") / dist_days / element_days) > ZERO)
+    last_start = F.lit(0) if linear else element_days - 1
+    exposed_days = dist_days - 1 if linear else dist_days
+    count = F.when(has_up, up_days).otherwise(0).cast("long") + F.when(
+        has_dist, element_days.cast("long") * (exposed_days + 1)
+    ).otherwise(0)
+    return {
+        "factors_count": count,
+        "first": F.when(has_up | has_dist, start),
+        "max_incurred": F.greatest(F.when(has_up, start), F.when(has_dist, F.date_add(start, last_start))),
+        "max_exposed": F.greatest(
+            F.when(has_up, F.date_add(start, up_days - 1)),
+            F.when(has_dist, F.date_add(start, last_start + exposed_days)),
+        ),
+    }
+
+
 def factor_summary(
     schedule: DataFrame, keys: Sequence[str], significant_only: bool = False, linear: bool = False
 ) -> DataFrame:
@@ -171,105 +196,119 @@ def factor_summary(
     With ``significant_only`` elements whose daily weight is about zero do not count. Linear factors
     are all incurred on the element's first day and have no extra last day.
     """
-    has_up = F.col("up_days") > 0
-    has_dist = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
-    if significant_only:
-        has_up = has_up & (F.abs(F.col("up_front") / F.col("up_days")) > ZERO)
-        has_dist = has_dist & (
-            F.abs(F.col("distribution") / F.col("dist_days") / F.col("element_days")) > ZERO
-        )
-    start = F.col("element_start")
-    last_start = F.lit(0) if linear else F.col("element_days") - 1
-    exposed_days = F.col("dist_days") - 1 if linear else F.col("dist_days")
-    last_incurred = F.greatest(F.when(has_up, start), F.when(has_dist, F.date_add(start, last_start)))
-    last_exposed = F.greatest(
-        F.when(has_up, F.date_add(start, F.col("up_days") - 1)),
-        F.when(has_dist, F.date_add(start, last_start + exposed_days)),
-    )
-    first = F.when(has_up | has_dist, start)
-    count = F.when(has_up, F.col("up_days")).otherwise(0).cast("long") + F.when(
-        has_dist, F.col("element_days").cast("long") * (exposed_days + 1)
-    ).otherwise(0)
+    facts = _factor_facts(F.col, significant_only, linear)
     return schedule.groupBy(*keys).agg(
-        F.sum(count).alias("factors_count"),
-        F.min(first).alias("min_incurred"),
-        F.max(last_incurred).alias("max_incurred"),
-        F.min(first).alias("min_exposed"),
-        F.max(last_exposed).alias("max_exposed"),
+        F.sum(facts["factors_count"]).alias("factors_count"),
+        F.min(facts["first"]).alias("min_incurred"),
+        F.max(facts["max_incurred"]).alias("max_incurred"),
+        F.min(facts["first"]).alias("min_exposed"),
+        F.max(facts["max_exposed"]).alias("max_exposed"),
     )
 
 
+def row_factor_summary(schedule: str, significant_only: bool = False, linear: bool = False) -> dict[str, Column]:
+    """The same from a schedule array inside the row: no grouping, no shuffle."""
+
+    def of(name: str) -> Column:
+        return F.transform(schedule, lambda e: _factor_facts(lambda f: e[f], significant_only, linear)[name])
+
+    first = F.array_min(of("first"))
+    return {
+        "factors_count": F.aggregate(of("factors_count"), F.lit(0).cast("long"), lambda acc, n: acc + n),
+        "min_incurred": first,
+        "max_incurred": F.array_max(of("max_incurred")),
+        "min_exposed": first,
+        "max_exposed": F.array_max(of("max_exposed")),
+    }
+
+
 # --- bucket sums without daily rows --------------------------------------------------------------
 
 
-def _ramp(x: Column, n: Column) -> Column:
-    """Sum over y <= x of the share of one day's curve that is exposed by its day y, in days.
+def _ramp(x: Column) -> Column:
+    """Sum over y <= x of the part of one day's curve that is exposed by its day y, in days.
 
-    The curve gives half a day on day 0 and on day n and a whole day in between.
+    The curve gives half a day on day 0 and on day n and a whole day in between, so the sum is
+    quadratic up to day n and linear after it. No branches: the compiled expression stays small.
     """
-    return F.when(x < 0, F.lit(0.0)).when(x < n, (x + 1.0) * (x + 1.0) / 2.0).otherwise(n * (n / 2.0 + x - n + 1.0))
-
-
-def _cell_mass(inc_lo: Column, inc_hi: Column, exp_lo: Column, exp_hi: Column) -> Column:
-    """Sum of an element's daily factors with incurred and exposed dates inside the two ranges."""
-    start, ne, n = F.col("element_start"), F.col("element_days"), F.col("dist_days").cast("double")
-    a = F.greatest(F.datediff(inc_lo, start), F.lit(0)).cast("double")
-    b = F.least(F.datediff(inc_hi, start), ne - 1).cast("double")
-    c = F.datediff(exp_lo, start).cast("double")
-    d = F.datediff(exp_hi, start).cast("double")
-    exposed = (_ramp(d - a, n) - _ramp(d - b - 1, n)) - (_ramp(c - 1 - a, n) - _ramp(c - 2 - b, n))
-    dist = F.when((n > 0) & (ne > 0) & (a <= b), F.col("distribution") / n / ne * exposed).otherwise(F.lit(0.0))
-    nu = F.col("up_days")
-    days = F.least(d, nu - 1) - F.greatest(c, F.lit(0.0)) + 1
-    here = (nu > 0) & (inc_lo <= start) & (start <= inc_hi) & (days > 0)
-    up = F.when(here, F.col("up_front") / nu * days).otherwise(F.lit(0.0))
-    return up + dist
-
-
-def _last_incurred() -> Column:
-    runs = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
-    return F.when(runs, F.date_add("element_start", F.col("element_days") - 1)).otherwise(F.col("element_start"))
+    n = F.col("_n")
+    reached = F.greatest(x + 1.0, F.lit(0.0))
+    bent = F.least(reached, n)
+    return bent * bent * 0.5 + n * (reached - bent)
 
 
-def _last_exposed(inc_hi: Column) -> Column:
-    return F.greatest(
-        F.date_add("element_start", F.col("up_days") - 1), F.date_add(inc_hi, F.col("dist_days"))
+def _rates(schedule: DataFrame, carried: Sequence[str]) -> DataFrame:
+    """Daily rates and the number of further incurred days of each element."""
+    runs = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
+    return schedule.select(
+        *carried,
+        "element_start",
+        F.when(runs, F.col("dist_days")).otherwise(0).cast("double").alias("_n"),
+        F.when(runs, F.col("element_days") - 1).otherwise(0).alias("_more"),
+        F.when(runs, F.col("distribution") / F.col("dist_days") / F.col("element_days")).otherwise(0.0).alias("_rate"),
+        F.col("up_days").alias("_nu"),
+        F.when(F.col("up_days") > 0, F.col("up_front") / F.col("up_days")).otherwise(0.0).alias("_up_rate"),
     )
 
 
+def _cell_value() -> Column:
+    """Sum of an element's daily factors in one cell.
+
+    ``_a.._b`` are the incurred days and ``_c.._d`` the exposed days of the cell, counted from the
+    element's start; the up-front share is incurred on day 0.
+    """
+    a, b, c, d = (F.col(x).cast("double") for x in ("_a", "_b", "_c", "_d"))
+    exposed = (_ramp(d - a) - _ramp(d - b - 1.0)) - (_ramp(c - 1.0 - a) - _ramp(c - 2.0 - b))
+    up_days = F.greatest(F.least(F.col("_d"), F.col("_nu") - 1) - F.greatest(F.col("_c"), F.lit(0)) + 1, F.lit(0))
+    first = (F.col("_a") == 0).cast("int")
+    return F.col("_rate") * exposed + F.col("_up_rate") * (up_days * first)
+
+
+_CELL_FIELDS = ("element_start", "_n", "_rate", "_nu", "_up_rate", "_a", "_b")
+
+
 def financial_cells(schedule: DataFrame, keys: Sequence[str], unit: str = "QUARTER") -> DataFrame:
     """Sums per calendar period (month, quarter or year) on both axes, keyed by the period's last day.
 
     Each element yields one row per pair of periods it touches; those rows are added up per cell with a
-    partial sum in front of the shuffle.
+    partial sum in front of the shuffle. Periods are counted from the one the element starts in.
     """
     keys = list(keys)
     step = cal.UNIT_MONTHS[unit]
-    interval = F.expr(f"interval {step} months")
+    first = F.trunc("element_start", unit)
 
-    def period_end(first: Column) -> Column:
-        return F.last_day(F.add_months(first, step - 1))
+    def periods_from_first(offset: Column) -> Column:
+        day = F.date_add("element_start", offset.cast("int"))
+        months = (F.year(day) - F.year("_first")) * 12 + F.month(day) - F.month("_first")
+        return F.floor(months / step).cast("int")
 
-    inc_last = _last_incurred()
-    fields = ["element_start", "element_days", "up_front", "up_days", "distribution", "dist_days"]
-    by_incurred = schedule.filter((F.col("up_days") > 0) | (F.col("dist_days") > 0)).select(
-        *keys,
-        *fields,
-        F.explode(F.sequence(F.trunc("element_start", unit), F.trunc(inc_last, unit), interval)).alias("_inc_lo"),
+    def start_of(k: Column) -> Column:
+        return F.add_months("_first", k * step)
+
+    by_incurred = (
+        _rates(schedule, keys)
+        .withColumn("_first", first)
+        .select("*", F.explode(F.sequence(F.lit(0), periods_from_first(F.col("_more")))).alias("_i"))
+        .withColumns({"_inc_lo": start_of(F.col("_i")), "incurred_bucket": F.date_sub(start_of(F.col("_i") + 1), 1)})
+        .select(
+            *keys, "_first", "_i", "incurred_bucket", "element_start", "_n", "_rate", "_nu", "_up_rate",
+            F.greatest(F.datediff("_inc_lo", "element_start"), F.lit(0)).alias("_a"),
+            F.least(F.datediff("incurred_bucket", "element_start"), F.col("_more")).alias("_b"),
+        )
     )
-    inc_lo, inc_hi = F.col("_inc_lo"), F.col("_inc_hi")
-    exp_first = F.greatest(inc_lo, F.col("element_start"))
-    exp_last = F.greatest(exp_first, _last_exposed(F.least(inc_hi, inc_last)))
+    last_day = F.greatest(F.col("_nu") - 1, F.col("_b") + F.col("_n"))
     cells = (
-        by_incurred.withColumn("_inc_hi", period_end(inc_lo))
-        .select("*", F.explode(F.sequence(F.trunc(exp_first, unit), F.trunc(exp_last, unit), interval)).alias("_exp_lo"))
-        .withColumn("_exp_hi", period_end(F.col("_exp_lo")))
+        by_incurred.select(
+            *keys, "_first", "incurred_bucket", *_CELL_FIELDS,
+            F.explode(F.sequence(F.col("_i"), F.greatest(F.col("_i"), periods_from_first(last_day)))).alias("_e"),
+        )
+        .withColumns({"_exp_lo": start_of(F.col("_e")), "exposure_bucket": F.date_sub(start_of(F.col("_e") + 1), 1)})
         .select(
-            *keys,
-            inc_hi.alias("incurred_bucket"),
-            F.col("_exp_hi").alias("exposure_bucket"),
-            _cell_mass(inc_lo, inc_hi, F.col("_exp_lo"), F.col("_exp_hi")).alias("value"),
+            *keys, "incurred_bucket", "exposure_bucket", *_CELL_FIELDS,
+            F.datediff("_exp_lo", "element_start").alias("_c"),
+            F.datediff("exposure_bucket", "element_start").alias("_d"),
         )
+        .select(*keys, "incurred_bucket", "exposure_bucket", _cell_value().alias("value"))
     )
     return sum_cells(cells, keys)
 
@@ -286,21 +325,28 @@ def bucket_cells(
     matched only with the buckets it touches. Days outside all buckets are dropped.
     """
     keys = list(keys)
-    fields = ["element_start", "element_days", "up_front", "up_days", "distribution", "dist_days"]
-    inc_last = _last_incurred()
-    touched = F.filter(incurred, lambda b: (b["hi"] >= F.col("element_start")) & (b["lo"] <= inc_last))
-    by_incurred = schedule.filter((F.col("up_days") > 0) | (F.col("dist_days") > 0)).select(
-        *keys, *fields, exposure, F.explode(touched).alias("_inc")
+    start = F.col("element_start")
+    touched = F.filter(incurred, lambda b: (b["hi"] >= start) & (b["lo"] <= F.date_add(start, F.col("_more"))))
+    by_incurred = (
+        _rates(schedule, [*keys, incurred, exposure])
+        .select(*keys, exposure, "element_start", "_n", "_more", "_rate", "_nu", "_up_rate", F.explode(touched).alias("_inc"))
+        .select(
+            *keys, exposure, F.col("_inc.label").alias("incurred_bucket"), "element_start", "_n", "_rate", "_nu", "_up_rate",
+            F.greatest(F.datediff("_inc.lo", start), F.lit(0)).alias("_a"),
+            F.least(F.datediff("_inc.hi", start), F.col("_more")).alias("_b"),
+        )
     )
-    inc_lo, inc_hi = F.col("_inc.lo"), F.col("_inc.hi")
-    exp_first = F.greatest(inc_lo, F.col("element_start"))
-    exp_last = _last_exposed(F.least(inc_hi, inc_last))
-    reached = F.filter(exposure, lambda b: (b["hi"] >= exp_first) & (b["lo"] <= exp_last))
-    cells = by_incurred.select(*keys, *fields, "_inc", F.explode(reached).alias("_exp")).select(
-        *keys,
-        F.col("_inc.label").alias("incurred_bucket"),
-        F.col("_exp.label").alias("exposure_bucket"),
-        _cell_mass(inc_lo, inc_hi, F.col("_exp.lo"), F.col("_exp.hi")).alias("value"),
+    first_day = F.date_add(start, F.col("_a"))
+    last_day = F.date_add(start, F.greatest(F.col("_nu") - 1, F.col("_b") + F.col("_n").cast("int")))
+    reached = F.filter(exposure, lambda b: (b["hi"] >= first_day) & (b["lo"] <= last_day))
+    cells = (
+        by_incurred.select(*keys, "incurred_bucket", *_CELL_FIELDS, F.explode(reached).alias("_exp"))
+        .select(
+            *keys, "incurred_bucket", F.col("_exp.label").alias("exposure_bucket"), *_CELL_FIELDS,
+            F.datediff("_exp.lo", start).alias("_c"),
+            F.datediff("_exp.hi", start).alias("_d"),
+        )
+        .select(*keys, "incurred_bucket", "exposure_bucket", _cell_value().alias("value"))
     )
     return sum_cells(cells, keys)
 

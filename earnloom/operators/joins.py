@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# A key with more rows than this is split over SALTS tasks. At N input rows there are at most
-# N / HOT_ROWS such keys, so the list of them is small for any N that a cluster can hold.
-HOT_ROWS = 1_000_000
+# A key with more rows than this is split over SALTS tasks. N input rows have fewer than N / HOT_ROWS
+# such keys (200,000 at a trillion rows), which bounds the list of them that is broadcast.
+HOT_ROWS = 5_000_000
 SALTS = 64
-# Largest list of hot keys that may be broadcast; a longer one is left to a shuffle join.
-MAX_BROADCAST_KEYS = 200_000
 
 
 def hot_keys(left: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -44,7 +41,7 @@ def lookup_join(
     keys = list(keys)
     if not spread:
         return left.join(right, keys, how)
-    hot = hot_keys(left, keys, hot_rows)
+    hot = F.broadcast(hot_keys(left, keys, hot_rows))
     salted_left = (
         left.join(hot, keys, "left")
         .withColumn(
@@ -64,12 +61,15 @@ def lookup_join(
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition rows that are few and small but expand to very many.
 
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    Partition sizes are judged by bytes, so such rows would end up in one task and be expanded there.
+    A given number of partitions is kept as it is; later groupings by these keys need no other shuffle.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
 
 
 def running_sum(

@@ -11,7 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import buckets, matrix
-from ..operators.expand import bucket_cells, daily_factors, element_schedule, factor_summary, linear_bucket_cells
+from ..operators.expand import (
+    bucket_cells,
+    daily_factors,
+    element_schedule,
+    linear_bucket_cells,
+    row_factor_summary,
+    scheduled_elements,
+)
+from ..operators.joins import spread_rows
 
 
 def parse_selector(selector: str) -> tuple[str, str, str]:
@@ -41,24 +49,25 @@ def factor_listing(factors: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).orderBy(*keys, "incurred_date", "exposed_date")
 
 
-def result_cells(
-    configs: DataFrame,
-    selector: str,
-    keys: Sequence[str] = ("config_id",),
-    linear: bool = False,
-    ranges: DataFrame | None = None,
+def with_periods(
+    configs: DataFrame, selector: str, keys: Sequence[str] = ("config_id",), linear: bool = False
 ) -> DataFrame:
-    """Cells of every document over the period sets that the selector names.
+    """Each document's schedule array and its bucket arrays for the selected period sets.
 
     The period sets depend on the document's own date ranges: the financial set of both axes spans the
     years of the exposure dates, the development sets run from the insured start to the end of the
-    last exposure or incurred year.
+    last exposure or incurred year. All of it is worked out inside the document's row. Documents
+    without a significant factor are left out.
     """
     incurred_set, exposure_set, _ = parse_selector(selector)
     keys = list(keys)
-    schedule = config_schedule(configs, keys)
-    spans = factor_summary(schedule, keys, significant_only=True, linear=linear) if ranges is None else ranges
     start = F.col("start_date")
+    rows = spread_rows(configs, keys).select(
+        *keys, "start_date", "incurred_unit", "exposed_unit", "end_of_period",
+        scheduled_elements(start, F.col("calendar")).alias("schedule"),
+    )
+    facts = row_factor_summary("schedule", significant_only=True, linear=linear)
+    spanned = rows.select("*", *[facts[n].alias(n) for n in ("min_exposed", "max_exposed", "max_incurred")])
     incurred_ends = buckets.period_set(
         incurred_set, start, F.col("min_exposed"), F.col("max_exposed"), F.col("max_incurred"), F.col("incurred_unit")
     )
@@ -66,17 +75,23 @@ def result_cells(
         exposure_set, start, F.col("min_exposed"), F.col("max_exposed"), F.col("max_exposed"), F.col("exposed_unit")
     )
     label_end = F.col("end_of_period")
-    periods = (
-        configs.select(*keys, "start_date", "incurred_unit", "exposed_unit", "end_of_period")
-        .join(spans.filter(F.col("min_exposed").isNotNull()), keys)
-        .select(
-            *keys,
-            buckets.from_period(start, incurred_ends, label_end).alias("incurred_buckets"),
-            buckets.from_period(start, exposure_ends, label_end).alias("exposure_buckets"),
-        )
+    known = F.col("min_exposed").isNotNull()
+    return spanned.select(
+        *keys,
+        F.when(known, F.col("schedule")).alias("schedule"),
+        F.when(known, buckets.from_period(start, incurred_ends, label_end)).alias("incurred_buckets"),
+        F.when(known, buckets.from_period(start, exposure_ends, label_end)).alias("exposure_buckets"),
     )
-    build = linear_bucket_cells if linear else bucket_cells
-    return build(schedule.join(periods, keys), keys)
+
+
+def result_cells(
+    configs: DataFrame, selector: str, keys: Sequence[str] = ("config_id",), linear: bool = False
+) -> DataFrame:
+    """Cells of every document over the period sets that the selector names."""
+    keys = list(keys)
+    rows = with_periods(configs, selector, keys, linear)
+    schedule = rows.select(*keys, "incurred_buckets", "exposure_buckets", F.inline("schedule"))
+    return (linear_bucket_cells if linear else bucket_cells)(schedule, keys)
 
 
 def result(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from earnloom.functions import calendar as cal
 from earnloom.operators import buckets, coverage, expand, matrix, patterns
+from earnloom.operators.joins import spread_rows
 from earnloom.plans import results
 from earnloom.sources import files
 
@@ -33,7 +34,7 @@ def book_b_elements(spark, sf_dir):
 
 def book_b_instances(spark, sf_dir):
     nested = patterns.nest_elements(book_b_elements(spark, sf_dir))
-    return nested.join(inputs.order_starts(spark, sf_dir), "pattern_id")
+    return spread_rows(nested.join(inputs.order_starts(spark, sf_dir), "pattern_id"), ["pattern_id"])
 
 
 def book_b_schedule(spark, sf_dir):
