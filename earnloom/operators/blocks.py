@@ -11,19 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import lookup_join, running_sum
+from .joins import running_sum, with_key_totals
 
 KEYS = ("pattern",)
-ELEMENT = ["element_number"]
 
 
 def align_elements(elements: DataFrame, keys: Sequence[str] = KEYS, periods: int | None = None) -> DataFrame:
     """Spread the elements of a pattern evenly over its duration and give each the weight 1/n."""
-    keys = list(keys)
-    counts = elements.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    joined = lookup_join(elements, counts, keys, "inner", spread=ELEMENT)
-    n = F.lit(periods) if periods else F.col("_n")
-    return joined.select(
+    counted = with_key_totals(elements, keys, "element_number", {"_n": (F.sum, F.lit(1))})
+    n = F.lit(periods) if periods else F.col("_n").cast("int")
+    return counted.select(
         *elements.columns,
         n.alias("development_periods"),
         (F.col("duration") / n).alias("duration_offset"),
@@ -34,13 +31,10 @@ def align_elements(elements: DataFrame, keys: Sequence[str] = KEYS, periods: int
 
 def distribute_remaining(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Where the shares of a pattern stay below 1, add the rest evenly to its distributions."""
-    keys = list(keys)
-    totals = elements.groupBy(*keys).agg(
-        F.sum(F.col("distribution") + F.col("start_distribution")).alias("_total"), F.count(F.lit(1)).alias("_n")
-    )
-    joined = lookup_join(elements, totals, keys, "inner", spread=ELEMENT)
+    totals = {"_total": (F.sum, F.col("distribution") + F.col("start_distribution")), "_n": (F.sum, F.lit(1))}
+    summed = with_key_totals(elements, keys, "element_number", totals)
     rest = F.when(F.col("_total") < 1, (1 - F.col("_total")) / F.col("_n")).otherwise(0.0)
-    return joined.withColumn("distribution", F.col("distribution") + rest).drop("_total", "_n")
+    return summed.withColumn("distribution", F.col("distribution") + rest).drop("_total", "_n")
 
 
 def zero_out(elements: DataFrame, start: bool = True, distribution: bool = True) -> DataFrame:
@@ -166,19 +160,35 @@ def block_totals(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+# Elements per block when totals go back to the blocks of a pattern: each element has many blocks.
+_ELEMENTS_TOGETHER = 64
+
+
+def _cut_parts(latest_written: Column) -> dict:
+    """What the cut point of a pattern follows from; each part is a plain minimum or maximum."""
+    number = F.col("element_number")
+    return {
+        "_max": (F.max, number),
+        "_latest": (F.max, latest_written),
+        "_last_end": (F.min, F.struct((-number).alias("k"), F.col("end_point").alias("end"))),
+        "_start": (F.min, F.when(number == latest_written, F.col("start_point"))),
+    }
+
+
+def _cut_point() -> Column:
+    beyond = F.col("_max") < F.col("_latest")
+    return F.when(beyond, F.col("_last_end.end") + 1).otherwise(F.col("_start"))
+
+
 def cut_points(blocks: DataFrame, latest_written, keys: Sequence[str] = KEYS) -> DataFrame:
     """Earliest start point of the latest written element, per pattern.
 
     Beyond the last element: the earliest end point of the last element plus one. Null when the
     element lies in between but has no blocks.
     """
-    number = F.col("element_number")
-    last_end = F.min(F.struct((-number).alias("_k"), F.col("end_point").alias("end")))
-    return blocks.groupBy(*keys).agg(
-        F.when(F.max(number) < F.max(latest_written), last_end["end"] + 1)
-        .otherwise(F.min(F.when(number == latest_written, F.col("start_point"))))
-        .alias("cut_point")
-    )
+    parts = _cut_parts(latest_written if isinstance(latest_written, Column) else F.lit(latest_written))
+    grouped = blocks.groupBy(*keys).agg(*[function(source).alias(name) for name, (function, source) in parts.items()])
+    return grouped.select(*keys, _cut_point().alias("cut_point"))
 
 
 def liabilities(blocks: DataFrame, latest_written, keys: Sequence[str] = KEYS, value: str = "ultimate_value") -> DataFrame:
@@ -187,13 +197,11 @@ def liabilities(blocks: DataFrame, latest_written, keys: Sequence[str] = KEYS, v
     LRC is the written part that ends at or after the cut point; ``lrc_unwritten`` is the other reading
     in use, the unwritten part that ends there.
     """
-    keys = list(keys)
     latest = latest_written if isinstance(latest_written, Column) else F.lit(latest_written)
-    cuts = cut_points(blocks, latest, keys)
-    joined = lookup_join(blocks, cuts, keys, "left", spread=["element_number", "start_point"])
+    joined = with_key_totals(blocks, keys, "element_number", _cut_parts(latest), _ELEMENTS_TOGETHER)
     written = F.col("element_number") < latest
-    ended = F.col("end_point") < F.col("cut_point")
-    running = F.col("end_point") >= F.col("cut_point")
+    ended = F.col("end_point") < _cut_point()
+    running = F.col("end_point") >= _cut_point()
 
     def part(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0.0))
@@ -243,9 +251,8 @@ def scaled_levels(
 
     Halves round to the even neighbour. A zero sum is an error.
     """
-    keys = list(keys)
-    sums = levels.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.max(target).alias("_target"))
-    joined = lookup_join(levels, sums, keys, "inner", spread=[level])
+    parts = {"_sum": (F.sum, F.col(value)), "_target": (F.max, target)}
+    joined = with_key_totals(levels, keys, level, parts)
     factor = F.when(
         F.col("_sum") == 0, F.raise_error(F.lit("the values of a key add up to zero, cannot scale")).cast("double")
     ).otherwise(F.col("_target") / F.col("_sum"))

@@ -280,19 +280,22 @@ class CoveragePatterns:
         return self.for_coverages(writing.join(self._loss_summary(writing), PAIR, "left"))
 
 
-def portfolio_matrix(coverages: DataFrame, cells: DataFrame, amount: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Expected amounts per cell over a whole portfolio.
-
-    The amounts are added up per (pattern, start date) before the cells join, so the join has one row
-    per pair on both sides and no row per coverage and cell ever exists.
+def portfolio_matrix(
+    coverages: DataFrame, pattern_rows: DataFrame, amount: str, keys: Sequence[str] = (), unit: str = "QUARTER"
+) -> DataFrame:
+    """Expected amounts per cell over a whole portfolio (``keys``: one matrix per key).
+
+    The amounts are added up per (pattern, start date) before anything expands, and the element shares
+    are multiplied by them. So the cells of all pairs are combined inside the tasks and only one row
+    per cell leaves them; no row per coverage and cell, or per pair and cell, is ever shuffled.
     """
     keys = list(keys)
     per_pair = coverages.groupBy(*keys, *PAIR).agg(F.sum(amount).alias("_amount"))
-    return (
-        per_pair.join(cells, PAIR)
-        .groupBy(*keys, "incurred_bucket", "exposure_bucket")
-        .agg(F.sum(F.col("_amount") * F.col("value")).alias("value"))
+    instances = spread_rows(per_pair.join(pattern_rows, "pattern_id"), PAIR)
+    schedule = element_schedule(instances, [*keys, "_amount"], clamp=COVERAGE_CLAMP).withColumns(
+        {"up_front": F.col("up_front") * F.col("_amount"), "distribution": F.col("distribution") * F.col("_amount")}
     )
+    return financial_cells(schedule, keys, unit)
 
 
 def reconcile(writing: DataFrame, loss: DataFrame, keys: Sequence[str] = ("coverage_id",)) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A key with more rows than this is split over SALTS tasks. N input rows have fewer than N / HOT_ROWS
 # such keys (200,000 at a trillion rows), which bounds the list of them that is broadcast.
@@ -72,6 +72,36 @@ def spread_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def _blocked(df: DataFrame, position: str, block: int) -> DataFrame:
+    number = F.unix_date(F.col(position)) if dict(df.dtypes)[position] == "date" else F.col(position)
+    return df.withColumn("_block", F.floor(number / block).cast("long"))
+
+
+def with_key_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    totals: dict[str, tuple[Callable[[Column], Column], Column]],
+    block: int = 4096,
+) -> DataFrame:
+    """Add aggregates over all rows of a key to each of its rows.
+
+    ``totals`` maps a name to (function, input); the function (sum, min, max, bool_and) is applied per
+    block of positions and again over the blocks of the key. The result is joined back per block, so
+    even a key that holds a third of all rows is never gathered in one task.
+    """
+    keys = list(keys)
+    blocked = _blocked(df, position, block)
+    per_block = blocked.groupBy(*keys, "_block").agg(
+        *[function(source).alias(f"_part_{name}") for name, (function, source) in totals.items()]
+    )
+    whole = Window.partitionBy(*keys)
+    per_key = per_block.select(
+        *keys, "_block", *[function(F.col(f"_part_{name}")).over(whole).alias(name) for name, (function, _) in totals.items()]
+    )
+    return blocked.join(per_key, keys + ["_block"]).select(*df.columns, *totals)
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -86,9 +116,7 @@ def running_sum(
     one row per block of a key, however long the key's series is.
     """
     keys = list(keys)
-    kind = dict(df.dtypes)[position]
-    number = F.unix_date(F.col(position)) if kind == "date" else F.col(position)
-    blocked = df.withColumn("_block", F.floor(number / block).cast("long"))
+    blocked = _blocked(df, position, block)
     inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy(*keys, "_block").agg(
@@ -100,7 +128,7 @@ def running_sum(
         *[F.coalesce(F.sum(f"_total_{target}").over(before), F.lit(0)).alias(f"_before_{target}") for target in sums],
     )
     local = blocked.withColumns({f"_inside_{target}": F.sum(source).over(inside) for target, source in sums.items()})
-    joined = local.join(offsets, keys + ["_block"], "left")
+    joined = local.join(offsets, keys + ["_block"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_before_{target}") + F.col(f"_inside_{target}")).alias(target) for target in sums],

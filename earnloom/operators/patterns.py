@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import lookup_join
+from .joins import lookup_join, with_key_totals
 
 ELEMENT_FIELDS = ("ord", "unit", "up_front", "up_front_days", "distribution", "distribution_days")
 ELEMENTS_TYPE = (
@@ -184,17 +184,14 @@ def apply_ultimates(df: DataFrame, ultimates, value: str = "value") -> DataFrame
     )
 
 
-def normalise(
-    df: DataFrame, keys: Sequence[str], value: str = "value", spread: Sequence[str] | None = None
-) -> DataFrame:
-    """Divide by the key's total; a total of about zero is an error."""
-    keys = list(keys)
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+def normalise(df: DataFrame, keys: Sequence[str], position: str, value: str = "value") -> DataFrame:
+    """Divide by the key's total; a total of about zero is an error.
+
+    ``position`` is a date or integer column; the total comes back to the rows per (key, position), so
+    the factors of one pattern are not gathered in one task.
+    """
+    summed = with_key_totals(df, keys, position, {"_total": (F.sum, F.col(value))}, block=1)
     safe = F.when(
-        F.abs(F.col("_total")) < ZERO, F.raise_error(F.lit("the factors of a pattern add up to zero"))
+        F.abs(F.col("_total")) < ZERO, F.raise_error(F.lit("the factors of a pattern add up to zero")).cast("double")
     ).otherwise(F.col("_total"))
-    return (
-        lookup_join(df, totals, keys, "inner", spread=spread)
-        .withColumn(value, F.col(value) / safe.cast("double"))
-        .drop("_total")
-    )
+    return summed.withColumn(value, F.col(value) / safe).drop("_total")

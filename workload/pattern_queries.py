@@ -135,7 +135,8 @@ def s21_listing(spark, sf_dir):
 
 def _weekly_instances(spark, sf_dir):
     """Every line item as a one-week pattern: up-front for returned lines, spread over its quantity."""
-    lines = inputs.table(spark, sf_dir, "lineitem").select(
+    # a small file is read by one task; spread the lines before each becomes some 200 rows
+    lines = spread_rows(inputs.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]).select(
         F.col("l_suppkey").alias("pattern_id"),
         F.to_date("l_shipdate").alias("start_date"),
         F.array(
@@ -254,7 +255,7 @@ def e11(spark, sf_dir):
     schedule = expand.element_schedule(_weekly_instances(spark, sf_dir), ["pattern_id"])
     daily = expand.daily_factors(schedule, ["pattern_id"])
     per_day = daily.groupBy("pattern_id", "exposed_date").agg(F.sum("value").alias("value"))
-    normal = patterns.normalise(per_day, ["pattern_id"], spread=["exposed_date"])
+    normal = patterns.normalise(per_day, ["pattern_id"], "exposed_date")
     return normal.withColumn("value", F.round("value", 6))
 
 
@@ -498,7 +499,7 @@ def portfolio_premium(spark, sf_dir):
         F.col("pattern_start_date").alias("start_date"),
         "premium",
     )
-    totals = coverage.portfolio_matrix(premiums, book.pair_cells(), "premium")
+    totals = coverage.portfolio_matrix(premiums, book.pattern_rows, "premium")
     return totals.withColumn("value", F.round("value", 1))
 
 
