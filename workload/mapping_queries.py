@@ -459,18 +459,18 @@ def u1(spark, sf_dir):
     return step(spark, table(spark, sf_dir, "customer"), transform_type="append", data_file=f"{sf_dir}/customer.parquet")
 
 
-@query("u1_append_mismatch", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("u1_append_mismatch", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def u1_mismatch(spark, sf_dir):
-    return step(spark, table(spark, sf_dir, "nation"), transform_type="append", data_file=f"{sf_dir}/region.parquet")
+    return step(spark, table(spark, sf_dir, "customer"), transform_type="append", data_file=f"{sf_dir}/supplier.parquet")
 
 
 @query("u1_append_csv_with_schema", """
-SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation""")
+SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier""")
 def u1_csv(spark, sf_dir):
-    path = scratch_path(spark, "nation") + ".csv"
-    nation = table(spark, sf_dir, "nation")
-    nation.write.option("header", True).csv(path)
-    return step(spark, nation, transform_type="append", data_file=path, use_schema=True)
+    path = scratch_path(spark, "supplier") + ".csv"
+    supplier = table(spark, sf_dir, "supplier")
+    supplier.write.option("header", True).csv(path)
+    return step(spark, supplier, transform_type="append", data_file=path, use_schema=True)
 
 
 @query("u2_distinct", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")

@@ -72,7 +72,8 @@ def _fresh_schema(spark) -> str:
 def _drop_schema(spark, name: str) -> None:
     """Forget the tables; their files stay, so a frame that reads the files still works."""
     for entry in spark.catalog.listTables(name):
-        spark.sql(f"DROP TABLE {name}.{entry.name}")
+        if not entry.isTemporary:
+            spark.sql(f"DROP TABLE {name}.{entry.name}")
     spark.sql(f"DROP SCHEMA {name}")
 
 
