@@ -18,23 +18,24 @@ def _bucket(lo: Column, hi: Column, label: Column) -> Column:
 def from_ends(ends: Column) -> Column:
     """A date belongs to the first end on or after it; the first bucket is open below."""
     ends = F.array_sort(ends)
-    return F.transform(
+    before = F.concat(F.array(F.lit(None).cast("date")), ends)
+    pairs = F.zip_with(
+        before,
         ends,
-        lambda end, i: _bucket(
-            F.when(i == 0, F.lit(cal.FIRST_DAY).cast("date")).otherwise(F.date_add(F.get(ends, i - 1), 1)), end, end
-        ),
+        lambda last, end: _bucket(F.coalesce(F.date_add(last, 1), F.lit(cal.FIRST_DAY).cast("date")), end, end),
     )
+    return F.filter(pairs, lambda b: b["hi"].isNotNull())
 
 
 def from_starts(starts: Column) -> Column:
     """A date belongs to the last start on or before it; the last bucket is open above."""
     starts = F.array_sort(starts)
-    return F.transform(
+    after = F.slice(starts, 2, F.size(starts))
+    return F.zip_with(
         starts,
-        lambda begin, i: _bucket(
-            begin,
-            F.coalesce(F.date_sub(F.get(starts, i + 1), 1), F.lit(cal.LAST_DAY).cast("date")),
-            begin,
+        after,
+        lambda begin, following: _bucket(
+            begin, F.coalesce(F.date_sub(following, 1), F.lit(cal.LAST_DAY).cast("date")), begin
         ),
     )
 
@@ -45,12 +46,13 @@ def from_period(start: Column, ends: Column, to_end=True) -> Column:
     Ranges that would stop before they start (ends before the insured start) are left out.
     """
     label_end = to_end if isinstance(to_end, Column) else F.lit(bool(to_end))
+    before = F.concat(F.array(F.date_sub(start, 1)), ends)
 
-    def build(end: Column, i: Column) -> Column:
-        lo = F.when(i == 0, start).otherwise(F.date_add(F.get(ends, i - 1), 1))
+    def build(last: Column, end: Column) -> Column:
+        lo = F.date_add(last, 1)
         return _bucket(lo, end, F.when(label_end, end).otherwise(lo))
 
-    return F.filter(F.transform(ends, build), lambda b: b["lo"] <= b["hi"])
+    return F.filter(F.zip_with(before, ends, build), lambda b: b["lo"] <= b["hi"])
 
 
 PERIOD_SETS = {"F": "financial", "D": "development", "C": "combined"}

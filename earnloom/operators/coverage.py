@@ -136,7 +136,7 @@ class CoveragePatterns:
             ).alias("_elements")
         )
         rows = self.for_coverages(packed).select("coverage_id", F.inline("_elements"))
-        return daily_factors(rows, ["coverage_id"])
+        return daily_factors(spread_rows(rows, ["coverage_id"]), ["coverage_id"])
 
     def _pattern_summary(self) -> DataFrame:
         def listed(value: str):

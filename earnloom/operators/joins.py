@@ -108,16 +108,19 @@ def running_sum(
     position: str,
     sums: dict[str, str],
     block: int = 4096,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Running sums by integer (or date) position within a key.
 
+    ``order`` settles rows of the same position (default: the position alone, which is then unique).
+
     Positions are cut into blocks: a window runs inside one block, and the sum of all earlier blocks
     comes from a second window over one row per block. No task holds more than a block of a key, or
     one row per block of a key, however long the key's series is.
     """
     keys = list(keys)
     blocked = _blocked(df, position, block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*(order or [position])).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy(*keys, "_block").agg(
         *[F.sum(source).alias(f"_total_{target}") for target, source in sums.items()]

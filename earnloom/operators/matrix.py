@@ -10,6 +10,7 @@ from datetime import date as Date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.calendar import LAST_DAY
 from .expand import sum_cells
 from .joins import running_sum
 from .patterns import ZERO
@@ -188,8 +189,8 @@ def sum_by_criteria_table(
 
     Both comparisons use the same date D, so no range join is needed. "At or before D" on both axes
     means max(incurred, exposed) <= D, a strict comparison moves its date by a day, and "after" is the
-    complement. Every criterion is then a signed sum of running sums by day, read off at D. The
-    running sums have at most one row per key, measure and day.
+    complement. Every criterion is then a signed sum of running sums by day, read off at D: the criteria
+    are put between the days as rows of value 0. The days have at most one row per key and measure.
     """
     keys = list(keys)
     if not keys:
@@ -213,44 +214,39 @@ def sum_by_criteria_table(
         .groupBy(*keys, F.col("_p.measure").alias("measure"), F.col("_p.day").alias("day"))
         .agg(F.sum("value").alias("value"))
     )
-    totals = rows.groupBy(*keys).agg(F.sum("value").alias("_all"))
     # "<=" and ">" look at the date itself, "<" and ">=" at the day after
     inc = F.when(F.col("incurred_op").isin("<=", ">"), "i0").otherwise("i1")
     exp = F.when(F.col("exposed_op").isin("<=", ">"), "e0").otherwise("e1")
     inc_after = F.col("incurred_op").isin(">", ">=")
     exp_after = F.col("exposed_op").isin(">", ">=")
-    asked = criteria.select(*keys, "as_of", "incurred_op", "exposed_op").distinct()
-    known = F.col("incurred_op").isin(*OPERATORS) & F.col("exposed_op").isin(*OPERATORS)
-    asked = asked.withColumn(
-        "as_of",
-        F.when(known, F.col("as_of")).otherwise(
-            F.raise_error(F.lit("date comparison must be <, <=, > or >=")).cast("date")
-        ),
-    )
-    zero = F.lit(0)
+    both, none = inc_after & exp_after, F.lit(0)
+
+    def term(measure: Column, day: Column, sign: Column) -> Column:
+        return F.struct(measure.alias("measure"), day.alias("day"), sign.cast("int").alias("sign"))
+
+    at = F.col("as_of")
     terms = F.array(
-        F.struct(
-            F.concat(inc, exp).alias("measure"),
-            (F.when(inc_after, -1).otherwise(1) * F.when(exp_after, -1).otherwise(1)).alias("sign"),
-        ),
-        F.struct(inc.alias("measure"), F.when(inc_after & exp_after, -1).when(exp_after, 1).otherwise(zero).alias("sign")),
-        F.struct(exp.alias("measure"), F.when(inc_after & exp_after, -1).when(inc_after, 1).otherwise(zero).alias("sign")),
+        term(F.concat(inc, exp), at, F.when(inc_after, -1).otherwise(1) * F.when(exp_after, -1).otherwise(1)),
+        term(inc, at, F.when(both, -1).when(exp_after, 1).otherwise(none)),
+        term(exp, at, F.when(both, -1).when(inc_after, 1).otherwise(none)),
+        term(F.lit("i0"), F.lit(LAST_DAY).cast("date"), F.when(both, 1).otherwise(none)),
     )
-    wanted = asked.select("*", F.explode(terms).alias("_t")).filter(F.col("_t.sign") != 0).select(
-        *keys, F.col("_t.measure").alias("measure"), F.col("as_of").alias("day"),
-        "incurred_op", "exposed_op", F.col("_t.sign").alias("sign"),
+    known = F.col("incurred_op").isin(*OPERATORS) & F.col("exposed_op").isin(*OPERATORS)
+    checked = F.when(known, at).otherwise(
+        F.raise_error(F.lit("date comparison must be <, <=, > or >=")).cast("date")
     )
-    # the days asked for join the day series with value 0, so the running sum is known at each of them
-    days = by_day.unionByName(
-        wanted.select(*keys, "measure", "day").distinct().withColumn("value", F.lit(0.0))
-    ).groupBy(*keys, "measure", "day").agg(F.sum("value").alias("value"))
-    running = running_sum(days, keys + ["measure"], "day", {"running": "value"}).select(
-        *keys, "measure", "day", "running"
+    asked = (
+        criteria.select(*keys, "as_of", "incurred_op", "exposed_op").distinct()
+        .withColumn("as_of", checked)
+        .select(*keys, "as_of", "incurred_op", "exposed_op", F.explode(terms).alias("_t"))
+        .filter(F.col("_t.sign") != 0)
+        .select(*keys, F.col("_t.measure").alias("measure"), F.col("_t.day").alias("day"), F.lit(0.0).alias("value"),
+                F.lit(1).alias("_asked"), "as_of", "incurred_op", "exposed_op", F.col("_t.sign").alias("_sign"))
     )
-    read = wanted.join(running, keys + ["measure", "day"]).groupBy(
-        *keys, F.col("day").alias("as_of"), "incurred_op", "exposed_op"
-    ).agg(F.sum(F.col("sign") * F.col("running")).alias("_sum"))
-    return read.join(totals, keys, "left").select(
-        *keys, "as_of", "incurred_op", "exposed_op",
-        (F.col("_sum") + F.when(inc_after & exp_after, F.coalesce(F.col("_all"), F.lit(0.0))).otherwise(F.lit(0.0))).alias("value"),
+    series = by_day.withColumn("_asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    running = running_sum(series, keys + ["measure"], "day", {"_running": "value"}, order=["day", "_asked"])
+    return (
+        running.filter(F.col("_asked") == 1)
+        .groupBy(*keys, "as_of", "incurred_op", "exposed_op")
+        .agg(F.sum(F.col("_sign") * F.col("_running")).alias("value"))
     )

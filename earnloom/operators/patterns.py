@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import lookup_join, with_key_totals
+from .joins import HOT_ROWS, lookup_join, with_key_totals
 
 ELEMENT_FIELDS = ("ord", "unit", "up_front", "up_front_days", "distribution", "distribution_days")
 ELEMENTS_TYPE = (
@@ -124,25 +124,33 @@ def scenario_elements(scenarios: DataFrame, duration: int = 360) -> DataFrame:
     )
 
 
-def invalid_durations(
-    factors: DataFrame, coverages: DataFrame | None = None, hot_rows: int | None = None
-) -> DataFrame:
-    """Factor rows whose duration is below one day, once per coverage that uses the pattern."""
-    bad = factors.filter(F.col("duration").cast("int") < 1).select(
-        "pattern_id", "period", "period_frequency", "factor_value", F.col("duration").cast("int").alias("duration")
+def invalid_durations(factors: DataFrame) -> DataFrame:
+    """Factor rows whose duration is below one day."""
+    days = F.col("duration").cast("int")
+    return factors.filter(days < 1).select(
+        "pattern_id", "period", "period_frequency", "factor_value", days.alias("duration")
     )
-    if coverages is None:
-        return bad
-    used = coverages.select("coverage_id", F.col("writing_premium_pattern_id").alias("pattern_id"))
-    # bad rows per pattern are as few as its periods; the coverages may all sit on one pattern
-    packed = bad.groupBy("pattern_id").agg(
-        F.collect_list(F.struct("period", "period_frequency", "factor_value", "duration")).alias("_bad")
+
+
+def invalid_durations_by_coverage(
+    factors: DataFrame, coverages: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The same for every coverage that uses the pattern: one row per period and share code.
+
+    Repeated factor rows are counted (``factor_rows``, with the shortest duration and largest value), so
+    the list that joins the coverages is as short as a pattern has periods.
+    """
+    per_period = invalid_durations(factors).groupBy("pattern_id", "period", "period_frequency").agg(
+        F.max("factor_value").alias("factor_value"),
+        F.min("duration").alias("duration"),
+        F.count(F.lit(1)).alias("factor_rows"),
     )
-    extra = {"hot_rows": hot_rows} if hot_rows else {}
-    joined = lookup_join(used, packed, ["pattern_id"], "inner", spread=["coverage_id"], **extra)
-    return joined.select("coverage_id", "pattern_id", F.explode("_bad").alias("_b")).select(
-        "coverage_id", "pattern_id", "_b.*"
+    packed = per_period.groupBy("pattern_id").agg(
+        F.collect_list(F.struct("period", "period_frequency", "factor_value", "duration", "factor_rows")).alias("_bad")
     )
+    used = coverages.select("coverage_id", F.col("writing_premium_pattern_id").alias("pattern_id"))
+    joined = lookup_join(used, packed, ["pattern_id"], "inner", spread=["coverage_id"], hot_rows=hot_rows)
+    return joined.select("coverage_id", "pattern_id", F.inline("_bad"))
 
 
 def distribution_check(patterns: DataFrame, keys: Sequence[str] = ("pattern_id",), tolerance: float = 1e-9) -> DataFrame:

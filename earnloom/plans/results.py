@@ -38,7 +38,7 @@ def config_schedule(configs: DataFrame, keys: Sequence[str] = ("config_id",)) ->
 def config_factors(configs: DataFrame, keys: Sequence[str] = ("config_id",), linear: bool = False) -> DataFrame:
     """Significant daily factors, listed by incurred then exposed date by ``factor_listing``."""
     return daily_factors(
-        config_schedule(configs, keys), keys, linear=linear, significant_only=True, detailed_types=False
+        config_schedule(spread_rows(configs, keys), keys), keys, linear=linear, significant_only=True, detailed_types=False
     )
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 
 def get_spark(app: str = "earnloom", master: str | None = None, **conf) -> SparkSession:
@@ -49,9 +50,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder so that row positions cannot change on a retry."""
+    """The rows as written once to the shared folder, so that a retry cannot change or reorder them.
+
+    A Parquet table is written in one pass and read back by column; frames with columns of no type,
+    which Parquet does not hold, are checkpointed.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "pinned")
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

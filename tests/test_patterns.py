@@ -132,8 +132,9 @@ def test_invalid_durations(spark):
     df = spark.createDataFrame(rows, "pattern_id long, period int, period_frequency string, factor_value double, duration int")
     assert patterns.invalid_durations(df).count() == 3
     covers = spark.createDataFrame([(1, 1001), (2, 1001), (3, 5)], "coverage_id long, writing_premium_pattern_id long")
-    by_cover = patterns.invalid_durations(df, covers, hot_rows=1).collect()
-    assert sorted(r["coverage_id"] for r in by_cover) == [1, 2]
+    repeated = df.union(df.filter("pattern_id = 1001"))
+    by_cover = patterns.invalid_durations_by_coverage(repeated, covers, hot_rows=1).collect()
+    assert sorted((r["coverage_id"], r["period"], r["factor_rows"]) for r in by_cover) == [(1, 1, 2), (2, 1, 2)]
 
 
 def test_distribution_check_exact_and_tolerant(spark):

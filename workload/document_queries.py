@@ -21,18 +21,23 @@ def order_documents(spark, sf_dir, weekly: bool = False):
     Plain: monthly and quarterly elements. Weekly: one-week elements spread over the line's quantity,
     in linear mode.
     """
-    lines = inputs.table(spark, sf_dir, "lineitem")
+    # repeated line numbers are merged first, so a document has one element per line number
+    lines = inputs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_linestatus").alias("status"),
+        (F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_tax")).otherwise(0.0)) / 1.0007).alias("initial"),
+        (F.sum(F.abs("l_discount")) / 1.0007).alias("distribution"),
+        F.max("l_quantity").cast("int").alias("quantity"),
+    )
     if weekly:
-        unit, duration = F.lit("WEEK"), F.col("l_quantity").cast("int")
+        unit, duration = F.lit("WEEK"), F.col("quantity")
     else:
-        unit = F.when(F.col("l_linestatus") == "O", "QUARTER").otherwise("MONTH")
-        duration = F.when(F.col("l_quantity") > 25, F.col("l_quantity") * 5).otherwise(-1).cast("int")
+        unit = F.when(F.col("status") == "O", "QUARTER").otherwise("MONTH")
+        duration = F.when(F.col("quantity") > 25, F.col("quantity") * 5).otherwise(-1)
     entry = F.struct(
         F.col("l_linenumber").alias("at"),
-        F.col("l_extendedprice").alias("price"),
         unit.alias("type"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_tax") / 1.0007).otherwise(0.0).alias("initial"),
-        (F.abs("l_discount") / 1.0007).alias("distribution"),
+        "initial",
+        "distribution",
         duration.alias("duration"),
         F.lit(-1).alias("initialDuration"),
     )
@@ -62,11 +67,11 @@ def _sql_documents(weekly: bool = False) -> str:
     """CTEs ``doc``, ``el``, ``sched`` and ``span`` (date ranges of significant factors)."""
     if weekly:
         unit, months, days = "'WEEK'", "0", "7"
-        duration = "CAST(l_quantity AS INTEGER)"
+        duration = "CAST(max(l_quantity) AS INTEGER)"
     else:
-        unit = "CASE WHEN l_linestatus = 'O' THEN 'QUARTER' ELSE 'MONTH' END"
+        unit = "CASE WHEN max(l_linestatus) = 'O' THEN 'QUARTER' ELSE 'MONTH' END"
         months, days = "CASE WHEN i.unit = 'QUARTER' THEN 3 ELSE 1 END", "0"
-        duration = "CASE WHEN l_quantity > 25 THEN CAST(l_quantity * 5 AS INTEGER) ELSE -1 END"
+        duration = "CASE WHEN max(l_quantity) > 25 THEN CAST(max(l_quantity) * 5 AS INTEGER) ELSE -1 END"
     following = f"CAST(c.es + to_months(CAST({months} AS INTEGER)) + to_days({days}) AS DATE)"
     last_inc = "es" if weekly else "es + ne - 1"
     last_exp = "es + n - 1" if weekly else "es + ne - 1 + n"
@@ -76,11 +81,12 @@ doc AS (
          CASE WHEN o_orderstatus = 'P' THEN 12 ELSE 3 END AS exp_months
   FROM orders),
 el AS (
-  SELECT id, start, unit, up, dist, row_number() OVER (PARTITION BY id ORDER BY ln, price, unit, up, dist, dur) AS k,
+  SELECT id, start, unit, up, dist, row_number() OVER (PARTITION BY id ORDER BY ln) AS k,
          100 AS up_dur, CASE WHEN dur > 0 THEN dur ELSE 100 END AS dist_dur
-  FROM (SELECT l_orderkey AS id, l_linenumber AS ln, l_extendedprice AS price, {unit} AS unit,
-               CASE WHEN l_returnflag = 'R' THEN l_tax / 1.0007::DOUBLE ELSE 0.0 END AS up, abs(l_discount) / 1.0007::DOUBLE AS dist, {duration} AS dur
-        FROM lineitem) JOIN doc USING (id)),
+  FROM (SELECT l_orderkey AS id, l_linenumber AS ln, {unit} AS unit,
+               sum(CASE WHEN l_returnflag = 'R' THEN l_tax ELSE 0.0 END) / 1.0007::DOUBLE AS up,
+               sum(abs(l_discount)) / 1.0007::DOUBLE AS dist, {duration} AS dur
+        FROM lineitem GROUP BY ALL) JOIN doc USING (id)),
 chain AS (
   SELECT DISTINCT id, 1::BIGINT AS k, start AS es FROM el
   UNION ALL
@@ -189,10 +195,15 @@ _register_results()
 
 @query("e2_config_elements", f"""
 WITH RECURSIVE {_sql_documents()}
-SELECT CAST(id AS VARCHAR) AS config_id, k - 1 AS ord, unit, up AS up_front, up_dur AS up_front_days, dist AS distribution,
-  dist_dur AS distribution_days FROM el""")
+SELECT CAST(id AS VARCHAR) AS config_id, k - 1 AS ord, unit, round(up, 6) AS up_front, up_dur AS up_front_days,
+  round(dist, 6) AS distribution, dist_dur AS distribution_days FROM el""")
 def e2(spark, sf_dir):
-    return order_configs(spark, sf_dir).select("config_id", F.inline("elements")).withColumn("ord", F.col("ord").cast("long"))
+    listed = order_configs(spark, sf_dir).select("config_id", F.inline("elements"))
+    return listed.withColumns({
+        "ord": F.col("ord").cast("long"),
+        "up_front": F.round("up_front", 6),
+        "distribution": F.round("distribution", 6),
+    })
 
 
 @query("s6_config_documents", f"""

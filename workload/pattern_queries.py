@@ -106,15 +106,15 @@ def e13(spark, sf_dir):
 
 @query("e13_invalid_durations_by_coverage", """
 WITH bad AS (
-  SELECT l_suppkey AS pattern_id, count(*) AS rows_found FROM lineitem WHERE floor(l_discount * 100 + 0.5) < 1 GROUP BY 1)
-SELECT o_orderkey AS coverage_id, pattern_id, rows_found
-FROM orders JOIN bad ON o_custkey = pattern_id""")
+  SELECT l_suppkey AS pattern_id, l_linenumber AS period, CASE WHEN l_returnflag = 'R' THEN 'QS' ELSE 'Q' END AS period_frequency,
+    max(l_tax) AS factor_value, 0 AS duration, count(*) AS factor_rows
+  FROM lineitem WHERE floor(l_discount * 100 + 0.5) < 1 GROUP BY ALL)
+SELECT o_orderkey AS coverage_id, bad.* FROM orders JOIN bad ON o_custkey = pattern_id""")
 def e13_coverage(spark, sf_dir):
     covers = inputs.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("coverage_id"), F.col("o_custkey").alias("writing_premium_pattern_id")
     )
-    found = patterns.invalid_durations(_doubtful_factors(spark, sf_dir), covers)
-    return found.groupBy("coverage_id", "pattern_id").agg(F.count(F.lit(1)).alias("rows_found"))
+    return patterns.invalid_durations_by_coverage(_doubtful_factors(spark, sf_dir), covers)
 
 
 @query("s21_factor_profile", f"""
