@@ -11,14 +11,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import running_sum, with_key_totals
+from .joins import running_sum, with_key_frames, with_key_totals
 
 KEYS = ("pattern",)
 
 
-def align_elements(elements: DataFrame, keys: Sequence[str] = KEYS, periods: int | None = None) -> DataFrame:
-    """Spread the elements of a pattern evenly over its duration and give each the weight 1/n."""
-    counted = with_key_totals(elements, keys, "element_number", {"_n": (F.sum, F.lit(1))})
+def _parts() -> Column:
+    """Number of non-zero shares of an element: the levels its blocks take up."""
+    start, spread = F.col("start_distribution"), F.col("distribution")
+    return (F.coalesce(start, F.lit(0.0)) != 0).cast("int") + (F.coalesce(spread, F.lit(0.0)) != 0).cast("int")
+
+
+def align_elements(
+    elements: DataFrame, keys: Sequence[str] = KEYS, periods: int | None = None, levels: bool = False
+) -> DataFrame:
+    """Spread the elements of a pattern evenly over its duration and give each the weight 1/n.
+
+    With ``levels`` the display level (see ``display_levels``) is added in the same pass.
+    """
+    counted = with_key_frames(
+        elements, keys, "element_number", {"_n": (F.sum, F.lit(1))}, {"_to": _parts()} if levels else None
+    )
     n = F.lit(periods) if periods else F.col("_n").cast("int")
     return counted.select(
         *elements.columns,
@@ -26,6 +39,7 @@ def align_elements(elements: DataFrame, keys: Sequence[str] = KEYS, periods: int
         (F.col("duration") / n).alias("duration_offset"),
         (F.col("element_number") * (F.col("duration") / n)).alias("start_offset"),
         (F.lit(1.0) / F.col("_n")).alias("weight"),
+        *([(F.col("_to") - _parts()).cast("int").alias("written_element")] if levels else []),
     )
 
 
@@ -61,11 +75,8 @@ def check_elements(elements: DataFrame, keys: Sequence[str] = KEYS, duration=360
 
 def display_levels(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Level at which an element's first block is shown: one level per non-zero share before it."""
-    parts = (F.coalesce(F.col("start_distribution"), F.lit(0.0)) != 0).cast("int") + (
-        F.coalesce(F.col("distribution"), F.lit(0.0)) != 0
-    ).cast("int")
-    levels = running_sum(elements.withColumn("_parts", parts), keys, "element_number", {"_to": "_parts"})
-    return levels.withColumn("written_element", (F.col("_to") - F.col("_parts")).cast("int")).drop("_to", "_parts")
+    summed = with_key_frames(elements, keys, "element_number", sums={"_to": _parts()})
+    return summed.withColumn("written_element", (F.col("_to") - _parts()).cast("int")).drop("_to")
 
 
 def pattern_blocks(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

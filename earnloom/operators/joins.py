@@ -77,29 +77,61 @@ def _blocked(df: DataFrame, position: str, block: int) -> DataFrame:
     return df.withColumn("_block", F.floor(number / block).cast("long"))
 
 
-def with_key_totals(
+def with_key_frames(
     df: DataFrame,
     keys: Sequence[str],
     position: str,
-    totals: dict[str, tuple[Callable[[Column], Column], Column]],
+    totals: dict[str, tuple[Callable[[Column], Column], Column]] | None = None,
+    sums: dict[str, Column] | None = None,
     block: int = 4096,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add aggregates over all rows of a key to each of its rows.
-
-    ``totals`` maps a name to (function, input); the function (sum, min, max, bool_and) is applied per
-    block of positions and again over the blocks of the key. The result is joined back per block, so
-    even a key that holds a third of all rows is never gathered in one task.
+    """Add aggregates over all rows of a key, and running sums within it, to each of its rows.
+
+    Positions (integers or dates) are cut into blocks. ``totals`` maps a name to (function, input); the
+    function (sum, min, max, bool_and) is applied per block and again over the blocks of the key.
+    ``sums`` maps a name to an input: a window runs inside one block and the sum of all earlier blocks
+    is added. ``order`` settles rows of the same position. What belongs to the key comes back by one
+    join per block, so no task holds more than a block of a key, or one row per block of a key,
+    however many rows the key has.
     """
-    keys = list(keys)
+    keys, totals, sums = list(keys), totals or {}, sums or {}
     blocked = _blocked(df, position, block)
     per_block = blocked.groupBy(*keys, "_block").agg(
-        *[function(source).alias(f"_part_{name}") for name, (function, source) in totals.items()]
+        *[function(source).alias(f"_part_{name}") for name, (function, source) in totals.items()],
+        *[F.sum(source).alias(f"_sum_{name}") for name, source in sums.items()],
     )
     whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     per_key = per_block.select(
-        *keys, "_block", *[function(F.col(f"_part_{name}")).over(whole).alias(name) for name, (function, _) in totals.items()]
+        *keys,
+        "_block",
+        *[function(F.col(f"_part_{name}")).over(whole).alias(name) for name, (function, _) in totals.items()],
+        *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_before_{name}") for name in sums],
+    )
+    if sums:
+        inside = (
+            Window.partitionBy(*keys, "_block")
+            .orderBy(*(order or [position]))
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        blocked = blocked.withColumns({f"_inside_{name}": F.sum(source).over(inside) for name, source in sums.items()})
+    return blocked.join(per_key, keys + ["_block"]).select(
+        *df.columns,
+        *totals,
+        *[(F.col(f"_before_{name}") + F.col(f"_inside_{name}")).alias(name) for name in sums],
     )
-    return blocked.join(per_key, keys + ["_block"]).select(*df.columns, *totals)
+
+
+def with_key_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    totals: dict[str, tuple[Callable[[Column], Column], Column]],
+    block: int = 4096,
+) -> DataFrame:
+    """Aggregates over all rows of a key on each of its rows (see ``with_key_frames``)."""
+    return with_key_frames(df, keys, position, totals=totals, block=block)
 
 
 def running_sum(
@@ -110,29 +142,7 @@ def running_sum(
     block: int = 4096,
     order: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Running sums by integer (or date) position within a key.
-
-    ``order`` settles rows of the same position (default: the position alone, which is then unique).
-
-    Positions are cut into blocks: a window runs inside one block, and the sum of all earlier blocks
-    comes from a second window over one row per block. No task holds more than a block of a key, or
-    one row per block of a key, however long the key's series is.
-    """
-    keys = list(keys)
-    blocked = _blocked(df, position, block)
-    inside = Window.partitionBy(*keys, "_block").orderBy(*(order or [position])).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = blocked.groupBy(*keys, "_block").agg(
-        *[F.sum(source).alias(f"_total_{target}") for target, source in sums.items()]
-    )
-    offsets = totals.select(
-        *keys,
-        "_block",
-        *[F.coalesce(F.sum(f"_total_{target}").over(before), F.lit(0)).alias(f"_before_{target}") for target in sums],
-    )
-    local = blocked.withColumns({f"_inside_{target}": F.sum(source).over(inside) for target, source in sums.items()})
-    joined = local.join(offsets, keys + ["_block"])
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_before_{target}") + F.col(f"_inside_{target}")).alias(target) for target in sums],
+    """Running sums of columns by position within a key (see ``with_key_frames``)."""
+    return with_key_frames(
+        df, keys, position, sums={name: F.col(source) for name, source in sums.items()}, block=block, order=order
     )

@@ -90,7 +90,10 @@ def result_cells(
     """Cells of every document over the period sets that the selector names."""
     keys = list(keys)
     rows = with_periods(configs, selector, keys, linear)
-    schedule = rows.select(*keys, "incurred_buckets", "exposure_buckets", F.inline("schedule"))
+    # outer: the plain form would test the arrays beforehand and work them out twice for that
+    schedule = rows.select(*keys, "incurred_buckets", "exposure_buckets", F.inline_outer("schedule")).filter(
+        F.col("element_start").isNotNull()
+    )
     return (linear_bucket_cells if linear else bucket_cells)(schedule, keys)
 
 

@@ -56,7 +56,7 @@ block AS (
 
 
 def blocks(spark, sf_dir):
-    aligned = bl.align_elements(elements(spark, sf_dir))
+    aligned = bl.align_elements(elements(spark, sf_dir), levels=True)
     return bl.apply_ultimate(bl.pattern_blocks(aligned), ULTIMATE)
 
 
