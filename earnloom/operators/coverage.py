@@ -7,6 +7,7 @@ days however many coverages there are. Results go back to the coverages as one p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,6 +20,12 @@ PAIR = ["pattern_id", "start_date"]
 # Month steps into February go to the 28th for coverage patterns.
 COVERAGE_CLAMP = "feb28"
 
+# Identifiers and texts of summaries and derived patterns.
+UNNAMED_PATTERN = "Pattern_"
+LOSS_PATTERN_ID = "LI_"
+LOSS_PATTERN_NAME = "Loss incurred pattern for writing pattern "
+UNKNOWN_COVERAGE = "No pattern found for coverage_id: "
+
 TOLERANCE = 1e-6
 
 
@@ -67,6 +74,12 @@ class CoveragePatterns:
         self.pattern_rows = nest_elements(self.elements)
         self.names = patterns.groupBy("pattern_id").agg(F.min("pattern_name").alias("pattern_name"))
 
+    def only(self, *coverage_ids: int) -> CoveragePatterns:
+        """The same book for a few coverages: just their pairs are expanded."""
+        part = copy(self)
+        part.allocations = self.allocations.filter(F.col("coverage_id").isin(*coverage_ids))
+        return part
+
     # --- per (pattern, start date) ---------------------------------------------------------------
 
     def pairs(self) -> DataFrame:
@@ -184,7 +197,7 @@ class CoveragePatterns:
             "pattern_id",
             F.when(
                 known,
-                F.coalesce("pattern_name", F.concat(F.lit("Pattern_"), F.col("pattern_id").cast("string"))),
+                F.coalesce("pattern_name", F.concat(F.lit(UNNAMED_PATTERN), F.col("pattern_id").cast("string"))),
             ).alias("pattern_name"),
             F.col("start_date").alias("pattern_start_date"),
             *[F.when(known, F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in zero],
@@ -194,7 +207,7 @@ class CoveragePatterns:
             "distributed_factors",
             F.when(
                 known.isNull(),
-                F.concat(F.lit("No pattern found for coverage_id: "), F.col("coverage_id").cast("string")),
+                F.concat(F.lit(UNKNOWN_COVERAGE), F.col("coverage_id").cast("string")),
             ).alias("error"),
         )
 
@@ -211,7 +224,7 @@ class CoveragePatterns:
             .join(self.names, "pattern_id", "left")
             .select(
                 *PAIR,
-                F.coalesce("pattern_name", F.concat(F.lit("Pattern_"), F.col("pattern_id").cast("string"))).alias(
+                F.coalesce("pattern_name", F.concat(F.lit(UNNAMED_PATTERN), F.col("pattern_id").cast("string"))).alias(
                     "pattern_name"
                 ),
                 "total_elements",
@@ -247,8 +260,8 @@ class CoveragePatterns:
         pattern = F.col("pattern_id").cast("string")
         return per_pair.filter(F.size("exposure_vector") > 0).select(
             *PAIR,
-            F.concat(F.lit("LI_"), pattern).alias("loss_pattern_id"),
-            F.concat(F.lit("Loss incurred pattern for writing pattern "), pattern).alias("loss_pattern_name"),
+            F.concat(F.lit(LOSS_PATTERN_ID), pattern).alias("loss_pattern_id"),
+            F.concat(F.lit(LOSS_PATTERN_NAME), pattern).alias("loss_pattern_name"),
             F.get("exposure_vector", F.lit(0))["date_bucket"].alias("loss_pattern_start_date"),
             F.size("exposure_vector").alias("qe_factors_count"),
             shares.alias("total_exposure_distribution"),

@@ -76,11 +76,11 @@ def read_configs(spark: SparkSession, path: str) -> DataFrame:
     return shape_configs(raw.withColumn("config_id", name))
 
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario documents; text that is not JSON is kept in ``corrupt`` with null fields."""
+def read_scenarios(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Scenario documents, one per file or one per line; text that is not JSON is kept in ``corrupt``."""
     return (
         spark.read.schema(SCENARIO_SCHEMA + ", corrupt string")
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "corrupt")
         .json(path)

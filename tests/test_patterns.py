@@ -90,6 +90,22 @@ def test_summaries_and_unknown_coverage(spark, book):
     assert known["upfront_factors"][0]["factor_type"] == "QUARTER"
 
 
+def test_one_coverage(book):
+    one = book.only(101)
+    assert one.pairs().count() == 1
+    assert one.coverage_matrix().count() == 20
+
+
+def test_year_elements_in_leap_years(spark):
+    cases = [(0, D(2024, 2, 29), [("YEAR", 0.1, 90, 0.5, 29), ("YEAR", 0.0, 0, 0.4, 30)]), (1, D(2023, 12, 31), [("YEAR", 0.0, 1, 1.0, 1)])]
+    schedule = expand.element_schedule(instance_frame(spark, cases), ["k"])
+    found = {}
+    for r in expand.financial_cells(schedule, ["k"]).collect():
+        found.setdefault(r["k"], {})[(r["incurred_bucket"], r["exposure_bucket"])] = r["value"]
+    for key, start, elements in cases:
+        assert found[key] == pytest.approx(brute.bucketed(brute.daily(elements, start), brute.quarter_end, brute.quarter_end), abs=1e-9)
+
+
 def test_first_allocation_wins(book):
     rows = {r["coverage_id"]: r for r in book.allocations.collect()}
     assert (rows[102]["pattern_id"], rows[102]["start_date"]) == (1002, START)

@@ -266,21 +266,21 @@ def e3(spark, sf_dir):
 
 
 @query("s7_scenario_documents", """
-SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'part ' || p_partkey END AS key, p_partkey % 10 = 0 AS corrupt,
-  CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_size / 100.0::DOUBLE END AS distribution
+SELECT CASE WHEN p_size > 45 THEN NULL ELSE 'part ' || p_partkey END AS key, p_size > 45 AS corrupt,
+  CASE WHEN p_size > 45 THEN NULL ELSE p_size / 100.0::DOUBLE END AS distribution
 FROM part""")
 def s7(spark, sf_dir):
-    """One JSON text per part, every tenth one cut off in the middle; broken texts are kept apart."""
-    good = F.to_json(F.struct(
+    """One JSON text per part, those of large parts cut off before their end; broken texts are kept apart."""
+    document = F.to_json(F.struct(
         F.concat(F.lit("part "), F.col("p_partkey")).alias("key"),
         F.array(F.struct(F.lit("Q").alias("type"), (F.col("p_size") / 100.0).alias("distribution"))).alias("factors"),
     ))
-    text = F.when(F.col("p_partkey") % 10 == 0, F.expr("substring(_t, 1, length(_t) - 3)")).otherwise(F.col("_t"))
     path = scratch_path(spark, "scenarios")
-    inputs.table(spark, sf_dir, "part").withColumn("_t", good).select(text.alias("value")).write.text(path)
-    read = spark.read.schema(documents.SCENARIO_SCHEMA + ", corrupt string").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "corrupt"
-    ).json(path)
+    texts = inputs.table(spark, sf_dir, "part").select("p_size", document.alias("text"))
+    texts.select(
+        F.when(F.col("p_size") > 45, F.expr("substring(text, 1, length(text) - 3)")).otherwise(F.col("text")).alias("value")
+    ).write.text(path)
+    read = documents.read_scenarios(spark, path, multi_line=False)
     broken = F.col("corrupt").isNotNull()
     return read.select(
         F.when(~broken, F.col("key")).alias("key"),
