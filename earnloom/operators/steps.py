@@ -124,19 +124,21 @@ def set_column_type(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     return df.withColumns(pending) if pending else df
 
 
-def _filtered(df: DataFrame, step: Mapping) -> DataFrame:
-    test = all_conditions(step.get("conditions"))
-    return df if test is None else df.filter(test)
+def _filtered(chosen: DataFrame, step: Mapping, source: DataFrame) -> DataFrame:
+    """Filter on the chosen columns; Spark also finds columns that were not chosen."""
+    schema = T.StructType([*source.schema.fields, *chosen.schema.fields])
+    test = all_conditions(step.get("conditions"), schema)
+    return chosen if test is None else chosen.filter(test)
 
 
 def select(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     chosen = df.select(*step["columns"])
-    return _filtered(chosen.distinct() if step.get("distinct", False) else chosen, step)
+    return _filtered(chosen.distinct() if step.get("distinct", False) else chosen, step, df)
 
 
 def select_expression(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     chosen = df.selectExpr(*step["columns"])
-    return _filtered(chosen.distinct() if step.get("distinct", False) else chosen, step)
+    return _filtered(chosen.distinct() if step.get("distinct", False) else chosen, step, df)
 
 
 def transpose_columns(df: DataFrame, step: Mapping, run=None) -> DataFrame:
@@ -172,21 +174,44 @@ def chained(pairs: Mapping) -> dict:
     return final
 
 
-def _mapped(df: DataFrame, name: str, pairs: Mapping, otherwise: Column | None) -> Column:
+def _either(first: Column, first_type: T.DataType, second: Column, second_type: T.DataType) -> tuple[Column, Column]:
+    """Two columns that may stand in for each other: as text if just one of them is text."""
+    if isinstance(first_type, T.StringType) == isinstance(second_type, T.StringType):
+        return first, second
+    return first.cast("string"), second.cast("string")
+
+
+def _constant_type(value) -> T.DataType:
+    return T.StringType() if isinstance(value, str) else T.NullType()
+
+
+def _set_where(test: Column, value, current: Column, kind: T.DataType) -> Column:
+    """The constant where the test holds; a text constant turns the column into text."""
+    if isinstance(value, str) and not isinstance(kind, T.StringType):
+        current = current.cast("string")
+    return F.when(test, F.lit(value)).otherwise(current)
+
+
+def _mapped(df: DataFrame, name: str, pairs: Mapping, default=None) -> Column:
     """One map lookup per row; keys are compared in the column's own type."""
     column, kind = F.col(name), df.schema[name].dataType
-    fallback = column if otherwise is None else otherwise
+    fallback = column if default is None else F.lit(default)
     if not pairs:
         return fallback
-    texts = any(isinstance(v, str) for v in pairs.values())
-    fallback = fallback.cast("string") if texts else fallback
-    entries = [c for k, v in pairs.items() for c in (F.lit(k).try_cast(kind), F.lit(v))]
+    values = list(pairs.values())
+    as_text = any(isinstance(v, str) for v in [*values, default])
+    if as_text:
+        values = [None if v is None else str(v) for v in values]
+        fallback = fallback.cast("string")
     if isinstance(kind, T.StringType):
-        found = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[column]
+        found = F.create_map(*[F.lit(x) for pair in zip(pairs, values) for x in pair])[column]
     else:
         found = None
-        for key, value in zip(entries[::2], entries[1::2]):
-            found = F.when(column == key, value) if found is None else found.when(column == key, value)
+        for key, value in zip(pairs, values):
+            hit = column == F.lit(key).try_cast(kind)
+            found = F.when(hit, F.lit(value)) if found is None else found.when(hit, F.lit(value))
+    if not as_text and default is None and isinstance(kind, T.StringType):
+        found = found.cast("string")
     return F.coalesce(found, fallback)
 
 
@@ -196,7 +221,7 @@ def simplemap(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     pairs = step.get("mapping") or {}
     if step.get("chained", True):
         pairs = chained(pairs)
-    fresh = {c: _mapped(df, c, pairs, None) for c in step.get("columns", [])}
+    fresh = {c: _mapped(df, c, pairs) for c in step.get("columns", [])}
     return df.withColumns(fresh) if fresh else df
 
 
@@ -210,8 +235,7 @@ def map_values(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     default = step.get("default_value")
     path = step.get("mapping_file")
     if not path:
-        otherwise = F.lit(default) if default is not None else None
-        fresh = {c: _mapped(df, c, step.get("mapping") or {}, otherwise) for c in columns}
+        fresh = {c: _mapped(df, c, step.get("mapping") or {}, default) for c in columns}
         return df.withColumns(fresh) if fresh else df
     table = run.read_side(path)
     pairs = table.select(F.col("from").alias("_from"), F.col("to").alias("_to"))
@@ -219,12 +243,16 @@ def map_values(df: DataFrame, step: Mapping, run=None) -> DataFrame:
         pairs = pairs.groupBy("_from").agg(F.min("_to").alias("_to"))
     for column in columns:
         keyed = pairs.withColumnRenamed("_from", "_key")
-        fallback = F.lit(default) if default is not None else F.col(column).cast(pairs.schema["_to"].dataType)
+        to_type = pairs.schema["_to"].dataType
+        if default is not None:
+            found, fallback = _either(F.col("_to"), to_type, F.lit(default), _constant_type(default))
+        else:
+            found, fallback = _either(F.col("_to"), to_type, F.col(column), df.schema[column].dataType)
         # a small file is broadcast by its size; for a big one ``spread`` names columns to salt hot values by
         joined = lookup_join(
             df.withColumn("_key", F.col(column)), keyed, ["_key"], "left", spread=step.get("spread")
         )
-        df = joined.withColumn(column, F.coalesce(F.col("_to"), fallback)).select(*df.columns)
+        df = joined.withColumn(column, F.coalesce(found, fallback)).select(*df.columns)
     return df
 
 
@@ -234,40 +262,36 @@ def map_values(df: DataFrame, step: Mapping, run=None) -> DataFrame:
 def update_columns(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     """Where the conditions hold, set a constant or take another column; later entries see earlier ones."""
     for spec in step.get("columns", []):
-        test = all_conditions(spec.get("conditions"))
+        test = all_conditions(spec.get("conditions"), df.schema)
         if test is None:
             continue
-        target = spec.get("target_column")
+        source, target = spec["source_column"], spec.get("target_column")
         if target:
-            df = df.withColumn(target, F.when(test, F.col(spec["source_column"])).otherwise(F.col(target)))
+            taken, kept = _either(F.col(source), df.schema[source].dataType, F.col(target), df.schema[target].dataType)
+            df = df.withColumn(target, F.when(test, taken).otherwise(kept))
         else:
-            source = spec["source_column"]
-            df = df.withColumn(source, F.when(test, F.lit(spec.get("target_value"))).otherwise(F.col(source)))
+            df = df.withColumn(source, _set_where(test, spec.get("target_value"), F.col(source), df.schema[source].dataType))
     return df
 
 
 def duplicate_row(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     """Rows that meet the conditions appear once more with replaced values. One pass over the input."""
-    test = all_conditions(step.get("conditions"))
+    test = all_conditions(step.get("conditions"), df.schema)
     if test is None:
         return df
-    fresh = {c["source_column"]: F.lit(c.get("target_value")) for c in step.get("update_columns", [])}
+    values = {c["source_column"]: c.get("target_value") for c in step.get("update_columns", [])}
+    unknown = sorted(set(values) - set(df.columns))
+    if unknown:
+        raise ValueError(f"duplicate_row replaces columns the frame does not have: {unknown}")
     copies = F.when(test, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    doubled = df.select("*", F.explode(copies).alias("_copy"))
-    kept = []
-    for c in df.columns:
-        if c not in fresh:
-            kept.append(F.col(c))
-            continue
-        kind = df.schema[c].dataType
-        replaced = next(s.get("target_value") for s in step["update_columns"] if s["source_column"] == c)
-        text = isinstance(replaced, str) and not isinstance(kind, T.StringType)
-        original = F.col(c).cast("string") if text else F.col(c)
-        kept.append(F.when(F.col("_copy"), fresh[c]).otherwise(original).alias(c))
-    added = [v.alias(c) for c, v in fresh.items() if c not in df.columns]
-    if added:
-        raise ValueError(f"duplicate_row replaces columns the frame does not have: {sorted(set(fresh) - set(df.columns))}")
-    return doubled.select(*kept)
+    return df.select("*", F.explode(copies).alias("_copy")).select(
+        *[
+            _set_where(F.col("_copy"), values[f.name], F.col(f.name), f.dataType).alias(f.name)
+            if f.name in values
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
 
 
 # Aggregate functions that a group_by step may name.

@@ -173,3 +173,27 @@ def test_follow_up_mappings(spark, people, tmp_path):
 def test_session_settings_of_a_document(spark):
     MappingRun(spark, {"arch_config": {"spark.sql.debug.maxToStringFields": "99"}}, environment={})
     assert spark.conf.get("spark.sql.debug.maxToStringFields") == "99"
+
+
+def test_mixed_text_and_numbers(spark, tmp_path):
+    """Text in a numeric place gives text or null, never an error."""
+    df = spark.createDataFrame([("5", 1), ("x", 2)], "level string, n int")
+    assert rows(apply(df, "select", columns=["level", "n"], conditions=[{"column": "level", "operator": ">", "value": 3}])) == [("5", 1)]
+    assert rows(apply(df, "select", columns=["level"], conditions=[{"column": "n", "operator": "==", "value": "two"}])) == []
+    assert rows(apply(df, "select", columns=["n"], conditions=[{"column": "level", "operator": ">=", "value_column": "n"}])) == [(1,)]
+    done = apply(df, "update_columns", columns=[
+        {"source_column": "n", "target_value": "many", "conditions": [{"column": "n", "operator": ">", "value": 1}]}])
+    assert rows(done) == [("5", "1"), ("x", "many")]
+    taken = apply(df, "update_columns", columns=[
+        {"source_column": "level", "target_column": "n", "conditions": [{"column": "n", "operator": ">", "value": 1}]}])
+    assert rows(taken) == [("5", "1"), ("x", "x")]
+    assert rows(apply(df, "map", columns=["level"], mapping={"x": 7})) == [("5", 1), ("7", 2)]
+    assert rows(apply(df, "map", columns=["n"], mapping={"1": 7}, default_value="other")) == [("5", "7"), ("x", "other")]
+    path = str(tmp_path / "numbers.parquet")
+    spark.createDataFrame([("x", 9)], "`from` string, `to` int").write.parquet(path)
+    assert rows(apply(df, "map", columns=["level"], mapping_file=path)) == [("5", 1), ("9", 2)]
+    assert rows(apply(df, "map", columns=["level"], mapping_file=path, default_value="none")) == [("9", 2), ("none", 1)]
+
+
+def test_all_listed_aggregates_exist(spark):
+    assert [name for name in steps.AGGREGATES if not hasattr(F, name)] == []

@@ -142,9 +142,10 @@ def s11(spark, sf_dir):
 
 
 @query("s14_describe", """
-SELECT column_index AS position, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
-  WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp' END AS column_type
-FROM (SELECT CAST(column_index - 1 AS INTEGER) AS column_index, column_name, data_type FROM duckdb_columns() WHERE table_name = 'lineitem')""")
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS position, column_name,
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+    ELSE 'timestamp' END AS column_type
+FROM (DESCRIBE SELECT * FROM lineitem)""")
 def s14(spark, sf_dir):
     described, _ = files.describe_parquet(spark, f"{sf_dir}/lineitem.parquet")
     return described.withColumn("column_type", F.regexp_replace("column_type", "timestamp_ntz", "timestamp"))
