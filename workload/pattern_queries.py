@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from earnloom.functions import calendar as cal
 from earnloom.operators import buckets, coverage, expand, matrix, patterns
 from earnloom.operators.joins import spread_rows
 from earnloom.plans import results
