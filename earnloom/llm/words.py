@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # The blanks between words, and a word.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -22,11 +23,12 @@ def text_of(name: str = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; no empty strings."""
-    return F.array_remove(F.split(text, BLANKS), "")
+    trimmed = F.btrim(text, F.lit(BLANK_CHARS))
+    return F.when(trimmed != "", F.split(trimmed, BLANKS)).otherwise(F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:
-    """Number of words, without building them: a blank put before each run is counted."""
+    """Number of words: one more than the blank runs between them."""
     return F.size(words(text)).cast("long")
 
 
