@@ -1,4 +1,4 @@
 """Imports every operator, which registers its query."""
 
-from earnloom.llm import hosts, mixture, quality_rules, shards  # noqa: F401
+from earnloom.llm import contamination, hosts, mixture, quality_rules, shards  # noqa: F401
 from earnloom.llm.registry import QUERIES, SQL  # noqa: F401
