@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The blanks between words, and a word.
@@ -12,7 +16,28 @@ BLANK_CHARS = " \t\n\x0b\x0c\r"
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that it need not be installed there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="earnloom-package-"), "earnloom.zip")
+    with zipfile.ZipFile(path, "w") as made:
+        for folder, _, names in os.walk(os.path.join(top, "earnloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    made.write(file, os.path.relpath(file, top))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
