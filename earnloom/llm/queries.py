@@ -1,4 +1,4 @@
 """Imports every operator, which registers its query."""
 
-from earnloom.llm import contamination, hosts, mixture, near_dedup, quality_rules, ranking, shards, tokens  # noqa: F401
+from earnloom.llm import contamination, hosts, mixture, near_dedup, private_data, quality_rules, ranking, shards, tokens  # noqa: F401
 from earnloom.llm.registry import QUERIES, SQL  # noqa: F401
