@@ -80,6 +80,18 @@ def sharded(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataF
     return placed.withColumn("law", F.lit("key"))
 
 
+def placed(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id") -> DataFrame:
+    """``docs`` with ``shard`` and ``slot`` put over columns of these names."""
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
+        F.col(f"`{key}`").alias("_key"),
+        F.xxhash64(text_of()).alias("_order"),
+    )
+    assigned = packed.withColumn("shard", rendezvous(F.col("_key"), [1.0] * shards))
+    return with_slots(assigned, ["_key", "_order"], "_key").select("_row.*", "shard", "slot")
+
+
 def _sql() -> str:
     def draws(n: int) -> str:
         one = [f"{{'draw': -ln({sql_uniform(f"k || ':{i}'")}), 'shard': {i}}}" for i in range(n)]
