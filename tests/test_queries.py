@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from check_queries import TABLES, compare
 
 SF_DIR = entry.SMALL
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.QUERIES, entry.SQL
 
 
 @pytest.fixture(scope="module")
