@@ -148,7 +148,7 @@ def test_licences(spark, nothing):
     got = {r["doc_id"]: r["templates"] for r in licenses.scanned(docs).collect()}
     assert got == {1: "mit", 2: "all-rights-reserved", 3: "", 4: "", 5: "", 6: ""}
     assert licenses.scanned(nothing).count() == 0
-    near = licenses.notices(docs, contained=70).filter("doc_id = 6").collect()
+    near = licenses.notices(docs, contained=60).filter("doc_id = 6").collect()
     assert near and near[0]["template"] == "mit-permission"
 
 
