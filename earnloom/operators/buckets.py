@@ -63,7 +63,7 @@ def _by_unit_column(unit: Column, build) -> Column:
     chain = F.when(unit == names[0], build(names[0]))
     for name in names[1:]:
         chain = chain.when(unit == name, build(name))
-    return chain
+    return chain.when(unit.isNotNull(), F.raise_error(F.concat(F.lit("unknown time unit "), unit)))
 
 
 def period_set(letter: str, start: Column, first: Column, last: Column, development_last: Column, unit) -> Column:

@@ -20,7 +20,9 @@ def add_counter(df: DataFrame, column: str, order_by: Sequence | None = None) ->
     row per partition.
     """
     if order_by:
-        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+        # rows that tie are told apart by a hash, so that a frequent value is spread over tasks
+        plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        df = df.repartitionByRange(*order_by, F.xxhash64(*plain)).sortWithinPartitions(*order_by)
     placed = pinned(df.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", _ROW_BITS).cast("int")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

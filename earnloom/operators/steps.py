@@ -330,10 +330,17 @@ def join(df: DataFrame, step: Mapping, run=None) -> DataFrame:
 def append(df: DataFrame, step: Mapping, run=None) -> DataFrame:
     """Union with a file whose column names and types are the same; otherwise the frame stays as it is.
 
-    ``use_schema: true`` reads the file with the frame's own schema instead of an inferred one.
+    ``use_schema: true`` types the file's columns, found by name, as the frame's instead of inferring types.
+    A file that lacks one of them is left out too.
     """
     schema = df.schema if step.get("use_schema") else None
-    other = run.read_side(step["data_file"], schema=schema)
+    try:
+        other = run.read_side(step["data_file"], schema=schema)
+    except ValueError as error:
+        if schema is None:
+            raise
+        run.note(f"append skipped: {error}")
+        return df
     here = [(f.name, f.dataType) for f in df.schema.fields]
     there = [(f.name, f.dataType) for f in other.schema.fields]
     if here != there:

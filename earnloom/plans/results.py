@@ -100,9 +100,9 @@ def result_cells(
 def result(
     configs: DataFrame, selector: str, keys: Sequence[str] = ("config_id",), linear: bool = False
 ) -> DataFrame:
-    """The selected output: M the cells, C the exposure vector, R the incurred vector.
+    """The selected output of one mode: M the cells, C the exposure vector, R the incurred vector.
 
-    Rows whose ``linear`` setting differs from ``linear`` are left out; call once per mode.
+    Rows whose ``linear`` setting differs from ``linear`` are left out; ``book_result`` takes both modes.
     """
     chosen = configs.filter(F.coalesce(F.col("linear"), F.lit(False)) == linear) if "linear" in configs.columns else configs
     cells = result_cells(chosen, selector, keys, linear)
@@ -115,6 +115,13 @@ def result(
     )
 
 
+def book_result(configs: DataFrame, selector: str, keys: Sequence[str] = ("config_id",)) -> DataFrame:
+    """The selected output of every row, each in the mode of its own ``linear`` setting (even without one)."""
+    if "linear" not in configs.columns:
+        return result(configs, selector, keys)
+    return result(configs, selector, keys).unionByName(result(configs, selector, keys, linear=True))
+
+
 def result_table(cells: DataFrame, keys: Sequence[str], exposure_buckets, precision: int = 6) -> DataFrame:
     """Wide table without totals, rounded half up."""
     return matrix.table(cells, keys, exposure_buckets, precision, totals=False)

@@ -31,7 +31,11 @@ def get_spark(app: str = "earnloom", master: str | None = None, **conf) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is named (tests) a local one is made."""
+    """The cluster's checkpoint folder. Only where none is named and all runs on one machine a local one is made.
+
+    Remove what a job wrote below ``earnloom/`` in it with the file system's own tools once the job's results
+    are stored elsewhere; results that were not stored are read from there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -39,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = tempfile.mkdtemp(prefix="earnloom-checkpoint-")
     context.setCheckpointDir(made)
     return made

@@ -40,10 +40,13 @@ BLOCK_DOCUMENT_SCHEMA = (
 
 
 def read_pattern_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Coverage allocations, pattern factors and pattern names, with declared column types."""
-    allocations = files.read_csv(spark, os.path.join(folder, ALLOCATION_FILE), schema=ALLOCATION_SCHEMA)
-    factors = files.read_csv(spark, os.path.join(folder, FACTOR_FILE), schema=FACTOR_SCHEMA)
-    patterns = files.read_csv(spark, os.path.join(folder, PATTERN_FILE), schema=PATTERN_SCHEMA)
+    """Coverage allocations, pattern factors and pattern names, with declared column types.
+
+    Columns are found by name, in any order.
+    """
+    allocations = files.read_csv_by_name(spark, os.path.join(folder, ALLOCATION_FILE), ALLOCATION_SCHEMA)
+    factors = files.read_csv_by_name(spark, os.path.join(folder, FACTOR_FILE), FACTOR_SCHEMA)
+    patterns = files.read_csv_by_name(spark, os.path.join(folder, PATTERN_FILE), PATTERN_SCHEMA)
     return (
         allocations.withColumn("pattern_start_date", F.col("pattern_start_date").cast("date")),
         factors.withColumn("duration", F.col("duration").cast("int")),

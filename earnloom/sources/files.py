@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +23,19 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, infer: bool =
     return reader.option("inferSchema", infer).csv(path)
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: str | StructType, sep: str = ",") -> DataFrame:
+    """The columns of a schema by their names in the file's header, whatever their order there.
+
+    A column that the header lacks is an error; values that do not fit their type become null.
+    """
+    declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    rows = spark.read.option("header", True).option("sep", sep).csv(path)
+    missing = [f.name for f in declared.fields if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"{path!r} lacks the columns {missing}")
+    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in declared.fields])
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
@@ -31,7 +45,7 @@ def read_by_extension(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if path.endswith(".parquet"):
         return read_parquet(spark, path)
     if path.endswith(".csv"):
-        return read_csv(spark, path, schema=schema)
+        return read_csv(spark, path) if schema is None else read_csv_by_name(spark, path, schema)
     raise ValueError(f"unsupported side input {path!r}: use .csv or .parquet")
 
 

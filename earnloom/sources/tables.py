@@ -82,7 +82,10 @@ def table_of_file(name: str) -> str:
 
 
 def load_schema(spark: SparkSession, schema: str, folder: str | None = None, truncate: bool = False, sep: str = ";") -> list[str]:
-    """CSV files in name order into the tables they are named after, typed by the tables."""
+    """CSV files in name order into the tables they are named after, typed by the tables.
+
+    Columns are found by name; a file without one of the table's columns is an error.
+    """
     folder = folder or schema
     loaded = []
     for entry in _entries(spark, folder):
@@ -90,7 +93,7 @@ def load_schema(spark: SparkSession, schema: str, folder: str | None = None, tru
             continue
         table = f"{schema}.{table_of_file(entry)}"
         target = spark.table(table)
-        rows = files.read_csv(spark, os.path.join(folder, entry), schema=target.schema, sep=sep)
+        rows = files.read_csv_by_name(spark, os.path.join(folder, entry), target.schema, sep=sep)
         rows.write.insertInto(table, overwrite=truncate)
         loaded.append(table)
     return loaded

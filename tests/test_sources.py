@@ -19,6 +19,37 @@ def test_pattern_csv_tables(spark, tmp_path):
     assert names.first()["pattern_name"] == "Classic 4 quarters"
 
 
+def test_pattern_csv_columns_in_another_order(spark, tmp_path):
+    (tmp_path / documents.ALLOCATION_FILE).write_text("pattern_start_date,coverage_id,note,writing_premium_pattern_id\n2023-01-01,101,x,1001\n")
+    (tmp_path / documents.FACTOR_FILE).write_text("pattern_id,period,period_frequency,factor_value,duration\n1001,1,QS,0.1284,360\n")
+    (tmp_path / documents.PATTERN_FILE).write_text("pattern_name,pattern_id\nClassic,1001\n")
+    allocations, factors, names = documents.read_pattern_tables(spark, str(tmp_path))
+    assert tuple(allocations.first()) == (101, 1001, dt.date(2023, 1, 1))
+    assert tuple(factors.first()) == (1001, "QS", 1, 0.1284, 360) and tuple(names.first()) == (1001, "Classic")
+    (tmp_path / documents.PATTERN_FILE).write_text("name,pattern_id\nClassic,1001\n")
+    with pytest.raises(ValueError, match="pattern_name"):
+        documents.read_pattern_tables(spark, str(tmp_path))
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from earnloom import session
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+
+
 def test_config_documents(spark, tmp_path):
     plain = {"insuredPeriodStartDate": "2024-08-02", "defaultDuration": 360, "incurredTimeUnit": "quarter", "exposedTimeUnit": "QUARTER",
              "unknown": 1, "endOfPeriod": True, "ultimateValues": [{"type": "premium", "value": 100.0}, {"type": "costs"}],
@@ -34,6 +65,11 @@ def test_config_documents(spark, tmp_path):
     total = results.result(configs, "FFC").agg(F.sum("value")).first()[0]
     assert total == pytest.approx(1.0)
     assert results.result(configs, "FFM", linear=True).select("config_id").distinct().first()[0] == "second"
+    assert results.book_result(configs, "FFM").select("config_id").distinct().count() == 2
+    unknown = configs.withColumn("exposed_unit", F.lit("HALFYEAR")) if "exposed_unit" in configs.columns else None
+    if unknown is not None:
+        with pytest.raises(Exception, match="HALFYEAR"):
+            results.result(unknown, "FFM").collect()
     cells = results.result(configs, "FFC").join(configs.select("config_id", "ultimates"), "config_id")
     amounts = patterns.apply_ultimates(cells, "ultimates").groupBy("ultimate_type").agg(F.sum("value").alias("v"))
     assert {r[0]: round(r[1], 6) for r in amounts.collect()} == {"PREMIUM": 100.0, "COSTS": 1.0}

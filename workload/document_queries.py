@@ -193,6 +193,17 @@ def _register_results():
 _register_results()
 
 
+@query("e22_book_of_both_modes", f"""
+SELECT config_id, incurred_bucket, exposure_bucket, value FROM ({_sql_result("FFM")})
+UNION ALL
+SELECT 'w' || config_id, incurred_bucket, exposure_bucket, value FROM ({_sql_result("FFM", weekly=True)})""")
+def e22_book(spark, sf_dir):
+    even = order_configs(spark, sf_dir)
+    weekly = order_configs(spark, sf_dir, weekly=True).withColumn("config_id", F.concat(F.lit("w"), "config_id"))
+    found = results.book_result(even.unionByName(weekly), "FFM")
+    return found.withColumn("value", F.round("value", 6))
+
+
 @query("e2_config_elements", f"""
 WITH RECURSIVE {_sql_documents()}
 SELECT CAST(id AS VARCHAR) AS config_id, k - 1 AS ord, unit, round(up, 6) AS up_front, up_dur AS up_front_days,
