@@ -242,8 +242,10 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([_without(t, s) for t, s in zip(texts, spans)])
 
 
-def _without(text: str, spans) -> str:
+def _without(text: str | None, spans) -> str | None:
     """The text without the words of the spans and what stands between them."""
+    if text is None or spans is None or not len(spans):
+        return text
     found = [m.span() for m in _LETTER.finditer(text)]
     kept, at = [], 0
     for start, end in zip(spans[::2], spans[1::2]):
