@@ -91,6 +91,16 @@ def _bands(shingles: Column) -> Column:
     return _bound(shingles, made)
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A small table from literals, which needs no Python worker to be read."""
+
+    def cell(value) -> Column:
+        return F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
+
+    listed = [F.struct(*[cell(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*listed)))
+
+
 def template_tables(spark: SparkSession, templates: Mapping[str, str], contained: int) -> tuple[DataFrame, DataFrame, list[str]]:
     """(template, m, k, shingles, bands), (pivot, m, k) and all pivots."""
     rows, by_pivot = [], set()
@@ -101,11 +111,13 @@ def template_tables(spark: SparkSession, templates: Mapping[str, str], contained
         m, k = len(found), min(SHINGLE, len(found))
         rows.append((name, found, m, k))
         by_pivot |= {(p, m, k) for p in pivots(found, contained)}
-    table = spark.createDataFrame(rows, "template string, w array<string>, m int, k int")
+    if not rows:
+        raise ValueError("no template has a word")
+    table = _table(spark, rows, ("template", "w", "m", "k"))
     table = table.withColumn("_template_shingles", _shingles(F.col("w"), F.col("k"))).withColumn(
         "_keys", _bands(F.col("_template_shingles"))
     )
-    return table.drop("w"), spark.createDataFrame(sorted(by_pivot), "pivot string, m int, k int"), sorted({p for p, _, _ in by_pivot})
+    return table.drop("w"), _table(spark, sorted(by_pivot), ("pivot", "m", "k")), sorted({p for p, _, _ in by_pivot})
 
 
 def notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, contained: int = CONTAINED, key: str = "doc_id") -> DataFrame:
