@@ -22,7 +22,9 @@ shuffles, and adaptive execution splits a bucket or hub with many members. The t
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Ids name
 documents; where one repeats with several texts, the smallest of these stands for it when links are
-confirmed. A null id is a component of its own. An empty table gives an empty result.
+confirmed. A null id is a component of its own and is kept, also next to rows with the same text. When
+documents are chosen, a row counts by its id and its own set: of rows that repeat both (blank texts: id and
+text) one stays, and a text of a kept id that was itself rejected does not. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,12 +156,13 @@ def _digests(bands: int, rows: int, shingle: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("mark"),
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(high, np.uint64).view(np.int64)),
                     pa.array(np.array(low, np.uint64).view(np.int64)),
                     lists,
                 ],
-                ["id", "n", "high", "low", "keys"],
+                ["id", "mark", "n", "high", "low", "keys"],
             )
 
     return run
@@ -329,21 +332,19 @@ def _open_cells(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return pinned(placed.join(pinned(mixed.select("bucket")), "bucket"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = SHINGLE,
-    needed: int = NEEDED,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    key: str = "doc_id",
-) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_links``.
+def _mark(text: str = "text") -> Column:
+    """A text in short; null and empty texts differ."""
+    return F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))
 
-    ``n_links`` counts the links confirmed for the document's class; copies and pairs inside a component
-    that needed no trial are not among them.
-    """
+
+def _grouped(docs: DataFrame, shingle: int, needed: int, bands: int, rows: int, key: str) -> DataFrame:
+    """One row per document: ``id``, the text's ``mark``, its set's ``n``, ``high``, ``low``, ``component_id``, ``n_links``, ``kept``."""
     texts = docs.select(F.col(key).alias("id"), "text")
-    seen = pinned(texts.mapInArrow(_digests(bands, rows, shingle), "id long, n long, high long, low long, keys array<long>"))
+    seen = pinned(
+        texts.withColumn("mark", _mark()).mapInArrow(
+            _digests(bands, rows, shingle), "id long, mark string, n long, high long, low long, keys array<long>"
+        )
+    )
     sets = seen.filter("n > 0")
     classes = sets.groupBy("high", "low", "n").agg(F.min("id").alias("class_id"))
     # one row per class: the one of its smallest id; by id, so that a large class is not gathered
@@ -377,20 +378,65 @@ def near_duplicates(
         .select("high", "low", "n", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
     found = seen.drop("keys").join(per_class, ["high", "low", "n"], "left")
+    named = F.col("id").isNotNull()
     return found.select(
-        F.col("id").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        (F.coalesce(F.col("component_id"), F.col("id")) == F.col("id")).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "id",
+        "mark",
+        "n",
+        "high",
+        "low",
+        F.when(named, F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+    ).withColumn("kept", F.col("component_id").eqNullSafe(F.col("id")))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    needed: int = NEEDED,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    key: str = "doc_id",
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``n_links``.
+
+    ``n_links`` counts the links confirmed for the document's class; copies and pairs inside a component
+    that needed no trial are not among them.
+    """
+    return _grouped(docs, shingle, needed, bands, rows, key).select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "kept", "n_links"
     )
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that stand for their group, with their own columns."""
-    kept = near_duplicates(docs, key=key, **options).filter("kept").select(F.col(key).alias("_id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"))
-    return packed.join(kept, "_id", "left_semi").select("_row.*")
+def deduplicated(
+    docs: DataFrame,
+    shingle: int = SHINGLE,
+    needed: int = NEEDED,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    key: str = "doc_id",
+) -> DataFrame:
+    """The documents that stand for their group, with their own columns.
+
+    Rows are found again by id and text; rows of a null id are all taken. Where an id and a text repeat, the
+    row of the smallest JSON form stays; only such rows are grouped.
+    """
+    kept = _grouped(docs, shingle, needed, bands, rows, key).filter("kept and id is not null")
+    chosen = pinned(
+        kept.groupBy("id", "n", "high", "low", "mark")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .groupBy("id", "n", "high", "low", F.when(F.col("n") == 0, F.col("mark")).alias("blank"))
+        .agg(F.min(F.struct("mark", "copies")).alias("first"))
+        .select(F.col("id").alias("_id"), F.col("first.mark").alias("_mark"), F.col("first.copies").alias("_copies"))
+    )
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    packed = docs.select(own, F.col(key).alias("_id"), _mark().alias("_mark"))
+    made = packed.join(chosen.filter("_copies = 1"), ["_id", "_mark"], "left_semi").select("_row")
+    several = chosen.filter("_copies > 1")
+    if several.take(1):
+        again = packed.join(several, ["_id", "_mark"], "left_semi").groupBy("_id", "_mark")
+        made = made.unionByName(again.agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
+    return made.unionByName(docs.filter(F.col(key).isNull()).select(own)).select("_row.*")
 
 
 _SQL = f"""

@@ -74,6 +74,36 @@ def test_near_duplicates_odd(odd, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
+def test_deduplicated_rows_of_null_and_repeated_ids(spark, odd):
+    """Exact multiset: null ids stay, repeated rows stay once, a rejected text of a kept id does not come back."""
+    prose, other = (" ".join(f"{p}{i * i % 53}" for i in range(60)) for p in "ab")
+    rows = [
+        (None, "one two"),
+        (None, "three four"),
+        (None, None),
+        (None, prose),
+        (1, prose),
+        (1, prose),
+        (2, prose + " more"),
+        (3, other),
+        (3, other),
+        (3, other),
+        (3, prose.upper()),
+        (4, None),
+        (4, ""),
+        (4, ""),
+        (5, "quite another"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [r for r in rows if r[0] is None] + [(1, prose), (3, other), (4, None), (4, ""), (5, "quite another")]
+    for k in (2, 5):
+        assert Bag(map(tuple, near_dedup.deduplicated(docs, shingle=k).collect())) == Bag(want)
+    got = near_dedup.near_duplicates(docs).filter("doc_id is null").collect()
+    assert len(got) == 4 and all(r["kept"] and r["component_id"] is None for r in got)
+    kept = Bag(r["doc_id"] for r in near_dedup.deduplicated(odd).collect())
+    assert kept == Bag([None, 1, 4, 5, 6, 7, 8, 9])
+
+
 def test_signature_comes_from_two_permutations():
     hashes = near_dedup.shingle_hashes(b"the quick brown fox jumps over the lazy dog")
     first = near_dedup._permute32((hashes >> 32).astype("uint32"))
