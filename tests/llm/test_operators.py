@@ -127,6 +127,29 @@ def test_quality_counts(odd, nothing):
     assert quality_rules.judged(nothing).count() == 0
 
 
+def test_texts_without_short_words_fail_the_word_test(spark):
+    """Next to the SQL, in whose order of numbers a distance without counts is above any limit."""
+    import duckdb
+    from check_queries import compare
+
+    draw = random.Random(6)
+    prose = [" ".join(draw.choice(["the", "of", "and", "to", "in", "house", "river", "stone"]) for _ in range(120)) for _ in range(40)]
+    glued = " ".join(f"keyword{chr(97 + i % 26)}{chr(97 + i // 26)}s" for i in range(80))
+    rows = [(i, text, "en") for i, text in enumerate(prose)] + [(100, glued, "en"), (101, glued, "xx"), (102, glued[:300], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["_row"]["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    assert got[100]["word_distance"] == 1 and not got[100]["base_failed"] and not got[100]["kept"]
+    assert got[101]["word_distance"] is None and got[101]["kept"] and got[102]["word_distance"] is None
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    from pyspark.sql import functions as F
+
+    made = quality_rules.judged(docs).select(F.col("_row.doc_id").alias("doc_id"), *quality_rules.RESULT)
+    verdict = compare(made, connection, quality_rules._SQL)
+    assert verdict.startswith("ok"), verdict
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
