@@ -6,13 +6,16 @@ are the right edge of one tree of merges and the left edge of the other, each th
 parent's, and a pair of them that are there together must have no merge that comes first. A sequence of
 tokens whose neighbours all fit is the encoding, and every prefix of a text has exactly one.
 
-Encoding. So a transducer guesses where tokens end. Its configurations are a closed token and the bytes of
-the open one after it; a byte extends all open tokens, and exactly one of them can close. The sets of
-configurations are made states when a text first reaches them (STATES are held per process, then all are
+Encoding. So a transducer guesses where tokens end. Its configurations are the bytes of an open token and what
+the closed token before it allows the open one to become; a byte extends all open tokens, and exactly one
+of them can close. Where only FEW tokens begin with the open bytes, "what it allows" is the list of those
+that fit, so closed tokens with the same effect are one configuration, and one that allows none is dropped.
+The sets of configurations are made states when a text first reaches them (STATES are held per process, then all are
 forgotten and made again), and a transition says which token closes at its byte. A piece is emitted by
 following the closed tokens back from its end. In a long piece that is done every LOOKAHEAD bytes up to the
 place where all configurations agree; as an open token is at most as long as the longest of the
-vocabulary, only a bounded part stays behind. Results of short pieces are kept, up to KEPT of them.
+vocabulary, only a bounded part stays behind. Results of short pieces are kept, the last KEPT used at least
+and twice as many at most.
 Tokens that their own bytes never merge into stand only for a whole piece, as in the rank-file libraries.
 
 Decoding is an automaton too: its state is the unfinished UTF-8 sequence (at most three bytes), its
@@ -40,8 +43,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from earnloom.llm.registry import query
 from earnloom.llm.words import read, ship
 
-STATES = 200_000
-PAIRS = 1_000_000
+STATES = 150_000
+PAIRS = 400_000
+FEW = 8
 KEPT = 100_000
 SHORT = 32
 LOOKAHEAD = 4096
@@ -96,14 +100,10 @@ class _NoneFits(Exception):
     """No token or more than one may end here: the vocabulary does not come from merges."""
 
 
-class _State:
-    """Configurations (closed token, bytes of the open one), the one with nothing open last."""
-
-    __slots__ = ("steps", "configurations")
-
-    def __init__(self, configurations: tuple):
-        self.steps: dict[int, tuple[int, _State]] = {}
-        self.configurations = configurations
+# A state is a dict from a byte to (token that closes, next state); at HELD it has its configurations: pairs of what
+# the open token may be and its bytes, the one with nothing open last. It may be any token (None), any
+# that fits a closed one (its id), or one of a few (their ids).
+HELD = -1
 
 
 class Encoder:
@@ -114,22 +114,26 @@ class Encoder:
         self.splits = splits
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.whole = {token: rank for token, rank in ranks.items() if len(token) > 1 and rank not in splits}
-        self.edges: dict[bytes, list] = {}  # beginnings of tokens: the token that ends here, and whether any goes on
+        # beginnings of tokens: the token that ends here, and the longer ones, up to one more than FEW
+        self.edges: dict[bytes, list] = {}
         for token, rank in ranks.items():
             if token not in self.whole:
-                self.edges.setdefault(token, [None, False])[0] = rank
+                self.edges.setdefault(token, [None, ()])[0] = rank
                 for i in range(1, len(token)):
-                    self.edges.setdefault(token[:i], [None, False])[1] = True
+                    edge = self.edges.setdefault(token[:i], [None, ()])
+                    if len(edge[1]) <= FEW:
+                        edge[1] += (rank,)
         self.made: dict[int, int] = {}
         self.ends: dict[tuple[int, int], list] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.kept: dict[str, list[int]] = {}
+        self.kept_before: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.start = _State(((None, b""),))
-        self.states: dict[tuple, _State] = {self.start.configurations: self.start}
+        self.start: dict = {HELD: ((None, b""),)}
+        self.states: dict[tuple, dict] = {self.start[HELD]: self.start}
 
     def _time(self, token: int) -> int:
         """When the token's last merge can happen: its rank, and not before its parts are there."""
@@ -175,17 +179,31 @@ class Encoder:
                         return False
         return True
 
-    def _step(self, state: _State, byte: int) -> tuple[int, _State]:
+    def _allowed(self, before: int | tuple | None, opened: bytes, longer: tuple) -> int | tuple | None:
+        """What an open token may be; an empty tuple: nothing."""
+        if before is None or isinstance(before, int) and len(longer) > FEW:
+            return before
+        if isinstance(before, int):
+            found = tuple(token for token in longer if self.fits(before, token))
+        else:
+            found = tuple(token for token in before if token in longer) if len(longer) <= FEW else before
+        return None if len(found) == len(longer) else found
+
+    def _step(self, state: dict, byte: int) -> tuple[int, dict]:
         live, ended = [], []
-        for before, opened in state.configurations:
+        for before, opened in state[HELD]:
             opened += bytes((byte,))
             edge = self.edges.get(opened)
             if edge is None:
                 continue
-            token, goes_on = edge
-            if goes_on:
-                live.append((before, opened))
-            if token is not None and (before is None or self.fits(before, token)):
+            token, longer = edge
+            if longer:
+                allowed = self._allowed(before, opened, longer)
+                if allowed != ():
+                    live.append((allowed, opened))
+            if token is None:
+                continue
+            if before is None or (token in before if isinstance(before, tuple) else self.fits(before, token)):
                 ended.append((token, b""))
         if len(ended) != 1:
             raise _NoneFits
@@ -194,8 +212,8 @@ class Encoder:
         if follow is None:
             if len(self.states) >= STATES:
                 self._forget()
-            follow = self.states[key] = _State(key)
-        step = state.steps[byte] = (ended[0][0], follow)
+            follow = self.states[key] = {HELD: key}
+        step = state[byte] = (ended[0][0], follow)
         return step
 
     def _back(self, closed: list[int], at: int) -> list[int]:
@@ -208,9 +226,9 @@ class Encoder:
         found.reverse()
         return found
 
-    def _agreed(self, closed: list[int], state: _State) -> int:
+    def _agreed(self, closed: list[int], state: dict) -> int:
         """Number of bytes whose tokens all configurations share."""
-        places = {len(closed) - len(opened) for _, opened in state.configurations}
+        places = {len(closed) - len(opened) for _, opened in state[HELD]}
         while len(places) > 1:
             last = max(places)
             places.remove(last)
@@ -221,31 +239,39 @@ class Encoder:
         if piece in self.whole:
             return [self.whole[piece]]
         state, closed, out = self.start, [], []
-        for byte in piece:
-            step = state.steps.get(byte) or self._step(state, byte)
-            closed.append(step[0])
-            state = step[1]
-            if len(closed) == LOOKAHEAD:
+        for at in range(0, len(piece), LOOKAHEAD):
+            if at:
                 sure = self._agreed(closed, state)
                 out += self._back(closed, sure)
                 closed = closed[sure:]
+            push = closed.append
+            for byte in piece[at : at + LOOKAHEAD]:
+                step = state.get(byte)
+                if step is None:
+                    step = self._step(state, byte)
+                token, state = step
+                push(token)
         return out + self._back(closed, len(closed))
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one piece."""
-        found = self.kept.get(piece)
+    def _fresh(self, piece: str) -> list[int]:
+        found = self.kept_before.get(piece)
         if found is None:
             raw = piece.encode("utf-8", "replace")
             try:
                 found = self._run(raw)
             except _NoneFits:
                 found = [self.ranks[part] for part in merged(raw, self.ranks)]
-            if len(piece) <= SHORT:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[piece] = found
+        if len(piece) <= SHORT:
+            if len(self.kept) >= KEPT:
+                self.kept_before, self.kept = self.kept, {}
+            self.kept[piece] = found
         return found
 
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one piece."""
+        found = self.kept.get(piece)
+        return self._fresh(piece) if found is None else found
+
 
 # First bytes of UTF-8 sequences, their lengths, and the second bytes that may follow them.
 _LENGTHS = {**dict.fromkeys(range(0xC2, 0xE0), 2), **dict.fromkeys(range(0xE0, 0xF0), 3), **dict.fromkeys(range(0xF0, 0xF5), 4)}
@@ -315,53 +341,96 @@ def _built(label: str, make):
     return _BUILT[label]
 
 
-def token_ids(text: Column, vocabulary: str, pattern: str) -> Column:
-    """The ids of a text, an ``array<int>``: each match of ``pattern`` is encoded separately."""
-    spark = SparkSession.active()
+def _encoder(spark: SparkSession, vocabulary: str, pattern: str):
+    """A function from a text to its ids, made in the tasks from a broadcast vocabulary."""
     ship(spark)
     ranks = read_ranks(vocabulary)
     shared = spark.sparkContext.broadcast((ranks, last_merges(ranks)))
     label = "encoder:" + uuid.uuid4().hex
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def make():
         encoder = _built(label, lambda: Encoder(*shared.value))
         pieces = regex.compile(pattern)
+
+        def ids_of(text: str | None) -> np.ndarray:
+            ids: list[int] = []
+            text = text or ""
+            for piece in pieces.findall(text) if len(text) < LONG else (m.group() for m in pieces.finditer(text)):
+                ids += encoder.piece(piece)
+            return np.array(ids, np.int32)
+
+        return ids_of
+
+    return make
+
+
+def _decoder(spark: SparkSession, vocabulary: str):
+    """A function from ids to their text, made in the tasks from a broadcast vocabulary."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(vocabulary).items()})
+    label = "decoder:" + uuid.uuid4().hex
+
+    def make():
+        decoder = _built(label, lambda: Decoder(shared.value))
+        return lambda ids: decoder.feed(ids) + decoder.close()
+
+    return make
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+
+
+def token_ids(text: Column, vocabulary: str, pattern: str) -> Column:
+    """The ids of a text, an ``array<int>``: each match of ``pattern`` is encoded separately."""
+    make = _encoder(SparkSession.active(), vocabulary, pattern)
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids_of = make()
         for texts in batches:
-            found, ends = [], [0]
-            for value in texts:
-                ids: list[int] = []
-                text = value.as_py() or ""
-                for piece in pieces.findall(text) if len(text) < LONG else (m.group() for m in pieces.finditer(text)):
-                    ids += encoder.piece(piece)
-                found.append(np.array(ids, np.int32))
-                ends.append(ends[-1] + len(ids))
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            yield _lists([ids_of(value.as_py()) for value in texts])
 
     return encode(text)
 
 
 def token_text(ids: Column, vocabulary: str) -> Column:
     """The text of an array of ids."""
-    spark = SparkSession.active()
-    ship(spark)
-    shared = spark.sparkContext.broadcast({rank: token for token, rank in read_ranks(vocabulary).items()})
-    label = "decoder:" + uuid.uuid4().hex
+    make = _decoder(SparkSession.active(), vocabulary)
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = _built(label, lambda: Decoder(shared.value))
+        text_of = make()
         for lists in batches:
-            yield pa.array([decoder.feed(each.as_py() or []) + decoder.close() for each in lists], pa.string())
+            yield pa.array([text_of(each.as_py() or []) for each in lists], pa.string())
 
     return decode(ids)
 
 
+def round_trip(text: Column, vocabulary: str, pattern: str) -> Column:
+    """A struct of ``ids`` and ``decoded``, the text that the ids give back: both steps in one pass over the rows."""
+    spark = SparkSession.active()
+    make_encoder, make_decoder = _encoder(spark, vocabulary, pattern), _decoder(spark, vocabulary)
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids_of, text_of = make_encoder(), make_decoder()
+        for texts in batches:
+            found = [ids_of(value.as_py()) for value in texts]
+            texts = pa.array([text_of(ids.tolist()) for ids in found], pa.string())
+            yield pa.StructArray.from_arrays([_lists(found), texts], ["ids", "decoded"])
+
+    return both(text)
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """``_row`` with all columns of ``docs``, and ``ids``."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(row, token_ids(F.col(f"`{text}`"), vocabulary, pattern).alias("ids"))
+    return docs.select(_row(docs), token_ids(F.col(f"`{text}`"), vocabulary, pattern).alias("ids"))
 
 
 def decoded(found: DataFrame, vocabulary: str) -> DataFrame:
@@ -369,13 +438,19 @@ def decoded(found: DataFrame, vocabulary: str) -> DataFrame:
     return found.withColumn("decoded", token_text(F.col("ids"), vocabulary))
 
 
+def verified(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """``_row`` with all columns of ``docs``, ``ids`` and ``decoded``."""
+    made = docs.select(_row(docs), round_trip(F.col(f"`{text}`"), vocabulary, pattern).alias("_made"))
+    return made.select("_row", F.col("_made.ids").alias("ids"), F.col("_made.decoded").alias("decoded"))
+
+
 @query("op11_byte_pair_transducer")
 def byte_pair_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decoded(encoded(docs, ranks, public_tokenizers.PATTERN), ranks).select(
+    return verified(docs, ranks, public_tokenizers.PATTERN).select(
         F.col("_row.doc_id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -122,6 +122,7 @@ def test_odd_rows(spark, odd, nothing):
     for row in rows:
         assert row["decoded"] == (row["_row"]["text"] or "") and row["_row"]["ids"] == "x"
         assert (row["_row"]["text"] in (None, "")) == (row["ids"] == [])
+    assert [r["ids"] for r in B.verified(clash, ranks, public_tokenizers.PATTERN).collect()] == [r["ids"] for r in rows]
     assert B.decoded(B.encoded(nothing, ranks, public_tokenizers.PATTERN), ranks).collect() == []
 
 
