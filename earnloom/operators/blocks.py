@@ -3,15 +3,17 @@
 Element frame: ``pattern, element_number, distribution, start_distribution, duration`` (numbers from 0).
 Block frame: ``pattern, element_number, written_element, start_point, end_point, proportion,
 ultimate_value, shape``.
+
+A pattern of n elements has n elements times n blocks, so patterns are short and many. Everything that looks at a
+whole pattern (counts, levels, cut points, running sums) is a window over it: the first one shuffles by
+pattern, and all later windows and groupings of the pattern find their rows in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .joins import running_sum, with_key_frames, with_key_totals
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 KEYS = ("pattern",)
 
@@ -22,6 +24,19 @@ def _parts() -> Column:
     return (F.coalesce(start, F.lit(0.0)) != 0).cast("int") + (F.coalesce(spread, F.lit(0.0)) != 0).cast("int")
 
 
+def _pattern(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys)
+
+
+def _up_to(keys: Sequence[str], *order: str) -> WindowSpec:
+    return _pattern(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _level(keys: Sequence[str]) -> Column:
+    """One level per non-zero share of the elements before."""
+    return (F.sum(_parts()).over(_up_to(keys, "element_number")) - _parts()).cast("int")
+
+
 def align_elements(
     elements: DataFrame, keys: Sequence[str] = KEYS, periods: int | None = None, levels: bool = False
 ) -> DataFrame:
@@ -29,8 +44,8 @@ def align_elements(
 
     With ``levels`` the display level (see ``display_levels``) is added in the same pass.
     """
-    counted = with_key_frames(
-        elements, keys, "element_number", {"_n": (F.sum, F.lit(1))}, {"_to": _parts()} if levels else None
+    counted = elements.withColumns(
+        {"_n": F.count(F.lit(1)).over(_pattern(keys)), **({"_level": _level(keys)} if levels else {})}
     )
     n = F.lit(periods) if periods else F.col("_n").cast("int")
     return counted.select(
@@ -39,14 +54,16 @@ def align_elements(
         (F.col("duration") / n).alias("duration_offset"),
         (F.col("element_number") * (F.col("duration") / n)).alias("start_offset"),
         (F.lit(1.0) / F.col("_n")).alias("weight"),
-        *([(F.col("_to") - _parts()).cast("int").alias("written_element")] if levels else []),
+        *([F.col("_level").alias("written_element")] if levels else []),
     )
 
 
 def distribute_remaining(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Where the shares of a pattern stay below 1, add the rest evenly to its distributions."""
-    totals = {"_total": (F.sum, F.col("distribution") + F.col("start_distribution")), "_n": (F.sum, F.lit(1))}
-    summed = with_key_totals(elements, keys, "element_number", totals)
+    whole = _pattern(keys)
+    summed = elements.withColumns(
+        {"_total": F.sum(F.col("distribution") + F.col("start_distribution")).over(whole), "_n": F.count(F.lit(1)).over(whole)}
+    )
     rest = F.when(F.col("_total") < 1, (1 - F.col("_total")) / F.col("_n")).otherwise(0.0)
     return summed.withColumn("distribution", F.col("distribution") + rest).drop("_total", "_n")
 
@@ -75,8 +92,7 @@ def check_elements(elements: DataFrame, keys: Sequence[str] = KEYS, duration=360
 
 def display_levels(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Level at which an element's first block is shown: one level per non-zero share before it."""
-    summed = with_key_frames(elements, keys, "element_number", sums={"_to": _parts()})
-    return summed.withColumn("written_element", (F.col("_to") - _parts()).cast("int")).drop("_to")
+    return elements.withColumn("written_element", _level(keys))
 
 
 def pattern_blocks(elements: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -133,16 +149,29 @@ def apply_ultimate(blocks: DataFrame, ultimate) -> DataFrame:
     return blocks.withColumn("ultimate_value", F.col("proportion") * amount)
 
 
+def starts_before(point) -> Column:
+    return F.col("start_point") < point
+
+
+def starts_after(point) -> Column:
+    return F.col("start_point") > point
+
+
+def starts_between(start, end) -> Column:
+    """From ``start`` on and before ``end``."""
+    return (F.col("start_point") >= start) & (F.col("start_point") < end)
+
+
 def blocks_before(blocks: DataFrame, point) -> DataFrame:
-    return blocks.filter(F.col("start_point") < point)
+    return blocks.filter(starts_before(point))
 
 
 def blocks_after(blocks: DataFrame, point) -> DataFrame:
-    return blocks.filter(F.col("start_point") > point)
+    return blocks.filter(starts_after(point))
 
 
 def blocks_between(blocks: DataFrame, start, end) -> DataFrame:
-    return blocks.filter((F.col("start_point") >= start) & (F.col("start_point") < end))
+    return blocks.filter(starts_between(start, end))
 
 
 def element_bounds(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -165,16 +194,21 @@ def largest_proportions(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return blocks.groupBy(*keys, "written_element").agg(F.max("proportion").alias("largest_proportion"))
 
 
+def level_summary(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Largest proportion of each level, next to the earliest and latest point of its pattern."""
+    levels = blocks.groupBy(*keys, "written_element").agg(
+        F.max("proportion").alias("largest_proportion"), F.min("start_point").alias("_from"), F.max("end_point").alias("_to")
+    )
+    whole = _pattern(keys)
+    return levels.withColumns({"min_point": F.min("_from").over(whole), "max_point": F.max("_to").over(whole)}).drop("_from", "_to")
+
+
 def block_totals(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return blocks.groupBy(*keys).agg(
         F.sum("ultimate_value").alias("ultimate_total"), F.sum("proportion").alias("proportion_total")
     )
 
 
-# Elements per block when totals go back to the blocks of a pattern: each element has many blocks.
-_ELEMENTS_TOGETHER = 64
-
-
 def _cut_parts(latest_written: Column) -> dict:
     """What the cut point of a pattern follows from; each part is a plain minimum or maximum."""
     number = F.col("element_number")
@@ -209,7 +243,8 @@ def liabilities(blocks: DataFrame, latest_written, keys: Sequence[str] = KEYS, v
     in use, the unwritten part that ends there.
     """
     latest = latest_written if isinstance(latest_written, Column) else F.lit(latest_written)
-    joined = with_key_totals(blocks, keys, "element_number", _cut_parts(latest), _ELEMENTS_TOGETHER)
+    whole = _pattern(keys)
+    joined = blocks.withColumns({name: function(source).over(whole) for name, (function, source) in _cut_parts(latest).items()})
     written = F.col("element_number") < latest
     ended = F.col("end_point") < _cut_point()
     running = F.col("end_point") >= _cut_point()
@@ -252,7 +287,7 @@ def values_by_point(blocks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     sums = blocks.groupBy(*keys, F.col("end_point").cast("int").alias("end_point")).agg(
         F.sum("ultimate_value").alias("value")
     )
-    return running_sum(sums, keys, "end_point", {"cumulative_value": "value"})
+    return sums.withColumn("cumulative_value", F.sum("value").over(_up_to(keys, "end_point")))
 
 
 def scaled_levels(
@@ -262,10 +297,10 @@ def scaled_levels(
 
     Halves round to the even neighbour. A zero sum is an error.
     """
-    parts = {"_sum": (F.sum, F.col(value)), "_target": (F.max, target)}
-    joined = with_key_totals(levels, keys, level, parts)
+    whole = _pattern(keys)
+    joined = levels.withColumns({"_sum": F.sum(value).over(whole), "_target": F.max(target).over(whole)})
     factor = F.when(
         F.col("_sum") == 0, F.raise_error(F.lit("the values of a key add up to zero, cannot scale")).cast("double")
     ).otherwise(F.col("_target") / F.col("_sum"))
     scaled = joined.withColumn("scaled", F.rint(F.col(value) * factor).cast("long")).drop("_sum", "_target")
-    return running_sum(scaled, keys, level, {"cumulative": "scaled"})
+    return scaled.withColumn("cumulative", F.sum("scaled").over(_up_to(keys, level)))

@@ -8,12 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date as Date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.calendar import LAST_DAY
 from .expand import sum_cells
-from .joins import running_sum
 from .patterns import ZERO
+from .sorted_arrays import count_below
 
 
 def matrix(factors: DataFrame, keys: Sequence[str], incurred: Column, exposure: Column) -> DataFrame:
@@ -178,6 +177,39 @@ def sum_by_criteria(
     )
 
 
+def _day_sums(rows: DataFrame, keys: Sequence[str], incurred: Column, exposed: Column) -> DataFrame:
+    """One row per key: for each measure the sorted days and the sums up to each of them.
+
+    Measures: incurred day, exposed day, the later of both, and the later of both with one of them a day
+    on. The arrays are as long as the calendar of the key's rows, however many rows there are.
+    """
+    days = {
+        "i": incurred,
+        "e": exposed,
+        "ie": F.greatest(incurred, exposed),
+        "id": F.greatest(incurred, F.date_add(exposed, 1)),
+        "de": F.greatest(F.date_add(incurred, 1), exposed),
+    }
+    points = [F.struct(F.lit(name).alias("measure"), day.alias("day")) for name, day in days.items()]
+    by_day = (
+        rows.filter(incurred.isNotNull() & exposed.isNotNull())
+        .select(*keys, "value", F.explode(F.array(*points)).alias("_p"))
+        .groupBy(*keys, F.col("_p.measure").alias("_measure"), F.col("_p.day").alias("_day"))
+        .agg(F.sum("value").alias("_sum"))
+        .repartition(*keys)  # what follows is per key and needs no other shuffle
+    )
+    upto = Window.partitionBy(*keys, "_measure").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    running = by_day.withColumn("_upto", F.sum("_sum").over(upto))
+    packed = running.groupBy(*keys).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("_measure") == m, F.struct("_day", "_upto")))).alias(f"_{m}") for m in days]
+    )
+    return packed.select(
+        *keys,
+        *[F.col(f"_{m}._day").alias(f"_days_{m}") for m in days],
+        *[F.col(f"_{m}._upto").alias(f"_sums_{m}") for m in days],
+    )
+
+
 def sum_by_criteria_table(
     rows: DataFrame,
     keys: Sequence[str],
@@ -189,8 +221,8 @@ def sum_by_criteria_table(
 
     Both comparisons use the same date D, so no range join is needed. "At or before D" on both axes
     means max(incurred, exposed) <= D, a strict comparison moves its date by a day, and "after" is the
-    complement. Every criterion is then a signed sum of running sums by day, read off at D: the criteria
-    are put between the days as rows of value 0. The days have at most one row per key and measure.
+    complement. Every criterion is then a signed sum of at most four sums up to a day, found by binary search in
+    its key's arrays. Repeated criteria give one row; a key without rows and a null date give 0.
     """
     keys = list(keys)
     if not keys:
@@ -199,54 +231,32 @@ def sum_by_criteria_table(
             rows.withColumn("_k", one), ["_k"], criteria.withColumn("_k", one), incurred, exposed
         )
         return whole.drop("_k")
-    moved = {
-        "i0": F.col(incurred), "i1": F.date_add(incurred, 1),
-        "e0": F.col(exposed), "e1": F.date_add(exposed, 1),
-    }
-    points = [F.struct(F.lit(name).alias("measure"), day.alias("day")) for name, day in moved.items()]
-    points += [
-        F.struct(F.lit(i + e).alias("measure"), F.greatest(moved[i], moved[e]).alias("day"))
-        for i in ("i0", "i1") for e in ("e0", "e1")
-    ]
-    by_day = (
-        rows.groupBy(*keys, incurred, exposed).agg(F.sum("value").alias("value"))
-        .select(*keys, "value", F.explode(F.array(*points)).alias("_p"))
-        .groupBy(*keys, F.col("_p.measure").alias("measure"), F.col("_p.day").alias("day"))
-        .agg(F.sum("value").alias("value"))
+    known = F.col("incurred_op").isin(*OPERATORS) & F.col("exposed_op").isin(*OPERATORS)
+    checked = F.when(known, F.col("as_of")).otherwise(F.raise_error(F.lit("date comparison must be <, <=, > or >=")).cast("date"))
+    # repeats go before the shuffle; a key has at most sixteen different criteria a day
+    asked = (
+        criteria.select(*keys, F.struct(checked.alias("as_of"), "incurred_op", "exposed_op").alias("_c"))
+        .groupBy(*keys).agg(F.collect_set("_c").alias("_c"))
+        .select(*keys, F.inline("_c"))
     )
-    # "<=" and ">" look at the date itself, "<" and ">=" at the day after
-    inc = F.when(F.col("incurred_op").isin("<=", ">"), "i0").otherwise("i1")
-    exp = F.when(F.col("exposed_op").isin("<=", ">"), "e0").otherwise("e1")
-    inc_after = F.col("incurred_op").isin(">", ">=")
-    exp_after = F.col("exposed_op").isin(">", ">=")
-    both, none = inc_after & exp_after, F.lit(0)
+    joined = asked.join(_day_sums(rows, keys, F.col(incurred), F.col(exposed)), keys, "left")
 
-    def term(measure: Column, day: Column, sign: Column) -> Column:
-        return F.struct(measure.alias("measure"), day.alias("day"), sign.cast("int").alias("sign"))
+    def upto(measure: str, day: Column) -> Column:
+        found = count_below(F.col(f"_days_{measure}"), day, or_equal=True)
+        return F.coalesce(F.get(f"_sums_{measure}", found - 1), F.lit(0.0))
 
+    # "<=" and ">" look at the date itself, "<" and ">=" at the day before
     at = F.col("as_of")
-    terms = F.array(
-        term(F.concat(inc, exp), at, F.when(inc_after, -1).otherwise(1) * F.when(exp_after, -1).otherwise(1)),
-        term(inc, at, F.when(both, -1).when(exp_after, 1).otherwise(none)),
-        term(exp, at, F.when(both, -1).when(inc_after, 1).otherwise(none)),
-        term(F.lit("i0"), F.lit(LAST_DAY).cast("date"), F.when(both, 1).otherwise(none)),
-    )
-    known = F.col("incurred_op").isin(*OPERATORS) & F.col("exposed_op").isin(*OPERATORS)
-    checked = F.when(known, at).otherwise(
-        F.raise_error(F.lit("date comparison must be <, <=, > or >=")).cast("date")
-    )
-    asked = (
-        criteria.select(*keys, "as_of", "incurred_op", "exposed_op").distinct()
-        .withColumn("as_of", checked)
-        .select(*keys, "as_of", "incurred_op", "exposed_op", F.explode(terms).alias("_t"))
-        .filter(F.col("_t.sign") != 0)
-        .select(*keys, F.col("_t.measure").alias("measure"), F.col("_t.day").alias("day"), F.lit(0.0).alias("value"),
-                F.lit(1).alias("_asked"), "as_of", "incurred_op", "exposed_op", F.col("_t.sign").alias("_sign"))
-    )
-    series = by_day.withColumn("_asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
-    running = running_sum(series, keys + ["measure"], "day", {"_running": "value"}, order=["day", "_asked"])
-    return (
-        running.filter(F.col("_asked") == 1)
-        .groupBy(*keys, "as_of", "incurred_op", "exposed_op")
-        .agg(F.sum(F.col("_sign") * F.col("_running")).alias("value"))
+    inc_on, exp_on = F.col("incurred_op").isin("<=", ">"), F.col("exposed_op").isin("<=", ">")
+    inc_after, exp_after = F.col("incurred_op").isin(">", ">="), F.col("exposed_op").isin(">", ">=")
+    inc_day, exp_day = F.when(inc_on, at).otherwise(F.date_sub(at, 1)), F.when(exp_on, at).otherwise(F.date_sub(at, 1))
+    both = F.when(inc_on == exp_on, upto("ie", inc_day)).when(inc_on, upto("id", at)).otherwise(upto("de", at))
+    whole = F.coalesce(F.get("_sums_i", F.size("_sums_i") - 1), F.lit(0.0))
+    value = (
+        F.when(at.isNull(), F.lit(0.0))
+        .when(inc_after & exp_after, whole - upto("i", inc_day) - upto("e", exp_day) + both)
+        .when(inc_after, upto("e", exp_day) - both)
+        .when(exp_after, upto("i", inc_day) - both)
+        .otherwise(both)
     )
+    return joined.select(*keys, "as_of", "incurred_op", "exposed_op", value.alias("value"))

@@ -161,6 +161,73 @@ def test_interpolation_edges(spark):
     assert {r["interpolated"] for r in cubic} == {None}
 
 
+def test_repeated_and_missing_knots(spark):
+    rows = [(1, 0.0, 0.0), (1, 1.0, 1.0), (1, 1.0, 1.0), (1, 2.0, 8.0), (1, 3.0, 27.0), (1, None, 5.0), (1, 4.0, None), (None, 0.0, 1.0)]
+    curve = spark.createDataFrame(rows, "k int, x double, y double")
+    asked = spark.createDataFrame([(1, 1.5), (1, 5.0), (1, None), (None, 1.0)], "k int, at double")
+    found = curves.interpolate(curve, asked, ["k"], "x", "y", "at").collect()
+    assert [(r["k"], r["at"], r["interpolated"] and round(r["interpolated"], 9)) for r in sorted(found, key=str)] == sorted(
+        [(1, 1.5, 3.375), (1, 5.0, 125.0), (1, None, None), (None, 1.0, None)], key=lambda r: str(spark.createDataFrame([r], "k int, at double, interpolated double").first())
+    )
+    with pytest.raises(Exception, match="two values at one point"):
+        curves.interpolate(curve.union(spark.createDataFrame([(1, 2.0, 9.0)], curve.schema)), asked, ["k"], "x", "y", "at").collect()
+    with pytest.raises(Exception, match="needs 4 points"):
+        curves.interpolate(curve.filter("x < 2"), asked, ["k"], "x", "y", "at", few="error").collect()
+    with pytest.raises(ValueError):
+        curves.interpolate(curve, asked, ["k"], "x", "y", "at", kind="square")
+
+
+def test_long_curve(spark):
+    n = 700
+    curve = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * F.col("id") * F.col("id") / 1000.0).alias("y"))
+    asked = spark.range(-5, 2 * n).select(F.lit(1).alias("k"), (F.col("id") / 2.0).alias("at"))
+    for row in curves.interpolate(curve, asked, ["k"], "x", "y", "at").collect():
+        assert row["interpolated"] == pytest.approx(row["at"] ** 3 / 1000.0, rel=1e-9, abs=1e-6)
+
+
+def test_rules_by_table(spark):
+    rnd = random.Random(6)
+    columns, letters = ["a", "b", "c"], ["x", "y", "z.", "*"]
+    rules_list = [("|".join(rnd.choice(letters) for _ in columns), f"v{i}", i) for i in range(300)]
+    rows = [tuple(rnd.choice(["x", "y", "z.", "q", None]) for _ in columns) for _ in range(150)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a string, b string, c string")
+
+    def wanted(row, listed):
+        fits = []
+        for pattern, value, position in listed:
+            parts = pattern.split("|")
+            if all(p == "*" or p == v for p, v in zip(parts, row)):
+                fits.append((-sum(p != "*" for p in parts), position, value))
+        return min(fits)[2] if fits else "none"
+
+    for listed in (rules_list, [r for r in rules_list if r[0] != "*|*|*"][:40], []):
+        table = spark.createDataFrame(listed, "pattern string, value string, position int")
+        found = rules.classify_from(df, table, columns, "class", "none", "|")
+        assert found.columns == ["id", "a", "b", "c", "class"]
+        assert {r["id"]: r["class"] for r in found.collect()} == {i: wanted(r, listed) for i, r in enumerate(rows)}
+        document = {"columns": columns, "target_column": "class", "default": "none", "rule_separator": "|",
+                    "rules": [{"pattern": p, "value": v} for p, v, _ in listed]}
+        assert sorted(map(str, rules.classify(df, document).collect())) == sorted(map(str, found.collect()))
+    with pytest.raises(Exception, match="a rule needs 3 parts"):
+        rules.classify_from(df, spark.createDataFrame([("x|y", "v", 0)], "pattern string, value string, position int"), columns, "class", separator="|").collect()
+
+
+def test_plan_does_not_grow_with_the_rules(spark):
+    df = spark.range(2000).select(F.col("id").cast("string").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+
+    def plan(n):
+        table = spark.range(n).select(
+            F.concat_ws("/", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("*"), (F.col("id") % 5).cast("string")).alias("pattern"),
+            F.concat(F.lit("v"), F.col("id")).alias("value"), F.col("id").alias("position"),
+        )
+        found = rules.classify_from(df, table, ["a", "b"], "class")
+        return found, len(found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+    few, many = plan(50), plan(50_000)
+    assert few[1] == many[1]
+    assert many[0].filter("class IS NOT NULL").count() == sum(1 for i in range(2000) if i % 7 < 5)
+
+
 def test_wildcard_rules(spark):
     rule_set = {"columns": ["City", "Country"], "target_column": "Class", "default": "Unknown", "rule_separator": "/", "rules": [
         {"pattern": "*/USA", "value": "High"}, {"pattern": "Birdtown/USA", "value": "Medium"}, {"pattern": "Birdtown/*", "value": "Low"}]}

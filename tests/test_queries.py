@@ -21,7 +21,7 @@ def connection():
 
 def test_registry():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"g3_cubic_interpolation"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):

@@ -117,16 +117,11 @@ def b7(spark, sf_dir):
 WITH {_BLOCKS} SELECT pattern, count(*) FILTER (start_point < 100) AS before, count(*) FILTER (start_point > 100) AS after,
   count(*) FILTER (start_point >= 50 AND start_point < 200) AS between FROM block GROUP BY 1""")
 def b8(spark, sf_dir):
-    every = blocks(spark, sf_dir)
-    tagged = [
-        bl.blocks_before(every, 100).withColumn("_in", F.lit("before")),
-        bl.blocks_after(every, 100).withColumn("_in", F.lit("after")),
-        bl.blocks_between(every, 50, 200).withColumn("_in", F.lit("between")),
-        every.withColumn("_in", F.lit("all")),
-    ]
-    stacked = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
-    names = ("before", "after", "between")
-    return stacked.groupBy("pattern").agg(*[F.count_if(F.col("_in") == n).alias(n) for n in names])
+    return blocks(spark, sf_dir).groupBy("pattern").agg(
+        F.count_if(bl.starts_before(100)).alias("before"),
+        F.count_if(bl.starts_after(100)).alias("after"),
+        F.count_if(bl.starts_between(50, 200)).alias("between"),
+    )
 
 
 @query("b9_b12_liabilities", f"""
@@ -247,8 +242,7 @@ s AS (
   FROM l JOIN p USING (pattern))
 SELECT pattern, written_element, scaled, CAST(sum(scaled) OVER (PARTITION BY pattern ORDER BY written_element) AS BIGINT) AS cumulative FROM s""")
 def a19(spark, sf_dir):
-    every = blocks(spark, sf_dir)
-    levels = bl.largest_proportions(every).join(bl.point_bounds(every), "pattern")
+    levels = bl.level_summary(blocks(spark, sf_dir))
     target = (F.col("max_point") - F.col("min_point")) * 0.7
     return bl.scaled_levels(levels, ["pattern"], "written_element", "largest_proportion", target).select(
         "pattern", "written_element", "scaled", "cumulative"
@@ -377,52 +371,152 @@ def g3_linear(spark, sf_dir):
     return found.withColumn("interpolated", F.round("interpolated", 6))
 
 
-@query("g3_cubic_interpolation")
+# The two sweeps of the spline's system as recursions over the knots of a curve.
+_CUBIC = """
+WITH RECURSIVE s AS (
+  SELECT l_suppkey AS key, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS x, sum(l_extendedprice) / 700001 AS v FROM lineitem GROUP BY ALL),
+c AS (SELECT key, x::DOUBLE AS x, sum(v) OVER (PARTITION BY key ORDER BY x) AS y FROM s),
+k AS (
+  SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY key) AS n, lead(x) OVER w - x AS h,
+    (lead(y) OVER w - y) / (lead(x) OVER w - x) AS g
+  FROM c WINDOW w AS (PARTITION BY key ORDER BY x)),
+ends AS (
+  SELECT key, n, max(CASE WHEN i = 0 THEN h END) / max(CASE WHEN i = 1 THEN h END) AS p,
+    max(CASE WHEN i = n - 2 THEN h END) / max(CASE WHEN i = n - 3 THEN h END) AS q
+  FROM k GROUP BY key, n HAVING n >= 4),
+line AS (
+  SELECT key, b.i AS j, n, ends.p, ends.q, a.h - CASE WHEN b.i = n - 2 THEN b.h * ends.q ELSE 0.0 END AS low,
+    b.h - CASE WHEN b.i = 1 THEN a.h * ends.p ELSE 0.0 END AS high,
+    2.0 * (a.h + b.h) + CASE WHEN b.i = 1 THEN a.h * (1.0 + ends.p) ELSE 0.0 END + CASE WHEN b.i = n - 2 THEN b.h * (1.0 + ends.q) ELSE 0.0 END AS mid,
+    6.0 * (b.g - a.g) AS side
+  FROM ends JOIN k b USING (key, n) JOIN k a USING (key, n) WHERE b.i BETWEEN 1 AND n - 2 AND a.i = b.i - 1),
+down AS (
+  SELECT key, j, n, high / mid AS c, side / mid AS d FROM line WHERE j = 1
+  UNION ALL
+  SELECT line.key, line.j, line.n, high / (mid - low * c), (side - low * d) / (mid - low * c)
+  FROM down JOIN line ON line.key = down.key AND line.j = down.j + 1),
+up AS (
+  SELECT key, j, d AS m FROM down WHERE j = n - 2
+  UNION ALL
+  SELECT down.key, down.j, down.d - down.c * up.m FROM up JOIN down ON down.key = up.key AND down.j = up.j - 1),
+curv AS (
+  SELECT key, j, m FROM up
+  UNION ALL
+  SELECT key, 0, max(CASE WHEN j = 1 THEN m END) * (1.0 + any_value(p)) - max(CASE WHEN j = 2 THEN m END) * any_value(p) FROM up JOIN ends USING (key) GROUP BY key
+  UNION ALL
+  SELECT key, any_value(n) - 1, max(CASE WHEN j = n - 2 THEN m END) * (1.0 + any_value(q)) - max(CASE WHEN j = n - 3 THEN m END) * any_value(q)
+  FROM up JOIN ends USING (key) GROUP BY key),
+seg AS (
+  SELECT k.key, k.i, k.n, k.x, k.x + k.h AS x1, k.y, k.g - k.h * (2.0 * a.m + b.m) / 6.0 AS b1, a.m / 2.0 AS c1, (b.m - a.m) / (6.0 * k.h) AS d1
+  FROM k JOIN curv a ON a.key = k.key AND a.j = k.i JOIN curv b ON b.key = k.key AND b.j = k.i + 1),
+p AS (SELECT DISTINCT l_suppkey, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 30.0::DOUBLE AS position FROM lineitem)
+SELECT l_suppkey, position, round(y + (position - x) * (b1 + (position - x) * (c1 + (position - x) * d1)), 4) AS interpolated
+FROM p LEFT JOIN seg ON key = l_suppkey AND (position >= x OR i = 0) AND (position < x1 OR i = n - 2)"""
+
+
+@query("g3_cubic_interpolation", _CUBIC)
 def g3_cubic(spark, sf_dir):
     found = curves.interpolate(
         _month_curves(spark, sf_dir), _curve_points(spark, sf_dir), ["l_suppkey"], "month", "cumulative", "position"
     )
-    return found.withColumn("interpolated", F.round("interpolated", 6))
+    return found.withColumn("interpolated", F.round("interpolated", 4))
 
 
 # --- rules ---------------------------------------------------------------------------------------
 
 RULES = {
-    "columns": ["c_mktsegment", "n_name", "r_name", "standing", "size"],
-    "target_column": "classification",
-    "default": "Unknown",
-    "rule_separator": "/",
+    "columns": ["c_mktsegment", "n_name", "r_name", "balance", "volume"],
+    "target_column": "desk",
+    "default": "general",
+    "rule_separator": "|",
     "rules": [
-        {"pattern": "*/*/ASIA/*/*", "value": "Low"},
-        {"pattern": "*/*/*/debt/*", "value": "High"},
-        {"pattern": "MACHINERY/*/*/*/large", "value": "Medium"},
-        {"pattern": "*/NATION_7/*/*/*", "value": "Ultra High"},
-        {"pattern": "BUILDING/NATION_3/*/credit/*", "value": "Watched"},
-        {"pattern": "*/*/EUROPE/credit/small", "value": "Low"},
+        {"pattern": "FURNITURE|*|*|owing|*", "value": "collections east"},
+        {"pattern": "*|*|AFRICA|*|bulk", "value": "freight"},
+        {"pattern": "*|*|*|owing|*", "value": "collections"},
+        {"pattern": "*|NATION_11|*|*|*", "value": "partner"},
+        {"pattern": "*|NATION_11|*|paid|bulk", "value": "partner freight"},
+        {"pattern": "HOUSEHOLD|*|*|*|*", "value": "retail"},
+        {"pattern": "*|*|AMERICA|paid|*", "value": "west"},
     ],
 }
 
+_CUSTOMERS = """
+c AS (
+  SELECT c_custkey, c_mktsegment, n_name, r_name, CASE WHEN c_acctbal < 500 THEN 'owing' ELSE 'paid' END AS balance,
+    CASE WHEN c_custkey % 3 = 0 THEN 'bulk' ELSE 'parcel' END AS volume, CAST(floor(c_acctbal / 10) AS BIGINT) AS grade
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
-@query("f13_wildcard_rules", """
-WITH c AS (
-  SELECT c_custkey, c_mktsegment, n_name, r_name, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS standing,
-    CASE WHEN abs(c_acctbal) > 5000 THEN 'large' ELSE 'small' END AS size
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-SELECT c_custkey, CASE
-  WHEN c_mktsegment = 'BUILDING' AND n_name = 'NATION_3' AND standing = 'credit' THEN 'Watched'
-  WHEN r_name = 'EUROPE' AND standing = 'credit' AND size = 'small' THEN 'Low'
-  WHEN c_mktsegment = 'MACHINERY' AND size = 'large' THEN 'Medium'
-  WHEN r_name = 'ASIA' THEN 'Low'
-  WHEN standing = 'debt' THEN 'High'
-  WHEN n_name = 'NATION_7' THEN 'Ultra High'
-  ELSE 'Unknown' END AS classification
-FROM c""")
-def f13(spark, sf_dir):
-    customers = (
+
+def _customers(spark, sf_dir):
+    return (
         inputs.table(spark, sf_dir, "customer")
         .join(inputs.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(inputs.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .withColumn("standing", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit"))
-        .withColumn("size", F.when(F.abs("c_acctbal") > 5000, "large").otherwise("small"))
+        .select(
+            "c_custkey", "c_mktsegment", "n_name", "r_name",
+            F.when(F.col("c_acctbal") < 500, "owing").otherwise("paid").alias("balance"),
+            F.when(F.col("c_custkey") % 3 == 0, "bulk").otherwise("parcel").alias("volume"),
+            F.floor(F.col("c_acctbal") / 10).alias("grade"),
+        )
+    )
+
+
+@query("f13_wildcard_rules", f"""
+WITH {_CUSTOMERS}
+SELECT c_custkey, CASE
+  WHEN n_name = 'NATION_11' AND balance = 'paid' AND volume = 'bulk' THEN 'partner freight'
+  WHEN c_mktsegment = 'FURNITURE' AND balance = 'owing' THEN 'collections east'
+  WHEN r_name = 'AFRICA' AND volume = 'bulk' THEN 'freight'
+  WHEN r_name = 'AMERICA' AND balance = 'paid' THEN 'west'
+  WHEN balance = 'owing' THEN 'collections'
+  WHEN n_name = 'NATION_11' THEN 'partner'
+  WHEN c_mktsegment = 'HOUSEHOLD' THEN 'retail'
+  ELSE 'general' END AS desk
+FROM c""")
+def f13(spark, sf_dir):
+    return rules.classify(_customers(spark, sf_dir), RULES).select("c_custkey", "desk")
+
+
+# A rule per customer, in six of the ways wildcards can be placed; later and less fixed ones lose.
+_RULE_FORMS = [
+    (("*", "n_name", "*", "*", "grade"), "grade of nation"),
+    (("c_mktsegment", "*", "*", "*", "grade"), "grade of segment"),
+    (("c_mktsegment", "n_name", "*", "balance", "*"), "standing"),
+    (("*", "*", "*", "balance", "grade"), "grade of balance"),
+    (("*", "*", "r_name", "*", "*"), "region"),
+    (("*", "*", "*", "*", "*"), "any"),
+]
+_RULE_COLUMNS = ("c_mktsegment", "n_name", "r_name", "balance", "grade")
+
+
+def _rule_sql() -> str:
+    """Per form the look-up of the first rule, then the most specific of them."""
+    parts, joins, picks = [], [], []
+    for k, (form, label) in enumerate(_RULE_FORMS):
+        places = [(c, f) for c, f in zip(_RULE_COLUMNS, form) if f != "*"]
+        fixed = [f"CAST({f} AS VARCHAR) AS k{i}" for i, (_, f) in enumerate(places)]
+        parts.append(
+            f"m{k} AS (SELECT {', '.join([*fixed, 'min(c_custkey) AS pos'])} FROM c WHERE c_custkey % 6 = {k} "
+            f"{'GROUP BY ALL' if fixed else ''})"
+        )
+        on = " AND ".join(f"m{k}.k{i} = CAST(c.{c} AS VARCHAR)" for i, (c, _) in enumerate(places)) or "true"
+        joins.append(f"LEFT JOIN m{k} ON {on}")
+        picks.append(f"CASE WHEN m{k}.pos IS NOT NULL THEN {{'f': {-len(places)}, 'p': m{k}.pos, 'v': '{label} ' || m{k}.pos}} END")
+    return (
+        f"WITH {_CUSTOMERS}, {', '.join(parts)} SELECT c_custkey, list_min(list_filter([{', '.join(picks)}], lambda x: x IS NOT NULL)).v AS ruling "
+        f"FROM c {' '.join(joins)}"
     )
-    return rules.classify(customers, RULES).select("c_custkey", "classification")
+
+
+@query("f13_rules_from_table", _rule_sql())
+def f13_table(spark, sf_dir):
+    """Every customer gives a rule, so the rules grow with the table; the plan does not."""
+    customers = _customers(spark, sf_dir)
+    form, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (places, text) in enumerate(_RULE_FORMS):
+        own = F.concat_ws("/", *[F.lit("*") if p == "*" else F.col(p).cast("string") for p in places])
+        form = F.when(F.col("c_custkey") % 6 == k, own).otherwise(form)
+        label = F.when(F.col("c_custkey") % 6 == k, F.concat(F.lit(f"{text} "), F.col("c_custkey"))).otherwise(label)
+    listed = customers.select(F.col("c_custkey").alias("position"), form.alias("pattern"), label.alias("value"))
+    found = rules.classify_from(customers, listed, _RULE_COLUMNS, "ruling")
+    return found.select("c_custkey", "ruling")
