@@ -5,10 +5,11 @@ and tabs. All runs of 1 to ``longest`` words inside pieces are counted per langu
 
 Counting. A task numbers the words of what it holds (HELD words per language), packs the numbers of
 a run of words into one integer, sorts these integers and counts equal neighbours; so a phrase leaves a task once per
-portion, however frequent it is, and a grouping by language and phrase adds the portions up. The empty phrase
+portion, however frequent it is. Phrases travel in prefix order, as lines of one of BUCKETS texts by the hash of their first
+two words, and are added up by language, bucket and phrase where they arrive. The empty phrase
 carries the number of words. Phrases of fewer than ``least`` occurrences cannot be candidates, nor parts
 or extensions of candidates that matter, as a part is at least as frequent as the whole; the others are
-written to the shared folder as one stream per number of words.
+written to the shared folder, and one stream per number of words is read from there.
 
 Merging. The stream of k words is put in prefix order (by its first k - 1 words) and in suffix order (by its
 last k - 1 words) and merge-joined in lockstep with the finished stream of k - 1 words. The prefix order
@@ -27,6 +28,7 @@ columns, of any names, are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,6 +45,7 @@ SCALE, COVERED = 1_000_000, 50
 NO_LANGUAGE = "und"
 HELD = 1_000_000
 BLOCK = 8_000_000
+BUCKETS = 16_384
 # Characters that end a piece.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 
@@ -86,25 +89,26 @@ class Portion:
             self.size += len(part)
         self.parts.append(np.zeros(1, np.int64))
 
-    def counts(self, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """Phrases with their counts, for each number of words; the empty phrase has the number of words."""
+    def counts(self, longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Phrases, their counts and buckets, by number of words; the empty phrase has the number of words."""
         ids = np.concatenate(self.parts)
         words = pa.array(list(self.numbers), pa.binary()).cast(pa.string())
+        hashes = np.array([zlib.crc32(w) for w in self.numbers], np.int64)
         used = np.bincount(ids, minlength=len(words))
-        yield pa.array([""]), np.array([used[1:].sum()])
-        yield words[1:], used[1:]
+        yield pa.array([""]), np.array([used[1:].sum()]), np.zeros(1, np.int64)
+        yield words[1:], used[1:], hashes[1:] % BUCKETS
         for k in range(2, longest + 1):
             # so many places that k numbers fit into 63 bits
             step = min(HELD, int(2 ** (62 / k)) - k)
             for at in range(0, len(ids), step):
                 part = ids[at : at + step + k - 1]
                 if len(part) >= k:
-                    yield self._phrases(part, k, words)
+                    yield self._phrases(part, k, words, hashes)
 
     @staticmethod
-    def _phrases(ids: np.ndarray, k: int, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    def _phrases(ids: np.ndarray, k: int, words: pa.Array, hashes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         own, base, local = None, len(words), ids
-        if base ** k >= 1 << 63:
+        if base**k >= 1 << 63:
             own, local = np.unique(ids, return_inverse=True)
             base = len(own)
         n = len(ids) - k + 1
@@ -114,11 +118,22 @@ class Portion:
             inside &= ids[i : i + n] > 0
             packed = packed * base + local[i : i + n]
         found, counts = np.unique(packed[inside], return_counts=True)
-        columns = []
+        places = []
         for _ in range(k):
             found, last = np.divmod(found, base)
-            columns.append(words.take(pa.array(last if own is None else own[last])))
-        return pc.binary_join_element_wise(*reversed(columns), " "), counts
+            places.insert(0, last if own is None else own[last])
+        columns = [words.take(pa.array(place)) for place in places]
+        return pc.binary_join_element_wise(*columns, " "), counts, (hashes[places[0]] * 31 + hashes[places[1]]) % BUCKETS
+
+    def texts(self, longest: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """Buckets and their lines: a phrase, and behind a tab its count where that is not 1."""
+        for phrases, counts, buckets in self.counts(longest):
+            order = np.argsort(buckets, kind="stable")
+            phrases, counts = phrases.take(pa.array(order)), pa.array(counts[order], pa.int64())
+            lines = pc.if_else(pc.equal(counts, 1), phrases, pc.binary_join_element_wise(phrases, counts.cast(pa.string()), "\t"))
+            used, starts = np.unique(buckets[order], return_index=True)
+            ends = pa.array(np.append(starts, len(order)).astype(np.int32))
+            yield used, pc.binary_join(pa.ListArray.from_arrays(ends, lines), "\n")
 
 
 def _counted(longest: int):
@@ -126,11 +141,9 @@ def _counted(longest: int):
         held: dict[str, Portion] = {}
 
         def emit(lang: str) -> Iterator[pa.RecordBatch]:
-            for phrases, counts in held.pop(lang).counts(longest):
-                for at in range(0, len(phrases), HELD):
-                    some = phrases[at : at + HELD]
-                    names = pa.array([lang]).take(pa.array(np.zeros(len(some), np.int64)))
-                    yield pa.RecordBatch.from_arrays([names, some, pa.array(counts[at : at + HELD], pa.int64())], ["lang", "phrase", "a"])
+            for buckets, lines in held.pop(lang).texts(longest):
+                names = pa.array([lang]).take(pa.array(np.zeros(len(lines), np.int64)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(buckets, pa.int32()), lines], ["lang", "bucket", "lines"])
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
@@ -150,8 +163,16 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, text: str = "text", l
     """``lang``, ``phrase`` (words joined by a space; empty: all words) and its count ``a``."""
     ship(docs.sparkSession)
     read_part = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(f"`{text}`").alias("text"))
-    portions = read_part.mapInArrow(_counted(longest), "lang string, phrase string, a long")
-    return portions.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    portions = read_part.mapInArrow(_counted(longest), "lang string, bucket int, lines string").repartition("lang", "bucket")
+    line = portions.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    several = F.instr("line", "\t") > 0
+    counted = line.select(
+        "lang",
+        "bucket",
+        F.substring_index("line", "\t", 1).alias("phrase"),
+        F.when(several, F.substring_index("line", "\t", -1).cast("long")).otherwise(1).alias("a"),
+    )
+    return counted.groupBy("lang", "bucket", "phrase").agg(F.sum("a").alias("a")).drop("bucket")
 
 
 def _stream(counts: DataFrame, k: int) -> DataFrame:
