@@ -19,7 +19,7 @@ and twice as many at most.
 Tokens that their own bytes never merge into stand only for a whole piece, as in the rank-file libraries.
 
 Decoding is an automaton too: its state is the unfinished UTF-8 sequence (at most three bytes), its
-transitions by token give the characters finished; wrong bytes, unfinished ends, null and unknown ids give
+transitions by token (at most the vocabulary for each of some thousand states) give the characters finished; wrong bytes, unfinished ends, null and unknown ids give
 U+FFFD each.
 
 A null or empty text has no tokens, and no tokens decode to an empty text. Rows are worked on one by one, so repeated
@@ -32,8 +32,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,6 @@ KEPT = 100_000
 SHORT = 32
 LOOKAHEAD = 4096
 LONG = 1_000_000
-STEPS = 500_000
 UNKNOWN = "�"
 
 
@@ -129,11 +130,16 @@ class Encoder:
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.kept: dict[str, list[int]] = {}
         self.kept_before: dict[str, list[int]] = {}
+        self.states: dict[tuple, dict] = {}
         self._forget()
 
     def _forget(self) -> None:
+        """Begin anew; the old states point at each other, so only a collection frees them."""
+        if self.states:
+            self.states.clear()
+            gc.collect()
         self.start: dict = {HELD: ((None, b""),)}
-        self.states: dict[tuple, dict] = {self.start[HELD]: self.start}
+        self.states[self.start[HELD]] = self.start
 
     def _time(self, token: int) -> int:
         """When the token's last merge can happen: its rank, and not before its parts are there."""
@@ -253,8 +259,9 @@ class Encoder:
                 push(token)
         return out + self._back(closed, len(closed))
 
-    def _fresh(self, piece: str) -> list[int]:
-        found = self.kept_before.get(piece)
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one piece."""
+        found = self.kept.get(piece) or self.kept_before.get(piece)
         if found is None:
             raw = piece.encode("utf-8", "replace")
             try:
@@ -267,10 +274,12 @@ class Encoder:
             self.kept[piece] = found
         return found
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one piece."""
-        found = self.kept.get(piece)
-        return self._fresh(piece) if found is None else found
+    def pieces(self, pieces: Iterable[str]) -> list[int]:
+        """Ids of all pieces of a text."""
+        ids: list[int] = []
+        for piece in pieces:
+            ids += self.kept.get(piece) or self.piece(piece)
+        return ids
 
 
 # First bytes of UTF-8 sequences, their lengths, and the second bytes that may follow them.
@@ -297,33 +306,37 @@ class Decoder:
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
-        self.steps: dict[tuple[bytes, int | None], tuple[bytes, str]] = {}
-        self.held = b""
+        # a state is a dict from a token to (next state, characters finished); at HELD its unfinished bytes
+        self.states: dict[bytes, dict] = {b"": {HELD: b""}}
+        self.state = self.states[b""]
 
-    def _step(self, held: bytes, token: int | None) -> tuple[bytes, str]:
-        if len(self.steps) >= STEPS:
-            self.steps.clear()
-        raw = self.tokens.get(token)
+    def _step(self, state: dict, token: int | None) -> tuple[dict, str]:
+        held = state[HELD]
+        raw = None if token is None or token < 0 else self.tokens.get(token)
         after, text = held, []
         if raw is None:
             after, text = b"", [UNKNOWN * (2 if held else 1)]
         for byte in raw or b"":
             after, done = utf8_step(after, byte)
             text.append(done)
-        self.steps[held, token] = (after, "".join(text))
-        return self.steps[held, token]
+        step = (self.states.setdefault(after, {HELD: after}), "".join(text))
+        if raw is not None:
+            state[token] = step
+        return step
 
     def feed(self, ids: list) -> str:
-        text, held, steps = [], self.held, self.steps
+        text, state = [], self.state
         for token in ids:
-            step = steps.get((held, token)) or self._step(held, token)
-            held = step[0]
-            text.append(step[1])
-        self.held = held
+            step = state.get(token)
+            if step is None or token == HELD:
+                step = self._step(state, token)
+            state, done = step
+            text.append(done)
+        self.state = state
         return "".join(text)
 
     def close(self) -> str:
-        rest, self.held = (UNKNOWN if self.held else ""), b""
+        rest, self.state = (UNKNOWN if self.state[HELD] else ""), self.states[b""]
         return rest
 
 
@@ -341,6 +354,16 @@ def _built(label: str, make):
     return _BUILT[label]
 
 
+@contextmanager
+def _without_gc():
+    """The states stay, and looking through them for garbage again and again would take a quarter of the time."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def _encoder(spark: SparkSession, vocabulary: str, pattern: str):
     """A function from a text to its ids, made in the tasks from a broadcast vocabulary."""
     ship(spark)
@@ -353,11 +376,9 @@ def _encoder(spark: SparkSession, vocabulary: str, pattern: str):
         pieces = regex.compile(pattern)
 
         def ids_of(text: str | None) -> np.ndarray:
-            ids: list[int] = []
             text = text or ""
-            for piece in pieces.findall(text) if len(text) < LONG else (m.group() for m in pieces.finditer(text)):
-                ids += encoder.piece(piece)
-            return np.array(ids, np.int32)
+            found = pieces.findall(text) if len(text) < LONG else (m.group() for m in pieces.finditer(text))
+            return np.array(encoder.pieces(found), np.int32)
 
         return ids_of
 
@@ -390,7 +411,9 @@ def token_ids(text: Column, vocabulary: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids_of = make()
         for texts in batches:
-            yield _lists([ids_of(value.as_py()) for value in texts])
+            with _without_gc():
+                found = [ids_of(value.as_py()) for value in texts]
+            yield _lists(found)
 
     return encode(text)
 
@@ -417,8 +440,9 @@ def round_trip(text: Column, vocabulary: str, pattern: str) -> Column:
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids_of, text_of = make_encoder(), make_decoder()
         for texts in batches:
-            found = [ids_of(value.as_py()) for value in texts]
-            texts = pa.array([text_of(ids.tolist()) for ids in found], pa.string())
+            with _without_gc():
+                found = [ids_of(value.as_py()) for value in texts]
+                texts = pa.array([text_of(ids.tolist()) for ids in found], pa.string())
             yield pa.StructArray.from_arrays([_lists(found), texts], ["ids", "decoded"])
 
     return both(text)
