@@ -41,6 +41,13 @@ def _by_unit(unit: Column, values: dict, default=None) -> Column:
     return chain if default is None else chain.otherwise(F.lit(default))
 
 
+def known_unit(unit: Column) -> Column:
+    """The unit; an unknown or missing one is an error."""
+    return F.when(unit.isin(*UNIT_DAYS), unit).otherwise(
+        F.raise_error(F.concat(F.lit("unknown time unit "), F.coalesce(unit, F.lit("null")))).cast("string")
+    )
+
+
 def _counted(n) -> Column:
     """0, 1 .. n-1; empty for n <= 0 (a plain sequence would count down)."""
     n = _number(n).cast("int")
@@ -84,7 +91,11 @@ def normalised_days(date, duration, clamp: str = "calendar") -> Column:
 
 
 def advance(date: Column, unit, calendar: bool = True, clamp: str = "calendar") -> Column:
-    """Start of the next element, given the start and the unit of this one."""
+    """Start of the next element, given the start and the unit of this one; an unknown or missing unit is an error."""
+    if isinstance(unit, Column):
+        unit = known_unit(unit)
+    elif unit not in UNIT_DAYS:
+        raise ValueError(f"unknown time unit {unit}")
     if not calendar:
         return F.date_add(date, unit_days(unit))
     if isinstance(unit, Column):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
 from .joins import lookup_join
+from .sorted_arrays import count_below
 
 
 def _bucket(lo: Column, hi: Column, label: Column) -> Column:
@@ -63,7 +64,7 @@ def _by_unit_column(unit: Column, build) -> Column:
     chain = F.when(unit == names[0], build(names[0]))
     for name in names[1:]:
         chain = chain.when(unit == name, build(name))
-    return chain.when(unit.isNotNull(), F.raise_error(F.concat(F.lit("unknown time unit "), unit)))
+    return chain.otherwise(F.raise_error(F.concat(F.lit("unknown time unit "), F.coalesce(unit, F.lit("null")))))
 
 
 def period_set(letter: str, start: Column, first: Column, last: Column, development_last: Column, unit) -> Column:
@@ -133,6 +134,9 @@ def assign_bucket_by_key(
     spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """The same with a bucket array per key: one row per key is joined, then picked from in the row."""
-    joined = lookup_join(df, buckets.select(*keys, F.col("buckets").alias("_buckets")), keys, "left", spread=spread)
-    found = F.filter("_buckets", lambda b: (b["lo"] <= F.col(date)) & (F.col(date) <= b["hi"]))
-    return joined.withColumn(into, F.get(found, F.lit(0))["label"]).drop("_buckets")
+    listed = buckets.select(*keys, F.col("buckets").alias("_buckets"), F.col("buckets.lo").alias("_starts"))
+    joined = lookup_join(df, listed, keys, "left", spread=spread)
+    # buckets of a key are in order and do not overlap: the last one that starts at or before the date
+    place = count_below(F.col("_starts"), F.col(date), or_equal=True)
+    found = F.get("_buckets", place - 1)
+    return joined.withColumn(into, F.when(F.col(date) <= found["hi"], found["label"])).drop("_buckets", "_starts")

@@ -68,21 +68,45 @@ def with_totals(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+# More columns than this are a long-form result, not a table.
+MAX_COLUMNS = 2_000
+
+
+def bucket_labels(cells: DataFrame, axis: str = "exposure") -> list[str]:
+    """The buckets that occur on an axis, in order: one pass that brings one value per bucket of the calendar."""
+    name = f"{axis}_bucket"
+    rows = cells.select(F.col(name).cast("string").alias("b")).filter("b IS NOT NULL").distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(rows) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} buckets: use the long form")
+    return sorted(r["b"] for r in rows)
+
+
 def table(
     cells: DataFrame,
     keys: Sequence[str],
-    exposure_buckets: Sequence[Date],
+    exposure_buckets: Sequence[Date] | None = None,
     precision: int = 2,
     totals: bool = True,
+    unlisted: str = "error",
 ) -> DataFrame:
-    """Wide table: one row per incurred bucket, one column per listed exposure bucket, 0 where empty.
+    """Wide table: one row per incurred bucket, one column per exposure bucket, 0 where empty.
 
-    The column list is given, so no extra job looks for it. With ``totals`` there are a Total column
-    and a total row (null incurred bucket) over all cells; without, only the rounded cells.
+    Without ``exposure_buckets`` the columns are those that occur (see ``bucket_labels``). With a list no
+    extra job runs; a cell outside it is an error, or left out of the columns with ``unlisted="drop"``. With
+    ``totals`` there are a Total column and a total row (null incurred bucket) over all cells; without, only
+    the rounded cells.
     """
+    if unlisted not in ("error", "drop"):
+        raise ValueError("unlisted must be 'error' or 'drop'")
     keys = list(keys)
-    labels = [d.isoformat() if isinstance(d, Date) else str(d) for d in exposure_buckets]
+    if exposure_buckets is None:
+        labels = bucket_labels(cells)
+    else:
+        labels = [d.isoformat() if isinstance(d, Date) else str(d) for d in exposure_buckets]
     named = cells.withColumn("_col", F.col("exposure_bucket").cast("string"))
+    if exposure_buckets is not None and unlisted == "error":
+        stray = F.raise_error(F.concat(F.lit("no column for the exposure bucket "), F.coalesce("_col", F.lit("null")))).cast("double")
+        named = named.withColumn("value", F.when(F.col("_col").isin(*labels), F.col("value")).otherwise(stray))
     picks = [F.sum(F.when(F.col("_col") == label, F.col("value"))).alias(label) for label in labels]
     every = F.sum("value").alias("Total")
     if totals:
@@ -92,7 +116,8 @@ def table(
         )
         wide = rows.agg(*picks, every)
     else:
-        wide = named.groupBy(*keys, "incurred_bucket").agg(*picks)
+        rows = named.groupBy(*keys, "incurred_bucket")
+        wide = rows.agg(*picks) if picks else rows.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     numbers = [c for c in wide.columns if c not in keys and c != "incurred_bucket"]
 
     def shown(c: str) -> Column:
@@ -102,11 +127,6 @@ def table(
     return wide.select(*keys, "incurred_bucket", *[shown(c) for c in numbers])
 
 
-def bucket_range(cells: DataFrame) -> DataFrame:
-    """Earliest and latest exposure bucket over all cells: one row."""
-    return cells.agg(F.min("exposure_bucket").alias("first"), F.max("exposure_bucket").alias("last"))
-
-
 DIRECTIONS = ("left", "right", "top", "bottom", "top-left", "top-right", "bottom-left", "bottom-right")
 
 

@@ -1,7 +1,7 @@
 """Areas of parallelograms cut by lines, as columns over a table of shapes.
 
-Cuts are either a short plan-time list (each shape row is repeated per cut, nothing is joined) or
-columns of the same row.
+Cuts are a short plan-time list (each shape row is repeated per cut, nothing is joined), columns of the same
+row, or a table with any number of cuts per shape.
 """
 
 from __future__ import annotations
@@ -63,6 +63,29 @@ def strip_areas(shapes: DataFrame, lines: Sequence[tuple[float, float, str]]) ->
     return shapes.select(*shapes.columns, F.inline(listed))
 
 
+def _chosen(kind: Column, names: Sequence[str], area, what: str) -> Column:
+    """The area for the name that a column gives; another name is an error."""
+    chain = F.when(kind == names[0], area(names[0]))
+    for name in names[1:]:
+        chain = chain.when(kind == name, area(name))
+    return chain.otherwise(F.raise_error(F.concat(F.lit(f"unknown {what} "), F.coalesce(kind, F.lit("null")))).cast("double"))
+
+
+ORIENTATIONS = ("vertical", "horizontal")
+
+
+def strip_areas_from(shapes: DataFrame, cuts: DataFrame, keys: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """Strip areas of every (shape, cut) of a table of cuts: keys, line_1, line_2, orientation, and columns to keep.
+
+    One equality join by shape, its lines as they are; a shape without cuts has no rows. A null line gives null.
+    """
+    lines = cuts.select(*keys, *kept, F.col("line_1").cast("double").alias("line_1"), F.col("line_2").cast("double").alias("line_2"), "orientation")
+    joined = shapes.join(lines, list(keys))
+    first, second = F.col("line_1"), F.col("line_2")
+    area = _chosen(F.col("orientation"), ORIENTATIONS, lambda o: strip_area(first, second, o), "orientation")
+    return joined.withColumn("strip_area", F.when(first.isNotNull() & second.isNotNull(), area))
+
+
 def part_geometry(parts: DataFrame) -> DataFrame:
     """Area, width and corners of sheared parts given by (top_length, height): the shear equals the height."""
     top = _positive(F.col("top_length"), "top_length")
@@ -129,3 +152,14 @@ def part_cut_areas(parts: DataFrame, cuts: Sequence[tuple[float, float, str]]) -
         ]
     )
     return parts.select(*parts.columns, F.inline(listed))
+
+
+def part_cut_areas_from(parts: DataFrame, cuts: DataFrame, keys: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """Cut areas of every (part, cut) of a table of cuts: keys, h_cut, v_cut, region, and columns to keep.
+
+    One equality join by part; a part without cuts has no rows.
+    """
+    lines = cuts.select(*keys, *kept, F.col("h_cut").cast("double").alias("h_cut"), F.col("v_cut").cast("double").alias("v_cut"), "region")
+    joined = parts.join(lines, list(keys))
+    area = _chosen(F.col("region"), PART_REGIONS, lambda r: part_cut_area(F.col("h_cut"), F.col("v_cut"), r), "region")
+    return joined.withColumn("cut_area", F.when(F.col("h_cut").isNotNull() & F.col("v_cut").isNotNull(), area))

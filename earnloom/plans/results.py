@@ -122,6 +122,8 @@ def book_result(configs: DataFrame, selector: str, keys: Sequence[str] = ("confi
     return result(configs, selector, keys).unionByName(result(configs, selector, keys, linear=True))
 
 
-def result_table(cells: DataFrame, keys: Sequence[str], exposure_buckets, precision: int = 6) -> DataFrame:
-    """Wide table without totals, rounded half up."""
-    return matrix.table(cells, keys, exposure_buckets, precision, totals=False)
+def result_table(
+    cells: DataFrame, keys: Sequence[str], exposure_buckets=None, precision: int = 6, unlisted: str = "error"
+) -> DataFrame:
+    """Wide table without totals, rounded half up; without a list of buckets those that occur are the columns."""
+    return matrix.table(cells, keys, exposure_buckets, precision, totals=False, unlisted=unlisted)

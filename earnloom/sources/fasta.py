@@ -1,8 +1,11 @@
-"""FASTA sequence files: one row per record."""
+"""FASTA sequence files: one row per record, or one per piece of a record where records may be long."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+# Lines of a piece: some 600 KB at 60 letters a line.
+CHUNK_LINES = 10_000
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +20,67 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, lines: int = CHUNK_LINES) -> DataFrame:
+    """``source, record, header, chunk, sequence``: the sequence in pieces of at most ``lines`` lines.
+
+    ``record`` and ``chunk`` count from 1 within a file and a record. Files are read by lines, so a record
+    of any length goes over as many file splits as it has, and no row holds more than a piece. Inside a split a
+    window numbers its headers; which record a split begins in, and how many pieces that record had before,
+    follows from one row per split by a running sum that starts again at each header. Lines before the first
+    header of a file belong to no record and are left out, empty lines and blanks count for nothing; pieces end with a split too.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),  # lines of a split are in order in one task
+        F.regexp_replace("value", r"\s+$", "").alias("_line"),
+    )
+    inside = Window.partitionBy("source", "_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.col("_line").startswith(">")
+    numbered = raw.withColumn("_part", F.sum(head.cast("int")).over(inside))
+    part = Window.partitionBy("source", "_split", "_part").orderBy("_at")
+    body = (
+        numbered.withColumns({"_head": head, "_text": F.regexp_replace("_line", r"\s", "")})
+        .filter("_head OR _text <> ''")
+        .withColumn("_no", F.row_number().over(part) - F.when(F.col("_part") > 0, 1).otherwise(0))
+        .withColumn("_chunk", F.when(F.col("_head"), 0).otherwise(F.floor((F.col("_no") - 1) / lines) + 1).cast("long"))
+    )
+    parts = body.groupBy("source", "_split", "_part").agg(
+        F.max("_chunk").alias("_chunks"), F.max(F.when(F.col("_head"), F.trim(F.substr("_line", F.lit(2))))).alias("_header")
+    )
+    splits = parts.groupBy("source", "_split").agg(
+        F.max("_part").cast("long").alias("_heads"),
+        F.max_by("_chunks", "_part").alias("_tail"),
+        F.max_by("_header", "_part").alias("_last"),
+    )
+    earlier = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    entered = F.col("_heads") > 0
+    summed = splits.withColumn("_sum", F.coalesce(F.sum("_tail").over(earlier), F.lit(0)))
+    carried = summed.select(
+        "source",
+        "_split",
+        F.coalesce(F.sum("_heads").over(earlier), F.lit(0)).alias("_records"),
+        F.last(F.when(entered, F.col("_last")), ignorenulls=True).over(earlier).alias("_open"),
+        # pieces since the split in which the open record began
+        (F.col("_sum") - F.coalesce(F.last(F.when(entered, F.col("_sum")), ignorenulls=True).over(earlier), F.lit(0))).alias("_before"),
+    )
+    pieces = (
+        body.filter(~F.col("_head"))
+        .groupBy("source", "_split", "_part", "_chunk")
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_texts"))
+        .join(parts.select("source", "_split", "_part", "_header"), ["source", "_split", "_part"])
+        .join(carried, ["source", "_split"])
+    )
+    first = F.col("_part") == 0
+    return pieces.select(
+        "source",
+        (F.col("_records") + F.col("_part")).alias("record"),
+        F.when(first, F.col("_open")).otherwise(F.col("_header")).alias("header"),
+        (F.col("_chunk") + F.when(first, F.col("_before")).otherwise(0)).alias("chunk"),
+        F.array_join("_texts._text", "").alias("sequence"),
+    ).filter("record > 0")
+
+
 def filter_by_header(records: DataFrame, pattern: str) -> DataFrame:
     return records.filter(F.col("header").rlike(pattern))
 

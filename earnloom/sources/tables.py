@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import pinned
 from . import files
 
 ONLY_SELECT = "only queries that start with SELECT can be extracted"
@@ -34,14 +35,17 @@ def create_table(
 
 
 def load_parquet_to_table(spark: SparkSession, path: str, table: str) -> None:
-    """Append a Parquet file to a table that exists and has the same column names in the same order."""
+    """Append a Parquet file to a table that exists and has the same column names in the same order.
+
+    The whole file is read and written to the shared folder first, so a file that cannot be read leaves the table as it was.
+    """
     if not spark.catalog.tableExists(table):
         raise ValueError(f"table {table} does not exist")
     incoming = files.read_parquet(spark, path)
     wanted = spark.table(table).columns
     if incoming.columns != wanted:
         raise ValueError(f"columns {incoming.columns} of {path} do not match {wanted} of {table}")
-    incoming.write.insertInto(table)
+    pinned(incoming).write.insertInto(table)
 
 
 def _select_only(query: str) -> str:
@@ -84,19 +88,22 @@ def table_of_file(name: str) -> str:
 def load_schema(spark: SparkSession, schema: str, folder: str | None = None, truncate: bool = False, sep: str = ";") -> list[str]:
     """CSV files in name order into the tables they are named after, typed by the tables.
 
-    Columns are found by name; a file without one of the table's columns is an error.
+    Columns are found by name; a file without one of the table's columns is an error. All files are read and
+    written to the shared folder before the first table is touched, so one that cannot be read leaves all
+    tables as they were, also with ``truncate``.
     """
     folder = folder or schema
-    loaded = []
+    staged = []
     for entry in _entries(spark, folder):
         if not entry.endswith(".csv"):
             continue
         table = f"{schema}.{table_of_file(entry)}"
         target = spark.table(table)
         rows = files.read_csv_by_name(spark, os.path.join(folder, entry), target.schema, sep=sep)
+        staged.append((table, pinned(rows)))
+    for table, rows in staged:
         rows.write.insertInto(table, overwrite=truncate)
-        loaded.append(table)
-    return loaded
+    return [table for table, _ in staged]
 
 
 _PARAMETER = re.compile(r"'\{(\w+)\}'|\{(\w+)\}")

@@ -115,6 +115,25 @@ def test_part_cuts_close_to_fine_sums(spark):
         assert r["cut_area"] == pytest.approx(float((width * rows).sum() * height / steps), abs=top * height * 2e-4)
 
 
+def test_cuts_from_a_table_equal_the_list(spark):
+    shape = spark.createDataFrame([(1, 20.0, 5, 2), (2, 12.0, 4, 0), (3, 9.0, 3, 1)], "k int, area double, length int, bottom_offset int")
+    lines = [(1.0, 3.5, "vertical"), (-3.0, -0.5, "horizontal")]
+    cuts = [(k, a, b, o, f"c{i}") for k in (1, 2) for i, (a, b, o) in enumerate(lines)] + [(9, 1.0, 2.0, "vertical", "lost"), (1, None, 2.0, "vertical", "null")]
+    table = spark.createDataFrame(cuts, "k int, line_1 double, line_2 double, orientation string, name string")
+    found = shapes.strip_areas_from(shape, table, ["k"], ["name"])
+    listed = {(r["k"], r["line_1"], r["orientation"]): r["strip_area"] for r in shapes.strip_areas(shape, lines).collect() if r["k"] < 3}
+    made = found.collect()
+    assert {(r["k"], r["line_1"], r["orientation"]): r["strip_area"] for r in made if r["name"] != "null"} == listed
+    assert [r["strip_area"] for r in made if r["name"] == "null"] == [None]
+    with pytest.raises(Exception, match="unknown orientation"):
+        shapes.strip_areas_from(shape, table.withColumn("orientation", F.lit("slanted")), ["k"]).collect()
+    parts = spark.createDataFrame([(1, 7.0, 4.0), (2, 3.0, 9.0)], "k int, top_length double, height double")
+    places = [(h, v, region) for h in (1.5, 6.0) for v in (2.0, 8.0) for region in shapes.PART_REGIONS]
+    table = spark.createDataFrame([(k, *p) for k in (1, 2, 3) for p in places], "k int, h_cut double, v_cut double, region string")
+    keyed = lambda rows: {(r["k"], r["h_cut"], r["v_cut"], r["region"]): r["cut_area"] for r in rows}
+    assert keyed(shapes.part_cut_areas_from(parts, table, ["k"]).collect()) == keyed(shapes.part_cut_areas(parts, places).collect())
+
+
 def dense_cubic(x, y, at):
     """All spline conditions in one dense system: values, slopes, curvatures, and no jump of the third derivative."""
     n = len(x) - 1

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from earnloom.functions import calendar
 from earnloom.operators import buckets, expand, matrix, patterns
 from earnloom.operators.coverage import CoveragePatterns, portfolio_matrix, reconcile, reconciliation_totals
 from earnloom.plans import results
@@ -408,11 +409,38 @@ def test_criteria_reject_unknown_operator(spark, cells):
         matrix.sum_by_criteria(cells, ["k"], [("x", D(2023, 1, 1), "=", "<")])
 
 
+def test_table_columns_come_from_the_cells(spark, cells):
+    assert matrix.bucket_labels(cells) == ["2023-03-31", "2023-06-30", "2023-09-30", "2023-12-31"]
+    wide = matrix.table(cells, ["k"])
+    assert wide.columns == ["k", "incurred_bucket", "2023-03-31", "2023-06-30", "2023-09-30", "2023-12-31", "Total"]
+    for r in wide.collect():
+        assert sum(r[c] for c in wide.columns[2:-1]) == r["Total"]
+    assert matrix.table(cells.limit(0), ["k"], totals=False).columns == ["k", "incurred_bucket"]
+    with pytest.raises(Exception, match="no column for the exposure bucket 2023-0|no column for the exposure bucket 2023-1"):
+        matrix.table(cells, ["k"], [D(2023, 3, 31)], totals=False).collect()
+    with pytest.raises(ValueError):
+        matrix.table(cells, ["k"], unlisted="keep")
+
+
+def test_unknown_units_are_errors(spark):
+    units = spark.createDataFrame([("YEAR",), ("HALFYEAR",), (None,)], "unit string")
+    moved = units.withColumn("next", calendar.advance(F.lit(D(2024, 1, 31)), F.col("unit")))
+    assert moved.filter("unit = 'YEAR'").first()["next"] == D(2025, 1, 31)
+    for bad, text in (("unit = 'HALFYEAR'", "unknown time unit HALFYEAR"), ("unit IS NULL", "unknown time unit null")):
+        with pytest.raises(Exception, match=text):
+            moved.filter(bad).collect()
+        ends = units.filter(bad).select(buckets.period_set("F", F.lit(D(2024, 1, 1)), F.lit(D(2024, 1, 1)), F.lit(D(2024, 12, 31)), F.lit(D(2024, 12, 31)), F.col("unit")))
+        with pytest.raises(Exception, match=text):
+            ends.collect()
+    with pytest.raises(ValueError):
+        calendar.advance(F.col("d"), "HALFYEAR")
+
+
 def test_tables(cells):
-    wide = matrix.table(cells, ["k"], [D(2023, 3, 31), D(2023, 6, 30)]).filter("k = 1").orderBy("incurred_bucket").collect()
+    wide = matrix.table(cells, ["k"], [D(2023, 3, 31), D(2023, 6, 30)], unlisted="drop").filter("k = 1").orderBy("incurred_bucket").collect()
     assert [r["incurred_bucket"] for r in wide] == [None, D(2023, 3, 31), D(2023, 6, 30)]
     assert (wide[0]["2023-03-31"], wide[0]["2023-06-30"], wide[0]["Total"]) == (1.0, 10.0, 15.0)
-    plain = matrix.table(cells, ["k"], [D(2023, 3, 31)], 1, totals=False)
+    plain = matrix.table(cells, ["k"], [D(2023, 3, 31)], 1, totals=False, unlisted="drop")
     assert "Total" not in plain.columns and plain.count() == 3
     totals = {(r["incurred_bucket"], r["exposure_bucket"]): r["value"] for r in matrix.with_totals(cells.filter("k=1"), ["k"]).collect()}
     assert totals[(None, None)] == 15.0 and totals[(None, D(2023, 6, 30))] == 10.0 and totals[(D(2023, 6, 30), None)] == 12.0

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,35 @@ def test_fasta(spark, tmp_path):
     assert fasta.first_header(records, "none").first()["header"] is None
 
 
+@pytest.mark.parametrize("split_bytes,lines", [(70, 2), (200, 3), (100_000, 1), (100_000, 1000)])
+def test_fasta_records_over_several_splits(spark, tmp_path, split_bytes, lines):
+    rnd = random.Random(split_bytes)
+    records = [("long one", "".join(rnd.choice("ACGT") for _ in range(2300))), ("empty", ""), ("short", "ACG"), ("long two", "GATTACA" * 90), ("last", "T")]
+    text = "lost line\n" + "".join(f">{name} \n" + "".join(body[i : i + 30] + "\n" for i in range(0, len(body), 30)) + "\n" for name, body in records)
+    (tmp_path / "one.fasta").write_text(text)
+    (tmp_path / "two.fasta").write_text(">other\r\nAC GT\r\n>more\r\n" + "TTTT\r\n" * 40)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], split_bytes)
+        spark.conf.set(names[1], 1)
+        rows = fasta.read_fasta_chunks(spark, str(tmp_path), lines).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["source"], r["record"], r["chunk"])):
+        assert 0 < len(r["sequence"]) <= 30 * lines
+        place = whole.setdefault((r["source"].rsplit("/", 1)[1], r["record"]), [r["header"], [], ""])
+        place[1].append(r["chunk"])
+        place[2] += r["sequence"]
+    assert all(chunks == list(range(1, len(chunks) + 1)) for _, chunks, _ in whole.values())
+    assert {k: (h, s) for k, (h, _, s) in whole.items()} == {
+        **{("one.fasta", i): record for i, record in enumerate(records, 1) if record[1]},
+        ("two.fasta", 1): ("other", "ACGT"), ("two.fasta", 2): ("more", "TTTT" * 40),
+    }
+
+
 def test_files(spark, tmp_path):
     source = str(tmp_path / "a.parquet")
     df = spark.createDataFrame([(1, "x;y"), (2, None)], "a int, b string")
@@ -159,6 +189,27 @@ def test_checked_load_and_dump(spark, tmp_path, schema):
         tables.prepared_query(spark, "SELECT * FROM trial.u WHERE a = ?", [])
 
 
+def test_a_bad_file_leaves_all_tables_as_they_were(spark, tmp_path, schema):
+    for name in ("aa", "bb"):
+        tables.create_table(spark, f"{schema}.{name}", "k int, v string, p int", partition_by=["p"])
+        spark.createDataFrame([(1, "old", 1)], "k int, v string, p int").write.insertInto(f"{schema}.{name}")
+    folder = tmp_path / "dump"
+    folder.mkdir()
+    (folder / "1_aa.csv").write_text("k;v;p\n2;new;2\n")
+    (folder / "2_bb.csv").write_text("k;v\n9;new\n")
+    for truncate in (False, True):
+        with pytest.raises(Exception):
+            tables.load_schema(spark, schema, str(folder), truncate=truncate)
+        for name in ("aa", "bb"):
+            assert [tuple(r) for r in spark.table(f"{schema}.{name}").collect()] == [(1, "old", 1)]
+    (folder / "2_bb.csv").write_text("p;k;v\n2;9;new\n")
+    assert tables.load_schema(spark, schema, str(folder)) == [f"{schema}.aa", f"{schema}.bb"]
+    assert sorted(tuple(r) for r in spark.table(f"{schema}.bb").collect()) == [(1, "old", 1), (9, "new", 2)]
+    plan = spark.table(f"{schema}.bb").filter("p = 2")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan
+    assert tables.load_schema(spark, schema, str(folder), truncate=True) and spark.table(f"{schema}.bb").count() == 1
+
+
 def test_named_query_binds_values(spark, tmp_path):
     spark.createDataFrame([(1, "it's"), (2, "b")], "k int, name string").createOrReplaceTempView("named")
     (tmp_path / "q.sql").write_text("SELECT k, name FROM named WHERE name = '{name}' OR k = {k}")

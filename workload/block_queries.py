@@ -323,6 +323,68 @@ def g2(spark, sf_dir):
     return shapes.part_cut_areas(parts, _CUTS).drop("top_length", "height")
 
 
+# every line item cuts the shape of its part
+_LINE_CUTS = """cut AS (
+  SELECT l_partkey AS p_partkey, l_orderkey, l_linenumber, (l_quantity - 20)::DOUBLE AS line_1, (100 * l_discount + l_tax)::DOUBLE AS line_2,
+    CASE WHEN l_linenumber % 2 = 0 THEN 'vertical' ELSE 'horizontal' END AS orientation FROM lineitem)"""
+
+
+def _strip_table_sql() -> str:
+    lo, hi = "least(line_1, line_2)", "greatest(line_1, line_2)"
+    low = "CASE WHEN orientation = 'vertical' THEN least(0, off) ELSE -(area / length) END"
+    high = "CASE WHEN orientation = 'vertical' THEN greatest(length, length + off) ELSE 0.0 END"
+    return (
+        f"WITH {_SHAPE}, {_LINE_CUTS}, edge AS (SELECT *, ({low})::DOUBLE AS low, ({high})::DOUBLE AS high FROM shape JOIN cut USING (p_partkey)) "
+        f"SELECT l_orderkey, l_linenumber, p_partkey, round(greatest(least({hi}, high) - greatest({lo}, low), 0.0) / (high - low) * area, 5) AS strip_area FROM edge"
+    )
+
+
+@query("g1_strip_areas_from_table", _strip_table_sql())
+def g1_from_table(spark, sf_dir):
+    cuts = inputs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", (F.col("l_quantity") - 20).alias("line_1"),
+        (100 * F.col("l_discount") + F.col("l_tax")).alias("line_2"),
+        F.when(F.col("l_linenumber") % 2 == 0, "vertical").otherwise("horizontal").alias("orientation"),
+    )
+    found = shapes.strip_areas_from(shape_table(spark, sf_dir), cuts, ["p_partkey"], ["l_orderkey", "l_linenumber"])
+    return found.select("l_orderkey", "l_linenumber", "p_partkey", F.round("strip_area", 5).alias("strip_area"))
+
+
+def _region_number(count: str) -> str:
+    return "CASE " + " ".join(f"WHEN {count} = {i} THEN '{r}'" for i, r in enumerate(shapes.PART_REGIONS)) + " END"
+
+
+_PART_CUT_TABLE = f"""
+WITH cut AS (
+  SELECT l_partkey AS p_partkey, l_orderkey, l_linenumber, CAST(l_quantity - 5 AS INTEGER) AS h, CAST(l_suppkey % 60 AS INTEGER) AS v,
+    {_region_number('l_orderkey % 8')} AS region FROM lineitem),
+part_cut AS (
+  SELECT l_orderkey, l_linenumber, p_partkey, region, v, p_size AS top, CAST(1 + p_partkey % 50 AS INTEGER) AS height,
+    CAST(greatest(least(h, 1 + p_partkey % 50), 0) AS INTEGER) AS depth
+  FROM cut JOIN part USING (p_partkey)),
+strips AS (
+  SELECT *, CASE WHEN region IN ('above', 'top_left', 'top_right') THEN y >= depth WHEN region IN ('below', 'bottom_left', 'bottom_right') THEN y < depth ELSE true END AS inside,
+    (least(greatest(v - y, 0), top) + least(greatest(v - y - 1, 0), top)) / 2.0 AS left_part
+  FROM part_cut, generate_series(0, 49) g(y) WHERE y < height)
+SELECT l_orderkey, l_linenumber, p_partkey, region, round(coalesce(sum(CASE WHEN region IN ('above', 'below') THEN top WHEN region LIKE '%left' THEN left_part ELSE top - left_part END)
+  FILTER (inside), 0.0)::DOUBLE, 6) AS cut_area FROM strips GROUP BY l_orderkey, l_linenumber, p_partkey, region"""
+
+
+@query("g2_part_cuts_from_table", _PART_CUT_TABLE)
+def g2_from_table(spark, sf_dir):
+    parts = inputs.table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_size").alias("top_length"), (F.col("p_partkey") % 50 + 1).cast("int").alias("height")
+    )
+    region = F.element_at(F.array(*[F.lit(r) for r in shapes.PART_REGIONS]), (F.col("l_orderkey") % 8 + 1).cast("int"))
+    cuts = inputs.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_linenumber", (F.col("l_quantity") - 5).cast("int").alias("h_cut"),
+        (F.col("l_suppkey") % 60).alias("v_cut"), region.alias("region"),
+    )
+    found = shapes.part_cut_areas_from(parts, cuts, ["p_partkey"], ["l_orderkey", "l_linenumber"])
+    # a line number may repeat in an order: equal cuts of one part are one row in the statement
+    return found.groupBy("l_orderkey", "l_linenumber", "p_partkey", "region").agg(F.round(F.sum("cut_area"), 6).alias("cut_area"))
+
+
 @query("g2_part_geometry", """
 SELECT p_partkey, p_size * (1 + p_partkey % 50)::DOUBLE AS area, (p_size + 1 + p_partkey % 50)::DOUBLE AS width,
   (1 + p_partkey % 50)::DOUBLE AS bottom_left_x, (p_size + 1 + p_partkey % 50)::DOUBLE AS bottom_right_x FROM part""")

@@ -353,13 +353,6 @@ def a10(spark, sf_dir):
     return matrix.with_totals(_weekly_cells(spark, sf_dir), ["pattern_id"]).withColumn("value", F.round("value", 6))
 
 
-def _year_ends(first: int, last: int):
-    return [dt.date(y, 12, 31) for y in range(first, last + 1)]
-
-
-_TABLE_YEARS = _year_ends(1995, 2001)
-
-
 def _yearly_weekly_cells(spark, sf_dir):
     schedule = expand.element_schedule(_weekly_instances(spark, sf_dir), ["pattern_id"])
     return expand.financial_cells(schedule, ["pattern_id"], "YEAR")
@@ -370,8 +363,11 @@ WITH {_WEEKLY}, cell AS (
   SELECT pattern_id, make_date(year(inc), 12, 31) AS ib, make_date(year(exp), 12, 31) AS eb, sum(v) AS v
   FROM factor GROUP BY ALL HAVING abs(sum(v)) > 1e-10)
 """
+
+
+# The years of the dates in the tables; the jobs find them themselves, and a year more or less shows as a column too many.
 _YEAR_COLUMNS = ", ".join(
-    f"round(coalesce(sum(v) FILTER (eb = DATE '{d}'), 0.0), 6) AS \"{d}\"" for d in _TABLE_YEARS
+    f"round(coalesce(sum(v) FILTER (eb = DATE '{y}-12-31'), 0.0), 6) AS \"{y}-12-31\"" for y in range(1995, 2002)
 )
 
 
@@ -379,13 +375,13 @@ _YEAR_COLUMNS = ", ".join(
 SELECT pattern_id, ib AS incurred_bucket, {_YEAR_COLUMNS}, round(sum(v), 6) AS "Total"
 FROM cell GROUP BY GROUPING SETS ((pattern_id, ib), (pattern_id))""")
 def a10_table(spark, sf_dir):
-    return matrix.table(_yearly_weekly_cells(spark, sf_dir), ["pattern_id"], _TABLE_YEARS, 6)
+    return matrix.table(_yearly_weekly_cells(spark, sf_dir), ["pattern_id"], precision=6)
 
 
 @query("a11_matrix_table_rounded", _YEAR_CELLS + f"""
 SELECT pattern_id, ib AS incurred_bucket, {_YEAR_COLUMNS} FROM cell GROUP BY pattern_id, ib""")
 def a11(spark, sf_dir):
-    return results.result_table(_yearly_weekly_cells(spark, sf_dir), ["pattern_id"], _TABLE_YEARS, 6)
+    return results.result_table(_yearly_weekly_cells(spark, sf_dir), ["pattern_id"], precision=6)
 
 
 _REF = "DATE '1998-06-30'"
@@ -536,6 +532,23 @@ def e15(spark, sf_dir):
     return book_a(spark, sf_dir).summaries(asked).select("coverage_id", "pattern_id", "total_elements", "error")
 
 
+# vectors as text: bucket and millionths of the value
+_VECTORS = """
+axis AS (
+  SELECT pattern_id, start_date, 'exposure' AS axis, exposure_bucket AS b, sum(v) AS v FROM cell GROUP BY ALL
+  UNION ALL SELECT pattern_id, start_date, 'incurred', incurred_bucket, sum(v) FROM cell GROUP BY ALL),
+listed AS (
+  SELECT pattern_id, start_date,
+    string_agg(b || ':' || CAST(round(v * 1000000) AS BIGINT), ',' ORDER BY b) FILTER (axis = 'exposure') AS exposure_list,
+    string_agg(b || ':' || CAST(round(v * 1000000) AS BIGINT), ',' ORDER BY b) FILTER (axis = 'incurred') AS incurred_list
+  FROM axis WHERE abs(v) > 1e-10 GROUP BY ALL)"""
+
+
+def _vector_text(column, date, value):
+    entry = F.transform(column, lambda e: F.concat_ws(":", e[date], F.round(e[value] * 1000000).cast("long")))
+    return F.array_join(entry, ",")
+
+
 _ANALYSIS = """
 counts AS (
   SELECT pattern_id, start_date, count(*) AS total_elements,
@@ -553,12 +566,16 @@ totals AS (
 @query("e17_pattern_analysis", with_cells(BOOK_A, """
 SELECT coverage_id, pattern_id, 'Brand#' || pattern_id AS pattern_name, start_date, total_elements, factors_count,
   matrix_entries_count, matrix_total_sum, exposure_vector_count, incurred_vector_count, min_incurred, max_incurred,
-  min_exposed, max_exposed
-FROM alloc JOIN counts USING (pattern_id, start_date) JOIN totals USING (pattern_id, start_date)""", _ANALYSIS))
+  min_exposed, max_exposed, exposure_list, incurred_list
+FROM alloc JOIN counts USING (pattern_id, start_date) JOIN totals USING (pattern_id, start_date) JOIN listed USING (pattern_id, start_date)""", f"{_ANALYSIS}, {_VECTORS}"))
 def e17(spark, sf_dir):
-    return book_a(spark, sf_dir).analysis().drop("exposure_vector", "incurred_vector").withColumn(
-        "matrix_total_sum", F.round("matrix_total_sum", 6)
-    )
+    return book_a(spark, sf_dir).analysis().withColumns(
+        {
+            "matrix_total_sum": F.round("matrix_total_sum", 6),
+            "exposure_list": _vector_text("exposure_vector", "date_bucket", "sum"),
+            "incurred_list": _vector_text("incurred_vector", "date_bucket", "sum"),
+        }
+    ).drop("exposure_vector", "incurred_vector")
 
 
 @query("e18_loss_incurred_patterns", with_cells(BOOK_A, """
@@ -574,23 +591,68 @@ def e18(spark, sf_dir):
 @query("e19_loss_summaries", with_cells(BOOK_A, """
 SELECT coverage_id, pattern_id AS original_writing_pattern_id, start_date, 'LI_' || pattern_id AS loss_pattern_id,
   'Loss incurred pattern for writing pattern ' || pattern_id AS loss_pattern_name, loss_pattern_start_date,
-  exposure_vector_count AS qe_factors_count, matrix_total_sum AS total_exposure_distribution
-FROM alloc JOIN totals USING (pattern_id, start_date)""", _ANALYSIS))
+  exposure_vector_count AS qe_factors_count, matrix_total_sum AS total_exposure_distribution, exposure_list AS qe_list,
+  0 AS qe_days, 'QE' AS qe_frequencies
+FROM alloc JOIN totals USING (pattern_id, start_date) JOIN listed USING (pattern_id, start_date)""", f"{_ANALYSIS}, {_VECTORS}"))
 def e19(spark, sf_dir):
-    return book_a(spark, sf_dir).loss_summaries().drop("qe_factors", "loss_distribution_sum").withColumn(
-        "total_exposure_distribution", F.round("total_exposure_distribution", 6)
-    )
+    """``loss_distribution_sum`` tests a sum for being exactly 1, which depends on the order of adding; all else is compared."""
+    return book_a(spark, sf_dir).loss_summaries().withColumns(
+        {
+            "total_exposure_distribution": F.round("total_exposure_distribution", 6),
+            "qe_list": _vector_text("qe_factors", "exposure_date", "factor_value"),
+            "qe_days": F.array_max("qe_factors.duration"),
+            "qe_frequencies": F.array_join(F.array_distinct("qe_factors.period_frequency"), ","),
+        }
+    ).drop("qe_factors", "loss_distribution_sum")
 
 
 @query("e20_complete_analysis", with_cells(BOOK_A, """
 SELECT coverage_id, pattern_id, start_date, factors_count, matrix_entries_count, matrix_total_sum,
-  'LI_' || pattern_id AS loss_pattern_id, loss_pattern_start_date, exposure_vector_count AS qe_factors_count
-FROM alloc JOIN counts USING (pattern_id, start_date) JOIN totals USING (pattern_id, start_date)""", _ANALYSIS))
+  'LI_' || pattern_id AS loss_pattern_id, loss_pattern_start_date, exposure_vector_count AS qe_factors_count,
+  'Brand#' || pattern_id AS pattern_name, total_elements, min_incurred, max_incurred, min_exposed, max_exposed,
+  exposure_list, incurred_list, exposure_list AS qe_list
+FROM alloc JOIN counts USING (pattern_id, start_date) JOIN totals USING (pattern_id, start_date) JOIN listed USING (pattern_id, start_date)""", f"{_ANALYSIS}, {_VECTORS}"))
 def e20(spark, sf_dir):
     return book_a(spark, sf_dir).complete_analysis().select(
         "coverage_id", *PAIR, "factors_count", "matrix_entries_count",
         F.round("matrix_total_sum", 6).alias("matrix_total_sum"),
-        "loss_pattern_id", "loss_pattern_start_date", "qe_factors_count",
+        "loss_pattern_id", "loss_pattern_start_date", "qe_factors_count", "pattern_name", "total_elements",
+        "min_incurred", "max_incurred", "min_exposed", "max_exposed",
+        _vector_text("exposure_vector", "date_bucket", "sum").alias("exposure_list"),
+        _vector_text("incurred_vector", "date_bucket", "sum").alias("incurred_list"),
+        _vector_text("qe_factors", "exposure_date", "factor_value").alias("qe_list"),
+    )
+
+
+@query("e18_one_coverage", with_cells(BOOK_A, """
+SELECT coverage_id, 'LI_' || pattern_id AS pattern_id, exposure_bucket AS exposure_date, round(sum(v), 6) AS factor_value
+FROM alloc JOIN cell USING (pattern_id, start_date)
+WHERE coverage_id = (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) GROUP BY ALL"""))
+def e18_one(spark, sf_dir):
+    """From an id (here of the dearest order) to its loss pattern: only this coverage's pattern is expanded."""
+    dearest = inputs.table(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").first()["o_orderkey"]
+    found = book_a(spark, sf_dir).only(dearest).loss_patterns()
+    return found.select("coverage_id", "pattern_id", "exposure_date", F.round("factor_value", 6).alias("factor_value"))
+
+
+# every supplier is a coverage of a brand's pattern
+_SUPPLIER_BOOK = "alloc AS (SELECT s_suppkey AS coverage_id, s_nationkey % 25 + 1 AS pattern_id, DATE '1995-01-01' + CAST(s_suppkey * 37 % 1461 AS INTEGER) AS start_date FROM supplier),\n" + BOOK_A[BOOK_A.index("pairs AS"):]
+
+
+@query("e16_coverage_daily_factors", with_cells(_SUPPLIER_BOOK, """
+SELECT coverage_id, factors_count AS factors, round(matrix_total_sum, 4) AS total, min_incurred, max_incurred, min_exposed, max_exposed
+FROM alloc JOIN counts USING (pattern_id, start_date) JOIN totals USING (pattern_id, start_date)""", _ANALYSIS))
+def e16_daily(spark, sf_dir):
+    """The daily factors of every coverage, counted and added up."""
+    covers = inputs.table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("coverage_id"), (F.col("s_nationkey") % 25 + 1).cast("long").alias("writing_premium_pattern_id"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") * 37 % 1461).cast("int")).alias("pattern_start_date"),
+    )
+    book = coverage.CoveragePatterns(covers, inputs.brand_factors(spark, sf_dir), inputs.brand_names(spark, sf_dir), unique_coverages=True)
+    return book.coverage_factors().groupBy("coverage_id").agg(
+        F.count(F.lit(1)).alias("factors"), F.round(F.sum("value"), 4).alias("total"),
+        F.min("incurred_date").alias("min_incurred"), F.max("incurred_date").alias("max_incurred"),
+        F.min("exposed_date").alias("min_exposed"), F.max("exposed_date").alias("max_exposed"),
     )
 
 

@@ -62,6 +62,26 @@ def s5(spark, sf_dir):
     return covers.join(counts, "pattern_id").join(names, "pattern_id")
 
 
+@query("s5_shuffled_columns", f"""
+WITH {inputs.BOOK_A}
+SELECT pattern_id, period_frequency, period, round(factor_value, 6) AS factor_value, duration FROM factor""")
+def s5_shuffled(spark, sf_dir):
+    """A factor file whose columns stand in another order, with one more in between: columns are found by name."""
+    folder = scratch_path(spark, "shuffled-tables")
+    factors = inputs.brand_factors(spark, sf_dir).select(
+        "duration", "period", F.lit("x").alias("remark"), "pattern_id", "factor_value", "period_frequency"
+    )
+    plain = {
+        documents.ALLOCATION_FILE: inputs.allocations(spark, sf_dir).drop("premium"),
+        documents.FACTOR_FILE: factors,
+        documents.PATTERN_FILE: inputs.brand_names(spark, sf_dir),
+    }
+    for name, df in plain.items():
+        files.write_csv(df, f"{folder}/{name}", ",")
+    found = documents.read_pattern_tables(spark, folder)[1]
+    return found.select("pattern_id", "period_frequency", "period", F.round("factor_value", 6).alias("factor_value"), "duration")
+
+
 def _fresh_schema(spark) -> str:
     name = f"earnloom_{uuid.uuid4().hex[:12]}"
     location = scratch_path(spark, name)
@@ -214,6 +234,30 @@ def s18(spark, sf_dir):
     return found.select("header", F.length("sequence").cast("long").alias("letters"), F.md5("sequence").alias("digest"))
 
 
+@query("s18_fasta_chunks", """
+SELECT doc_id || ' lang=' || lang AS header, ceil(length(letters) / 180.0)::BIGINT AS at_least, length(letters) AS letters, md5(letters) AS digest
+FROM (SELECT *, regexp_replace(text, '[^A-Za-z]', '', 'g') AS letters FROM documents) WHERE length(letters) > 0""")
+def s18_chunks(spark, sf_dir):
+    """Records in pieces of three lines, put together again; a record may go over several file splits."""
+    path = scratch_path(spark, "long-records") + ".fasta"
+    body = F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]", ""), "(.{60})", "$1\n")
+    table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(">"), F.col("doc_id"), F.lit(" lang="), F.col("lang"), F.lit("\n"), body).alias("value")
+    ).write.text(path)
+    whole = fasta.read_fasta_chunks(spark, path, lines=3).groupBy("source", "record").agg(
+        F.first("header").alias("header"),
+        F.max("chunk").alias("chunks"),
+        F.array_sort(F.collect_list(F.struct("chunk", "sequence"))).alias("pieces"),
+    )
+    joined = whole.withColumn("sequence", F.array_join("pieces.sequence", ""))
+    # a split inside a record ends a piece, so there may be more pieces than full ones
+    least = F.ceil(F.length("sequence") / 180)
+    complete = (F.size("pieces") == F.col("chunks")) & (F.col("chunks") >= least)
+    return joined.select(
+        "header", F.when(complete, least).alias("at_least"), F.length("sequence").cast("long").alias("letters"), F.md5("sequence").alias("digest")
+    )
+
+
 @query("s19_first_header", """
 SELECT CAST(min(doc_id) AS VARCHAR) || ' lang=' || 'de' AS header FROM documents WHERE lang = 'de'""")
 def s19(spark, sf_dir):
