@@ -11,10 +11,11 @@ keys: a pair of similarity 0.8 misses all of 32 bands of 4 rows once in 20 milli
    are confirmed on their full sets of words, and links become components (alternating star contraction on
    tables). TURNS such turns, each on the buckets that still hold several components: a group of n copies
    gives a few times n pairs.
-3. What is left in buckets of several components gives all pairs across components, not tried before,
-   whose sizes fit and whose rarest shingles meet (without which no pair is similar enough); these are
-   confirmed too. So no candidate pair between different components stays open, and pairs inside a
-   component need no trial.
+3. What is left in buckets of several components is joined within its buckets, across components. A pair is looked
+   at in the first bucket it shares, and the join itself refutes it: sizes that do not fit, rarest shingles that
+   do not meet (without which no pair is similar enough), then the sets of 64-bit hashes. So only pairs that are
+   similar by their hashes leave the join, to be confirmed on their full sets. No candidate pair between different
+   components stays open, and pairs inside a component need no trial.
 
 All steps are joins and groupings with combining before the shuffle. One row per bucket or hub is written
 to the shared folder before its members are joined to it: both sides of such a join are then plain
@@ -273,7 +274,7 @@ def _slot_counts(shingle: int):
 def _prefixes(shared, needed: int, shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare, fewer = [], []
+            rare, fewer, full = [], [], []
             for blob in batch.column("blob"):
                 hashes = shingle_hashes(zlib.decompress(blob.as_py()), shingle)
                 order = np.lexsort((hashes, shared.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
@@ -281,16 +282,18 @@ def _prefixes(shared, needed: int, shingle: int):
                 length = n - -(-needed * n // 100) + 1
                 rare.append((hashes[order[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 fewer.append(rare[-1][: n - -(-2 * needed * n // (100 + needed)) + 1])
+                full.append(hashes.view(np.int64))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(rare, kind), pa.array(fewer, kind)], ["id", "rare", "fewer"]
+                [batch.column("id"), pa.array(rare, kind), pa.array(fewer, kind), pa.array(full, pa.list_(pa.int64()))],
+                ["id", "rare", "fewer", "full"],
             )
 
     return run
 
 
 def _with_rare(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -> DataFrame:
-    """Cells with the rarest shingles of their document: sets as similar as needed share one of them.
+    """Cells with all hashes of their document and the rarest of them: sets as similar as needed share one of these.
 
     Shingles are put in one order, by frequency and hash. Of the larger set its first n - ceil(t * n) + 1
     suffice (``rare``), of the smaller its first n - ceil(2 * t / (1 + t) * n) + 1 (``fewer``). The order
@@ -302,23 +305,29 @@ def _with_rare(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -
     for row in counted.collect():
         counts[row["slot"]] = row["n"]
     shared = placed.sparkSession.sparkContext.broadcast(counts)
-    return placed.join(texts.mapInArrow(_prefixes(shared, needed, shingle), "id long, rare array<int>, fewer array<int>"), "id")
+    hashed = texts.mapInArrow(_prefixes(shared, needed, shingle), "id long, rare array<int>, fewer array<int>, full array<long>")
+    # a document is in at most one bucket per band
+    places = placed.groupBy("id").agg(F.collect_set("bucket").alias("places"))
+    return placed.join(hashed, "id").join(places, "id")
 
 
 def _pairs_across(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -> DataFrame:
-    """All pairs of cells of one bucket that are of different components and share a rare shingle."""
+    """Pairs of cells of one bucket that are of different components and similar enough by their hashes."""
     cells = pinned(_with_rare(placed, blobs, needed, shingle))
-    left = cells.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "component", "rare", "fewer")])
-    right = cells.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "component", "rare", "fewer")])
+    names = ("id", "n", "component", "rare", "fewer", "full", "places")
+    left = cells.select("bucket", *[F.col(c).alias(f"a_{c}") for c in names])
+    right = cells.select("bucket", *[F.col(c).alias(f"b_{c}") for c in names])
+    meet = F.when(F.col("a_n") <= F.col("b_n"), F.arrays_overlap("a_fewer", "b_rare")).otherwise(F.arrays_overlap("a_rare", "b_fewer"))
+    both = F.size(F.array_intersect("a_full", "b_full"))
     return (
         left.join(
             right,
             (left["bucket"] == right["bucket"])
             & (F.col("a_component") < F.col("b_component"))
             & _fits(F.col("a_n"), F.col("b_n"), needed)
-            & F.when(F.col("a_n") <= F.col("b_n"), F.arrays_overlap("a_fewer", "b_rare")).otherwise(
-                F.arrays_overlap("a_rare", "b_fewer")
-            ),
+            & (F.array_min(F.array_intersect("a_places", "b_places")) == left["bucket"])
+            & meet
+            & (100 * both >= needed * (F.col("a_n") + F.col("b_n") - both)),
         )
         .select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
         .distinct()
