@@ -80,6 +80,11 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return {"email": list(_emails(text)), "ip": ips, "card": cards, "phone": phones}
 
 
+def _number(part: str) -> bool:
+    """Only 0 to 9; other scripts and raised figures have digits too."""
+    return part.isascii() and part.isdigit()
+
+
 def _small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and (not part or int(part) <= 255)
@@ -122,8 +127,8 @@ def features(span: str, n_words: int) -> list[int]:
         True,
         "@" in span,
         span.count("@") == 1 and "." in span[span.find("@") :] and not span.startswith("@"),
-        len(parts) == 4 and all(p.isdigit() and _small(p) for p in parts),
-        len(parts) == 4 and all(p.isdigit() for p in parts),
+        len(parts) == 4 and all(_number(p) and _small(p) for p in parts),
+        len(parts) == 4 and all(_number(p) for p in parts),
         13 <= d <= 19 and not letters,
         13 <= d <= 19 and luhn(digits),
         13 <= d <= 19 and not luhn(digits),

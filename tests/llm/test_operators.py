@@ -380,3 +380,21 @@ def test_weighted_shards(spark):
     assert 2850 < counts[1] < 3150
     with pytest.raises(ValueError):
         shards.rendezvous(F.col("id"), [1.0, 0.0])
+
+
+def test_private_data_of_any_digits():
+    """Digits of other scripts and raised figures are no digits of the patterns, and no error."""
+    import random
+    import unicodedata
+
+    figures = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nd", "No", "Nl")]
+    draw = random.Random(3)
+    field = private_data.Field()
+    field.weights[:] = np.random.default_rng(1).normal(size=field.weights.shape)
+    for _ in range(1500):
+        text = "".join(draw.choice([*"0123456789.@+-() ", draw.choice(figures)]) for _ in range(draw.randint(1, 60)))
+        base, whole = private_data.spans_of(text, field)
+        for kind, spans in base.items():
+            assert set(spans) <= set(whole[kind])
+    base, _ = private_data.spans_of("see 10.0.0.4² for it, or 10.0.0.4", field)
+    assert base["ip"] == [(4, 12), (25, 33)]
