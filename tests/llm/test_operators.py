@@ -4,9 +4,11 @@ import hashlib
 import json
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter as Bag, defaultdict
 
+import numpy as np
 import pytest
 
 from earnloom.llm import contamination, hosts, licenses, mixture, near_dedup, private_data, quality_rules, ranking, shards, tokens
@@ -384,9 +386,6 @@ def test_weighted_shards(spark):
 
 def test_private_data_of_any_digits():
     """Digits of other scripts and raised figures are no digits of the patterns, and no error."""
-    import random
-    import unicodedata
-
     figures = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nd", "No", "Nl")]
     draw = random.Random(3)
     field = private_data.Field()
