@@ -102,6 +102,26 @@ def test_transpose_both_forms(spark):
     assert rows(apply(df, "transpose_columns", id_column="what", value_columns=["a", "b"], keep_sources=False)) == [(1, "a", 10), (1, "b", 20)]
 
 
+def test_counter_with_ties_nulls_and_repeated_rows(spark):
+    rows = [(k, v) for k in ("b", None, "a", "a") for v in (2, None, 2, 1)] * 30
+    df = spark.createDataFrame(rows, "key string, v int").withColumn("_row", F.lit("x")).repartition(7)
+    for names in (["key"], ["v", "key"], ["key", "v"]):
+        numbered = add_counter(df, "n", names)
+        assert numbered.columns == ["key", "v", "_row", "n"]
+        found = sorted(numbered.collect(), key=lambda r: r["n"])
+        assert [r["n"] for r in found] == list(range(1, len(rows) + 1))
+        order = [tuple((r[c] is not None, r[c] if r[c] is not None else 0) for c in names) for r in found]
+        assert order == sorted(order)
+        assert sorted((r["key"], r["v"]) for r in found if r["key"] and r["v"]) == sorted(r for r in rows if r[0] and r[1])
+    again = add_counter(df.repartition(3), "n", ["key"]).collect()
+    assert sorted(map(str, again)) == sorted(map(str, add_counter(df, "n", ["key"]).collect()))
+    assert add_counter(df.limit(0), "n", ["key"]).collect() == []
+    falling = add_counter(df, "n", [F.col("v").desc()]).orderBy("n").collect()
+    assert [r["v"] for r in falling[:2]] == [2, 2] and falling[-1]["v"] is None
+    over = add_counter(df.withColumn("n", F.lit("old")), "n", ["key"])
+    assert over.columns == ["key", "v", "_row", "n"] and dict(over.dtypes)["n"] == "bigint"
+
+
 def test_counter_numbers_every_row_once(spark):
     df = spark.range(10_000).withColumn("key", F.col("id") % 7)
     ordered = add_counter(df, "n", ["key", "id"]).collect()
