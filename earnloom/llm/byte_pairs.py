@@ -46,9 +46,9 @@ from earnloom.llm.registry import query
 from earnloom.llm.words import read, ship
 
 STATES = 150_000
-PAIRS = 400_000
+PAIRS = 150_000
 FEW = 8
-KEPT = 100_000
+KEPT = 70_000
 SHORT = 32
 LOOKAHEAD = 4096
 LONG = 1_000_000
