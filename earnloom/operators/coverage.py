@@ -12,7 +12,7 @@ from copy import copy
 from pyspark.sql import DataFrame, functions as F
 
 from .expand import daily_factors, element_schedule, financial_cells, row_factor_summary, scheduled_elements
-from .joins import HOT_ROWS, lookup_join, spread_rows
+from .joins import HOT_ROWS, counted_keys, lookup_join, spread_rows
 from .patterns import LOSS_CODE, ZERO, consolidate, nest_elements
 
 PAIR = ["pattern_id", "start_date"]
@@ -83,7 +83,8 @@ class CoveragePatterns:
     # --- per (pattern, start date) ---------------------------------------------------------------
 
     def pairs(self) -> DataFrame:
-        return self.allocations.select(*PAIR).distinct()
+        """The distinct pairs; the same count as for hot pairs, so that Spark makes it once."""
+        return counted_keys(self.allocations, PAIR).filter(F.col("_rows") > 0).select(*PAIR)
 
     def instances(self) -> DataFrame:
         """One row per pair with the pattern's elements, spread over all tasks before it expands."""

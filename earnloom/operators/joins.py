@@ -6,22 +6,25 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A key with more rows than this is split over SALTS tasks. N input rows have fewer than N / HOT_ROWS
-# such keys (200,000 at a trillion rows), which bounds the list of them that is broadcast.
+# A key with more rows than this is split into parts of about this size. N input rows have fewer than N / HOT_ROWS
+# such keys (200,000 at a trillion rows), which bounds the list of them that is broadcast, and as many parts.
 HOT_ROWS = 5_000_000
-SALTS = 64
 
 
 def hot_keys(left: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold more than hot_rows rows (partial counts before the shuffle)."""
+    """Keys that hold more than hot_rows rows, and the number of parts each is split into."""
     return (
-        left.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        counted_keys(left, keys)
         .filter(F.col("_rows") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
+        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     )
 
 
+def counted_keys(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key with its number of rows ``_rows`` (partial counts before the shuffle)."""
+    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -29,12 +32,12 @@ def lookup_join(
     how: str = "left",
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a large frame to a frame that has one row per key.
 
-    With ``spread`` (columns whose hash places a row of a hot key) only the hot keys are salted: their
-    right-hand row is repeated once per salt, every other row is joined as it is. Without ``spread``
+    With ``spread`` (columns whose hash places a row of a hot key) only the hot keys are salted, each into
+    ceil(rows / hot_rows) parts: their right-hand row is repeated once per part, every other row is joined as
+    it is. Where ``counted_keys`` of the same frame is used as well, Spark counts once. Without ``spread``
     the join is left to Spark, which broadcasts a side below its size threshold and splits skewed
     partitions at run time.
     """
@@ -42,22 +45,10 @@ def lookup_join(
     if not spread:
         return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys, hot_rows))
-    salted_left = (
-        left.join(hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-        )
-        .drop("_hot")
-    )
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))),
-        )
-        .drop("_hot")
-    )
+    part = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
+    salted_left = left.join(hot, keys, "left").withColumn("_salt", F.coalesce(part, F.lit(0))).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(parts)).drop("_parts")
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
 
 

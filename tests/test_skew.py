@@ -13,13 +13,40 @@ def skewed(spark, n=3000):
 def test_lookup_join_salts_only_hot_keys(spark):
     left = skewed(spark)
     right = spark.range(60).filter("id <> 7").select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("w"))
-    assert [r["k"] for r in hot_keys(left, ["k"], 500).collect()] == [0]
+    assert [tuple(r) for r in hot_keys(left, ["k"], 500).collect()] == [(0, 3)]
     for how in ("inner", "left"):
         plain = sorted(map(str, left.join(right, ["k"], how).select("id", "k", "v", "w").collect()))
-        salted = lookup_join(left, right, ["k"], how, spread=["id"], hot_rows=500, salts=4).select("id", "k", "v", "w")
+        salted = lookup_join(left, right, ["k"], how, spread=["id"], hot_rows=500).select("id", "k", "v", "w")
         assert sorted(map(str, salted.collect())) == plain
 
 
+def test_a_key_with_nine_tenths_of_the_rows_goes_over_many_tasks(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 40).otherwise(-1).cast("int").alias("k"))
+    right = spark.range(-1, 40).select(F.col("id").cast("int").alias("k"), (F.col("id") + 1).alias("w"))
+    joined = lookup_join(left, right.hint("shuffle_hash"), ["k"], spread=["id"], hot_rows=1_000)
+    assert joined.columns == ["k", "id", "w"] and joined.count() == 20_000
+    assert joined.filter("w <> k + 1").count() == 0
+    parts = hot_keys(left, ["k"], 1_000).collect()
+    assert [tuple(r) for r in parts] == [(-1, 18)]
+
+
+def test_coverages_of_one_pair_and_the_scans_they_take(spark):
+    from earnloom.operators.coverage import CoveragePatterns
+
+    allocations = spark.range(3_000).select(
+        F.col("id").alias("coverage_id"), F.when(F.col("id") % 10 == 0, F.lit(2)).otherwise(F.lit(1)).alias("writing_premium_pattern_id"),
+        F.lit("2023-01-01").cast("date").alias("pattern_start_date"),
+    )
+    factors = spark.createDataFrame(
+        [(1, "QS", 1, 0.2, 360), (1, "Q", 1, 0.8, 360), (2, "Q", 1, 1.0, 90)], "pattern_id int, period_frequency string, period int, factor_value double, duration int"
+    )
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "pattern_id int, pattern_name string")
+    plain, salted = (CoveragePatterns(allocations, factors, names, unique_coverages=True, hot_rows=n) for n in (10**9, 100))
+    for make in ("coverage_vector", "loss_patterns", "analysis", "complete_analysis"):
+        rows = [sorted(map(str, getattr(book, make)().collect())) for book in (plain, salted)]
+        assert rows[0] == rows[1] and rows[0]
+
+
 def test_running_sum_equals_window(spark):
     df = skewed(spark)
     window = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ Book B: every order is a pattern of its own, made of its line items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,9 @@ def brand_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("p_retailprice").alias("_price"),
         F.floor(F.sum("p_size") * 12.0 / F.count(F.lit(1))).cast("int").alias("duration"),
     )
-    totals = sums.groupBy("pattern_id").agg(F.sum("_price").alias("_all"))
-    return sums.join(totals, "pattern_id").select(
+    # a brand has some eight sums
+    whole = sums.withColumn("_all", F.sum("_price").over(Window.partitionBy("pattern_id")))
+    return whole.select(
         "pattern_id",
         "period_frequency",
         "period",
