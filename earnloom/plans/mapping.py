@@ -7,6 +7,7 @@ import logging
 import os
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +64,6 @@ class MappingRun:
         self.environment = dict(os.environ if environment is None else environment)
         self.notes: list[str] = []
         self.document = self._load(mapping)
-        for key, value in self.document.get("arch_config", {}).items():
-            spark.conf.set(key, value)
 
     def _load(self, mapping: Mapping | str) -> dict:
         if isinstance(mapping, str):
@@ -79,6 +78,19 @@ class MappingRun:
                 document.update({key: value, short: value, short.lower(): value})
         return document
 
+    @contextmanager
+    def settings(self):
+        """The document's session options (``arch_config``), as they were before afterwards."""
+        options = self.document.get("arch_config") or {}
+        before = {key: self.spark.conf.get(key, None) for key in options}
+        try:
+            for key, value in options.items():
+                self.spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+
     def note(self, text: str) -> None:
         self.notes.append(text)
         log.info(text)
@@ -142,16 +154,21 @@ class MappingRun:
         return after(df) if after else df
 
     def run(self, before=None, each=None, after=None) -> DataFrame | None:
-        """Read the source asset, transform it and overwrite the target asset, if one is named."""
+        """Read the source asset, transform it and overwrite the target asset, if one is named.
+
+        The document's session options hold until the target is written. Without a target the frame is
+        returned as a plan, which later runs under the session's own options.
+        """
         source = self.expand(self.document.get("from_asset_path"))
         if not source:
             return None
-        df = self.transform(files.read_parquet(self.spark, source), before, each, after)
-        target = self.expand(self.document.get("to_asset_path"))
-        if target:
+        with self.settings():
+            df = self.transform(files.read_parquet(self.spark, source), before, each, after)
+            target = self.expand(self.document.get("to_asset_path"))
+            if not target:
+                return df
             files.write_parquet(df, target, self.config.get("compression"))
-            return files.read_parquet(self.spark, target)
-        return df
+        return files.read_parquet(self.spark, target)
 
 
 def run_mapping(

@@ -190,9 +190,22 @@ def test_follow_up_mappings(spark, people, tmp_path):
         run_mapping(spark, "self", config, environment={})
 
 
-def test_session_settings_of_a_document(spark):
-    MappingRun(spark, {"arch_config": {"spark.sql.debug.maxToStringFields": "99"}}, environment={})
-    assert spark.conf.get("spark.sql.debug.maxToStringFields") == "99"
+def test_session_settings_hold_for_the_run_only(spark, tmp_path):
+    name, unset = "spark.sql.debug.maxToStringFields", "spark.sql.earnloom.example"
+    before = spark.conf.get(name)
+    spark.range(3).write.parquet(str(tmp_path / "in.parquet"))
+    document = {
+        "arch_config": {name: "99", unset: "1"}, "from_asset_path": str(tmp_path / "in.parquet"),
+        "to_asset_path": str(tmp_path / "out.parquet"), "transforms": [],
+    }
+    seen = []
+    made = MappingRun(spark, document, environment={}).run(after=lambda df: seen.append((spark.conf.get(name), spark.conf.get(unset))) or df)
+    assert made.count() == 3 and seen == [("99", "1")]
+    assert spark.conf.get(name) == before and spark.conf.get(unset, None) is None
+    broken = {**document, "transforms": [{"transform_type": "nothing"}]}
+    with pytest.raises(ValueError):
+        MappingRun(spark, broken, environment={}).run()
+    assert spark.conf.get(name) == before
 
 
 def test_mixed_text_and_numbers(spark, tmp_path):
