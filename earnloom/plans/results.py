@@ -49,6 +49,16 @@ def factor_listing(factors: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).orderBy(*keys, "incurred_date", "exposed_date")
 
 
+def with_spans(configs: DataFrame, linear: bool = False) -> DataFrame:
+    """``configs`` with ``min_exposed``, ``max_exposed`` and ``max_incurred`` of their significant factors, worked out in the row.
+
+    They are null for documents without a significant factor; series of periods up to them are null too.
+    """
+    rows = configs.withColumn("_schedule", scheduled_elements(F.col("start_date"), F.col("calendar")))
+    facts = row_factor_summary("_schedule", significant_only=True, linear=linear)
+    return rows.withColumns({n: facts[n] for n in ("min_exposed", "max_exposed", "max_incurred")}).drop("_schedule")
+
+
 def with_periods(
     configs: DataFrame, selector: str, keys: Sequence[str] = ("config_id",), linear: bool = False
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earnloom.functions import calendar as cal
-from earnloom.operators import buckets, expand, patterns
+from earnloom.operators import buckets, patterns
 from earnloom.plans import results
 from earnloom.session import scratch_path
 from earnloom.sources import documents
@@ -236,9 +236,7 @@ def s6(spark, sf_dir):
 WITH RECURSIVE {_sql_documents()}, {_sql_ends('exp_b', 'D', 'exp_months', 'max_exp')}
 SELECT CAST(id AS VARCHAR) AS config_id, hi AS period_end FROM exp_b_ends""")
 def c14(spark, sf_dir):
-    configs = order_configs(spark, sf_dir)
-    spans = expand.factor_summary(results.config_schedule(configs), ["config_id"], significant_only=True)
-    joined = configs.join(spans.filter(F.col("min_exposed").isNotNull()), "config_id")
+    joined = results.with_spans(order_configs(spark, sf_dir))
     quarter = cal.period_ends("start_date", cal.year_end("max_exposed"), "QUARTER")
     year = cal.period_ends("start_date", cal.year_end("max_exposed"), "YEAR")
     ends = F.when(F.col("exposed_unit") == "YEAR", year).otherwise(quarter)
@@ -249,9 +247,7 @@ def c14(spark, sf_dir):
 WITH RECURSIVE {_sql_documents()}, {_sql_ends('exp_b', 'C', 'exp_months', 'max_exp')}
 SELECT CAST(id AS VARCHAR) AS config_id, lo, hi, CASE WHEN to_end THEN hi ELSE lo END AS label FROM exp_b""")
 def c15(spark, sf_dir):
-    configs = order_configs(spark, sf_dir)
-    spans = expand.factor_summary(results.config_schedule(configs), ["config_id"], significant_only=True)
-    joined = configs.join(spans.filter(F.col("min_exposed").isNotNull()), "config_id")
+    joined = results.with_spans(order_configs(spark, sf_dir))
     ends = buckets.period_set(
         "C", F.col("start_date"), F.col("min_exposed"), F.col("max_exposed"), F.col("max_exposed"), F.col("exposed_unit")
     )
