@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import calendar as cal
+from .joins import spread_rows
 from .patterns import ZERO, whole_days
 
 
@@ -72,6 +73,48 @@ def element_schedule(
     return instances.select(*carried, F.inline(scheduled_elements(F.col(start), switch, clamp)))
 
 
+def merged_elements(
+    rows: DataFrame,
+    keys: Sequence[str] = (),
+    start: str = "element_start",
+    lengths: Sequence[str] = ("element_days", "up_days", "dist_days"),
+    significant_only: bool = False,
+) -> DataFrame:
+    """Elements of the same keys, start and lengths as one: their shares add up, ``merged`` is their number.
+
+    ``rows`` is a schedule, or element rows before it (``start`` and ``lengths`` name what settles the days).
+    Daily factors are proportional to the shares, so their sums per day stay as they are; counts of factors
+    are sums of ``merged``. Without keys there are at most as many rows as there are days and lengths.
+    With ``significant_only`` (schedules) shares whose daily weight is about zero are left out element by
+    element, and ``edges_shown`` tells whether half a daily weight still counts (see ``daily_factors``).
+
+    The rows come spread for expansion. With keys they lie by key and quarter of the start: what a task expands
+    meets in few sums there, and a key with most rows goes over as many parts as it has quarters.
+    """
+    keys, shape = list(keys), [start, *lengths]
+    if significant_only:
+        rate = F.abs(F.col("distribution") / F.col("dist_days") / F.col("element_days"))
+        runs = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
+        up_shown = (F.col("up_days") > 0) & (F.abs(F.col("up_front") / F.col("up_days")) > ZERO)
+        rows = rows.withColumns(
+            {
+                "up_days": F.when(up_shown, F.col("up_days")).otherwise(0),
+                "dist_days": F.when(runs & (rate > ZERO), F.col("dist_days")).otherwise(0),
+                "edges_shown": F.coalesce(runs & (rate / 2 > ZERO), F.lit(False)),
+            }
+        )
+        shape.append("edges_shown")
+    if keys:
+        rows = spread_rows(rows.select("*", F.trunc(start, "QUARTER").alias("_quarter")), [*keys, "_quarter"])
+        shape.append("_quarter")
+    merged = rows.groupBy(*keys, *shape).agg(
+        F.sum("up_front").alias("up_front"),
+        F.sum("distribution").alias("distribution"),
+        F.count(F.lit(1)).alias("merged"),
+    )
+    return merged.drop("_quarter") if keys else spread_rows(merged, shape)
+
+
 # --- daily factors -------------------------------------------------------------------------------
 
 
@@ -95,9 +138,13 @@ def daily_factors(
     run-out rates (these rows do not add up to the share in general).
 
     This multiplies each element by up to element_days x dist_days rows, without a shuffle. For sums by
-    bucket use ``bucket_cells``, which gives the same sums from a few rows per element.
+    bucket use ``bucket_cells``, which gives the same sums from a few rows per element. Where the rows are
+    only added up, pass ``merged_elements``; their column ``merged`` can be one of the keys.
     """
     keys = list(keys)
+    merged = significant_only and "edges_shown" in schedule.columns
+    if merged and linear:
+        raise ValueError("the weights of linear factors differ by day: merge them without significant_only")
     up = (
         schedule.filter(F.col("up_days") > 0)
         .select(
@@ -144,14 +191,19 @@ def daily_factors(
             else F.lit("DIST")
         )
         dist = (
-            spread.select(*keys, "dist_days", "element_start", rate.alias("_rate"), _days(ne).alias("_day"))
+            spread.select(
+                *keys, "dist_days", "element_start", rate.alias("_rate"), _days(ne).alias("_day"),
+                *(["edges_shown"] if merged else []),
+            )
             .select(
                 *keys,
                 "dist_days",
                 "_rate",
                 F.date_add("element_start", F.col("_day")).alias("incurred_date"),
                 F.explode(F.sequence(F.lit(0), n)).alias("_i"),
+                *(["edges_shown"] if merged else []),
             )
+            .filter(F.col("edges_shown") | ~edge if merged else F.lit(True))
             .select(
                 *keys,
                 "incurred_date",
@@ -161,7 +213,7 @@ def daily_factors(
             )
         )
     rows = up.unionByName(dist)
-    return rows.filter(F.abs("value") > ZERO) if significant_only else rows
+    return rows.filter(F.abs("value") > ZERO) if significant_only and not merged else rows
 
 
 def _factor_facts(e, significant_only: bool, linear: bool) -> dict[str, Column]:

@@ -195,10 +195,10 @@ def apply_ultimates(df: DataFrame, ultimates, value: str = "value") -> DataFrame
 def normalise(df: DataFrame, keys: Sequence[str], position: str, value: str = "value") -> DataFrame:
     """Divide by the key's total; a total of about zero is an error.
 
-    ``position`` is a date or integer column; the total comes back to the rows per (key, position), so
-    the factors of one pattern are not gathered in one task.
+    ``position`` is a date or integer column; the total comes back to the rows per (key, block of positions),
+    so no task has to hold all factors of a pattern.
     """
-    summed = with_key_totals(df, keys, position, {"_total": (F.sum, F.col(value))}, block=1)
+    summed = with_key_totals(df, keys, position, {"_total": (F.sum, F.col(value))})
     safe = F.when(
         F.abs(F.col("_total")) < ZERO, F.raise_error(F.lit("the factors of a pattern add up to zero")).cast("double")
     ).otherwise(F.col("_total"))

@@ -216,6 +216,43 @@ def test_quarter_cells_equal_daily_sums(spark, clamp):
         assert found.get(key, {}) == pytest.approx(expected, abs=1e-9)
 
 
+def test_merged_elements_give_the_same_daily_sums(spark):
+    """Equal elements are expanded once; weights of about zero are judged before their shares add up."""
+    row = lambda k, day, share, days: (k, day, 1, "WEEK", share, 7, 0.25, days)
+    rows = [row("a", D(2024, 1, 30), x, n) for x in (0.2, 0.5, 1e-10) for n in (9, 30)]
+    rows += [row("b", None, 0.1, 5), row(None, D(2024, 3, 1), None, 5), row("b", D(2024, 1, 30), 0.25, 9)]
+    # 21 x 7 daily weights of 0.9e-10, 1.5e-10 (its edges do not count) and 4e-10
+    rows += [("z", START, 1, "WEEK", 0.0, 7, x * 21 * 7, 21) for x in (9e-11, 9e-11, 1.5e-10, 4e-10)]
+    names = ["ord", "unit", "up_front", "up_front_days", "distribution", "distribution_days"]
+    lines = spark.createDataFrame(
+        rows, "k string, start_date date, ord int, unit string, up_front double, up_front_days int, distribution double, distribution_days int"
+    )
+    packed = lambda df: df.select("*", F.array(F.struct(*names)).alias("elements"))
+    plain = expand.element_schedule(packed(lines), ["k"])
+
+    def summed(daily, by, count):
+        sums = daily.groupBy(*by, "incurred_date", "exposed_date", "factor_type").agg(count.alias("n"), F.sum("value").alias("v"))
+        found = {tuple(r)[:-2]: tuple(r)[-2:] for r in sums.collect()}
+        return {k: (n, None if v is None else pytest.approx(v, rel=1e-9)) for k, (n, v) in found.items()}
+
+    one = F.count(F.lit(1))
+    for by in ([], ["k"]):
+        early = expand.merged_elements(lines, by, "start_date", ["ord", "unit", "up_front_days", "distribution_days"])
+        once = expand.element_schedule(packed(early), [*by, "merged"])
+        late = expand.merged_elements(plain, by)
+        assert once.count() == late.count() < plain.count()
+        for linear in (False, True):
+            want = summed(expand.daily_factors(plain, by, linear=linear), by, one)
+            for merged in (once, late):
+                assert summed(expand.daily_factors(merged, [*by, "merged"], linear=linear), by, F.sum("merged")) == want
+        shown = expand.merged_elements(plain, by, significant_only=True)
+        want = summed(expand.daily_factors(plain, by, significant_only=True), by, one)
+        got = expand.daily_factors(shown, [*by, "merged"], significant_only=True)
+        assert summed(got, by, F.sum("merged")).keys() == want.keys()
+    with pytest.raises(ValueError):
+        expand.daily_factors(shown, by, linear=True, significant_only=True)
+
+
 def test_daily_factors_equal_loops(spark):
     cases = random_patterns(11, 6)
     schedule = expand.element_schedule(instance_frame(spark, cases), ["k"], calendar=False)
