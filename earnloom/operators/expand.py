@@ -93,14 +93,14 @@ def merged_elements(
     """
     keys, shape = list(keys), [start, *lengths]
     if significant_only:
-        rate = F.abs(F.col("distribution") / F.col("dist_days") / F.col("element_days"))
         runs = (F.col("dist_days") > 0) & (F.col("element_days") > 0)
-        up_shown = (F.col("up_days") > 0) & (F.abs(F.col("up_front") / F.col("up_days")) > ZERO)
+        rate = F.when(runs, F.abs(F.col("distribution") / F.col("dist_days") / F.col("element_days")))
+        up_rate = F.when(F.col("up_days") > 0, F.abs(F.col("up_front") / F.col("up_days")))
         rows = rows.withColumns(
             {
-                "up_days": F.when(up_shown, F.col("up_days")).otherwise(0),
-                "dist_days": F.when(runs & (rate > ZERO), F.col("dist_days")).otherwise(0),
-                "edges_shown": F.coalesce(runs & (rate / 2 > ZERO), F.lit(False)),
+                "up_days": F.when(up_rate > ZERO, F.col("up_days")).otherwise(0),
+                "dist_days": F.when(rate > ZERO, F.col("dist_days")).otherwise(0),
+                "edges_shown": F.coalesce(rate / 2 > ZERO, F.lit(False)),
             }
         )
         shape.append("edges_shown")

@@ -220,7 +220,8 @@ def test_merged_elements_give_the_same_daily_sums(spark):
     """Equal elements are expanded once; weights of about zero are judged before their shares add up."""
     row = lambda k, day, share, days: (k, day, 1, "WEEK", share, 7, 0.25, days)
     rows = [row("a", D(2024, 1, 30), x, n) for x in (0.2, 0.5, 1e-10) for n in (9, 30)]
-    rows += [row("b", None, 0.1, 5), row(None, D(2024, 3, 1), None, 5), row("b", D(2024, 1, 30), 0.25, 9)]
+    rows += [row("b", None, 0.1, 5), row(None, D(2024, 3, 1), None, 5), row("b", D(2024, 1, 30), 0.25, 9), row("b", START, 0.5, 0)]
+    rows += [("z", START, 1, "WEEK", 0.5, 0, 0.5, None)]
     # 21 x 7 daily weights of 0.9e-10, 1.5e-10 (its edges do not count) and 4e-10
     rows += [("z", START, 1, "WEEK", 0.0, 7, x * 21 * 7, 21) for x in (9e-11, 9e-11, 1.5e-10, 4e-10)]
     names = ["ord", "unit", "up_front", "up_front_days", "distribution", "distribution_days"]
