@@ -6,7 +6,8 @@ ultimate_value, shape``.
 
 A pattern of n elements has n elements times n blocks, so patterns are short and many. Everything that looks at a
 whole pattern (counts, levels, cut points, running sums) is a window over it: the first one shuffles by
-pattern, and all later windows and groupings of the pattern find their rows in place.
+pattern, and all later windows and groupings of the pattern find their rows in place. So the elements should
+come dealt out for what they become (``joins.spread_rows`` with their number): a task holds the blocks of its patterns.
 """
 
 from __future__ import annotations

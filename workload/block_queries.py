@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from earnloom.operators import blocks as bl, curves, rules, shapes
-from earnloom.operators.joins import running_sum
+from earnloom.operators.joins import running_sum, spread_rows
 from earnloom.session import scratch_path
 from earnloom.sources import documents
 
@@ -18,7 +18,10 @@ ULTIMATE = 1000.0
 def elements(spark, sf_dir):
     """Every order as a pattern, every line number as an element numbered from 0."""
     price = F.col("l_extendedprice") / 700001
-    lines = inputs.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pattern"), "l_linenumber").agg(
+    # an element becomes some five blocks: they are made and grouped where the lines of the pattern are dealt to
+    table = inputs.table(spark, sf_dir, "lineitem")
+    dealt = spread_rows(table.select("*", F.col("l_orderkey").alias("pattern")), ["pattern"], rows=table.count())
+    lines = dealt.groupBy("pattern", "l_linenumber").agg(
         F.sum(F.when(F.col("l_returnflag") != "R", price).otherwise(0.0)).alias("distribution"),
         F.sum(F.when(F.col("l_returnflag") == "R", price).otherwise(0.0)).alias("start_distribution"),
         F.max(F.when(F.col("l_quantity") > 48, 180).otherwise(360)).alias("duration"),
