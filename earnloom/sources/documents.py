@@ -90,8 +90,8 @@ def read_scenarios(spark: SparkSession, path: str, multi_line: bool = True) -> D
     )
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def write_patterns(elements: DataFrame, path: str, duration: int = 360) -> None:
@@ -140,8 +140,13 @@ _BLOCK_NAMES = {
 }
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    write_json(blocks.select(*[F.col(ours).alias(theirs) for ours, theirs in _BLOCK_NAMES.items()]), path)
+def write_blocks(blocks: DataFrame, path: str, compression: str | None = "gzip") -> None:
+    """One JSON line per block. A pattern of n elements has n x n of them, so they are compressed.
+
+    A compressed file is read by one task; there are as many files as the frame has partitions.
+    """
+    rows = blocks.select(*[F.col(ours).alias(theirs) for ours, theirs in _BLOCK_NAMES.items()])
+    write_json(rows, path, compression)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

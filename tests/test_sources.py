@@ -249,3 +249,15 @@ def test_catalogue_tables_and_queries(spark, tmp_path):
 def test_script(spark):
     ran = tables.run_script(spark, "CREATE OR REPLACE TEMPORARY VIEW one AS SELECT 1 AS a;\nCREATE OR REPLACE TEMPORARY VIEW two AS\n SELECT a + 1 AS b FROM one;\n")
     assert ran == 2 and spark.table("two").first()["b"] == 2
+
+
+def test_block_documents_are_compressed(spark, tmp_path):
+    blocks = spark.range(2_000).select(
+        F.lit("p").alias("pattern"), F.col("id").cast("int").alias("element_number"), F.lit(0).alias("written_element"),
+        *[F.lit(0.5).alias(c) for c in ("start_point", "end_point", "proportion", "ultimate_value")], F.lit("FIRST").alias("shape"),
+    )
+    documents.write_blocks(blocks, str(tmp_path / "packed"))
+    documents.write_blocks(blocks, str(tmp_path / "plain"), compression=None)
+    packed, plain = (sum(f.stat().st_size for f in (tmp_path / p).glob("part-*")) for p in ("packed", "plain"))
+    assert 10 * packed < plain
+    assert documents.read_blocks(spark, str(tmp_path / "packed")).exceptAll(blocks).count() == 0
