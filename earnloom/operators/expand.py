@@ -403,16 +403,69 @@ def bucket_cells(
     return sum_cells(cells, keys)
 
 
+# Days up to which sums of 1/j come from a table; the longest unit has 366.
+_HARMONIC_DAYS = 400
+
+
+def _harmonic(m: Column, table: Column) -> Column:
+    """1 + 1/2 + .. + 1/m; 0 for m <= 0. Beyond the table by its expansion, whose error is below 1e-12 there."""
+    x = m.cast("double")
+    far = F.log(x) + 0.5772156649015329 + 0.5 / x - 1.0 / (12.0 * x * x)
+    return F.when(m <= _HARMONIC_DAYS, F.get(table, F.greatest(m, F.lit(0)))).otherwise(far)
+
+
+def _with_linear_value(rows: DataFrame, into: str) -> DataFrame:
+    """Add the sum of a linear element's factors over all its days in one exposure bucket.
+
+    With j days of the element left, days 0 .. j-1 run in and days j+s .. n-1 run out, s = max(n - ne + 1, 0), at
+    distribution / n / 2 / j; those between have the even rate. ``_c.._d`` are the bucket's days, cut to 0 .. n-1:
+    c .. e-1. The run-in days inside are j - c from c to e and all of them from there on, the run-out days all up to
+    j = c - s and e - s - j from there to e - s; so the sums over j = 1 .. ne need sums of 1/j and of j only.
+    The steps are columns of their own: as one expression they are too long to be compiled well.
+    """
+    sums = [0.0]
+    for j in range(1, _HARMONIC_DAYS + 1):
+        sums.append(sums[-1] + 1.0 / j)
+    table = F.expr("array(" + ", ".join(f"{x!r}D" for x in sums) + ")")
+    n, ne, c, e, s = (F.col(x) for x in ("dist_days", "element_days", "_c", "_e", "_s"))
+    cut, bent, flat, last = (F.col(x) for x in ("_cut", "_bent", "_flat", "_last"))  # the j where slopes begin and end
+
+    def within(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(0)), ne)
+
+    def whole(x: Column) -> Column:  # 1 + .. + x
+        return x.cast("double") * (x + 1) / 2
+
+    placed = rows.withColumns({"_e": F.least(F.col("_d"), n - 1) + 1, "_s": F.greatest(n - ne + 1, F.lit(0))})
+    bounds = placed.withColumns({"_cut": within(c), "_flat": within(c - s), "_last": within(e - s), "_days": e - c}).withColumn(
+        "_bent", F.greatest(F.least(e, ne), cut)
+    ).withColumn("_last", F.greatest(last, flat))
+    days = F.col("_days")
+    harmonic = bounds.withColumns({f"_h{x}": _harmonic(F.col(x), table) for x in ("_cut", "_bent", "_flat", "_last")} | {"_hend": _harmonic(ne, table)})
+    summed = harmonic.withColumns(
+        {
+            "_run": (bent - cut) - c * (F.col("_h_bent") - F.col("_h_cut")) + days * (F.col("_hend") - F.col("_h_bent"))
+            + days * F.col("_h_flat") + (e - s) * (F.col("_h_last") - F.col("_h_flat")) - (last - flat),
+            "_running": whole(bent) - whole(cut) - c * (bent - cut) + days * (ne - bent)
+            + days * flat + (e - s) * (last - flat) - (whole(last) - whole(flat)),
+        }
+    )
+    each = F.col("distribution") / n
+    value = each / ne * (days * ne - F.col("_running")) + each / 2 * F.col("_run")
+    return summed.withColumn(into, F.when((n > 0) & (ne > 0) & (days > 0), value).otherwise(0.0))
+
+
 def linear_bucket_cells(
     schedule: DataFrame,
     keys: Sequence[str],
     incurred: str = "incurred_buckets",
     exposure: str = "exposure_buckets",
 ) -> DataFrame:
-    """``bucket_cells`` for linear mode: one row per element day and touched exposure bucket.
+    """``bucket_cells`` for linear mode: one row per element and touched exposure bucket.
 
     For one element day the run-in, even and run-out stretches are three adjacent ranges of exposure
-    days, so a bucket's share is a count of days per range times its rate.
+    days, so a bucket's share is a count of days per range times its rate; over the element's days these add up
+    in closed form.
     """
     keys = list(keys)
     start = F.col("element_start")
@@ -428,37 +481,22 @@ def linear_bucket_cells(
     touched = F.filter(exposure, lambda b: (b["hi"] >= start) & (b["lo"] <= last))
     paired = base.select(
         *keys,
-        "element_days", "up_front", "up_days", "distribution", "dist_days", "_inc",
+        "element_days", "up_front", "up_days", "distribution", "dist_days",
+        F.col("_inc.label").alias("incurred_bucket"),
         F.explode(touched).alias("_exp"),
         start.alias("element_start"),
     ).select(
-        "*",
+        *keys, "element_days", "up_front", "up_days", "distribution", "dist_days", "incurred_bucket",
+        F.col("_exp.label").alias("exposure_bucket"),
         F.greatest(F.datediff(F.col("_exp.lo"), start), F.lit(0)).alias("_c"),
         F.datediff(F.col("_exp.hi"), start).alias("_d"),
     )
-    labels = [F.col("_inc.label").alias("incurred_bucket"), F.col("_exp.label").alias("exposure_bucket")]
-    nu, n, ne = F.col("up_days"), F.col("dist_days"), F.col("element_days")
-
-    def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.least(hi, F.col("_d")) - F.greatest(lo, F.col("_c")) + 1, F.lit(0))
-
-    up = paired.filter(nu > 0).select(
-        *keys, *labels, (F.col("up_front") / nu * overlap(F.lit(0), nu - 1)).alias("value")
-    )
-    left = ne - F.col("_day")
-    even_from, out_from = left, F.greatest(n - F.col("_day") + 1, left)
-    run = F.col("distribution") / n / 2 / left
-    rate = F.col("distribution") / n / ne
-    dist = paired.filter(runs).select("*", _days(ne).alias("_day")).select(
-        *keys,
-        *labels,
-        (
-            run * overlap(F.lit(0), F.least(left, n) - 1)
-            + rate * overlap(even_from, F.least(out_from, n) - 1)
-            + run * overlap(out_from, n - 1)
-        ).alias("value"),
-    )
-    return sum_cells(up.unionByName(dist), keys)
+    nu = F.col("up_days")
+    up_days = F.greatest(F.least(nu - 1, F.col("_d")) - F.col("_c") + 1, F.lit(0))
+    up = F.when(nu > 0, F.col("up_front") / nu * up_days).otherwise(0.0)
+    value = F.coalesce(up, F.lit(0.0)) + F.coalesce("_linear", F.lit(0.0))  # a share may be null
+    cells = _with_linear_value(paired, "_linear").select(*keys, "incurred_bucket", "exposure_bucket", value.alias("value"))
+    return sum_cells(cells, keys)
 
 
 def sum_cells(cells: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

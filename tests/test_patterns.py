@@ -491,3 +491,34 @@ def test_bucket_assignment(spark):
     assert by_end == {1: bounds[0], 10: bounds[0], 11: bounds[1], 20: bounds[1], 21: None}
     by_start = {r["day"].day: r["bucket"] for r in buckets.assign_bucket(days, "day", bounds, to_end=False).collect()}
     assert by_start == {1: None, 10: bounds[0], 11: bounds[0], 20: bounds[1], 21: bounds[1]}
+
+
+def test_linear_cells_add_up_the_days_in_closed_form(spark):
+    """Any lengths against loops over the days, null shares included, and no row per element day."""
+    draw = random.Random(5)
+    bounds = [(D(2020, 1, 1), D(2020, 1, 9)), (D(2020, 1, 10), D(2020, 6, 30)), (D(2020, 7, 1), D(2023, 12, 31))]
+    rows = []
+    for k in range(200):
+        ne, n, nu = draw.choice([1, 7, 31, 366, 450]), draw.choice([0, 1, 5, 90, 500]), draw.choice([0, 3, 40])
+        up, dist = (None if draw.random() < 0.1 else draw.random() for _ in range(2))
+        rows.append((k, D(2020, 1, 1) + dt.timedelta(draw.randrange(30)), ne, up, nu, dist, n))
+    schema = "k int, element_start date, element_days int, up_front double, up_days int, distribution double, dist_days int"
+    bucket = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(hi).alias("label")) for lo, hi in bounds])
+    frame = spark.createDataFrame(rows, schema).withColumns({"incurred_buckets": bucket, "exposure_buckets": bucket})
+    cells = expand.linear_bucket_cells(frame, ["k"])
+    got = {(r["k"], r["incurred_bucket"], r["exposure_bucket"]): r["value"] for r in cells.collect()}
+    want = {}
+    for k, start, ne, up, nu, dist, n in rows:
+        home = next(hi for lo, hi in bounds if lo <= start <= hi)
+        shares = [(i, up / nu) for i in range(nu if up is not None else 0)]
+        for day in range(ne if dist is not None and n else 0):
+            left = ne - day
+            shares += [(i, dist / n / 2 / left if i < left or i > n - day else dist / n / ne) for i in range(n)]
+        for i, v in shares:
+            at = start + dt.timedelta(i)
+            end = next(hi for lo, hi in bounds if lo <= at <= hi)
+            want[k, home, end] = want.get((k, home, end), 0.0) + v
+    assert got.keys() == {key for key, v in want.items() if abs(v) > 1e-10}
+    assert all(abs(got[key] - want[key]) < 1e-11 for key in got)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from earnloom.functions import calendar as cal
 from earnloom.operators import buckets, patterns
+from earnloom.operators.joins import spread_rows
 from earnloom.plans import results
 from earnloom.session import scratch_path
 from earnloom.sources import documents
@@ -22,7 +23,9 @@ def order_documents(spark, sf_dir, weekly: bool = False):
     in linear mode.
     """
     # repeated line numbers are merged first, so a document has one element per line number
-    lines = inputs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+    table = inputs.table(spark, sf_dir, "lineitem")
+    dealt = spread_rows(table, ["l_orderkey"], rows=table.count())
+    lines = dealt.groupBy("l_orderkey", "l_linenumber").agg(
         F.max("l_linestatus").alias("status"),
         (F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_tax")).otherwise(0.0)) / 1.0007).alias("initial"),
         (F.sum(F.abs("l_discount")) / 1.0007).alias("distribution"),
