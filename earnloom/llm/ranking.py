@@ -1,14 +1,16 @@
 """Operator 3: document quality by Bradley-Terry ranking.
 
 Labelled documents give preference pairs (a document of label 1 over one of label 0). Each document has a
-vector of measures of its whole text, cut into quantile bins; the score w . x is learned by logistic loss
+vector of measures of its whole text, cut into bins of about equal counts; the score w . x is learned by logistic loss
 on the differences of a pair's vectors (Newton steps with a small ridge). The threshold is the quantile of
 the training scores at the share of label 0; the score shown is a logistic of the distance to it, so that
 the threshold lies at CUT.
 
-The model is fitted on at most TRAIN_ROWS labelled rows (those of the smallest hashes) with PAIRS partners
-each; only their measures, not their texts, reach the driver. Every document is then scored where it is
-read, without a shuffle.
+All labelled rows teach. Every text is measured once, and the measures (not the texts) are pinned. Cuts and the threshold
+come from counts of all rows in fine cells of a fixed scale. For the weights the rows are dealt into parts of
+about PART rows; in its part each row of the more frequent label meets PAIRS of the other one (a rare label
+goes to several parts, so that each has FEW of it if there are as many). A step adds up slope and curvature of all pairs
+on the tasks; only their sums reach the driver, a table of the model's size.
 
 Null and empty texts are scored by their (zero) measures. Labels that are null, or of unknown documents,
 teach nothing; with labels of one kind only every score is 1 or 0. Repeated rows get equal scores.
@@ -23,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from earnloom.llm.registry import query
 from earnloom.llm.words import read
+from earnloom.session import pinned
 
-TRAIN_ROWS, PAIRS = 6_000, 8
+PAIRS, PART, FEW, CHUNK = 8, 100_000, 1_000, 8_192
 BINS, RIDGE, STEPS = 10, 1.0, 25
+FINE, GRID = 2_000, 4_096
 CUT = 0.3
 FOLDS = 5
 _LINE = re.compile(r"[^\n]+")
@@ -84,43 +88,18 @@ def _measured(texts: pd.Series) -> pd.Series:
 class Ranking:
     """Bins per measure, a weight per bin, and the threshold of the raw score."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray):
-        cuts = np.linspace(0, 1, BINS + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(column, cuts)) if len(column) else np.empty(0) for column in rows.T]
-        self.offsets = np.cumsum([0] + [len(e) + 1 for e in self.edges])
-        good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
+    def __init__(self, edges: list[np.ndarray]):
+        self.edges = edges
+        self.offsets = np.cumsum([0] + [len(e) + 1 for e in edges])
         self.weights = np.zeros(self.offsets[-1])
-        if len(good) and len(bad):
-            self._fit(self._expanded(rows), good, bad)
-        scores = self.raw(rows)
-        self.threshold = float(np.quantile(scores, len(bad) / max(1, len(labels)))) if len(labels) else 0.0
-        self.only = None if len(good) and len(bad) else int(len(good) > 0)
+        self.threshold = 0.0
+        self.only: int | None = None
 
-    def _places(self, rows: np.ndarray) -> np.ndarray:
+    def places(self, rows: np.ndarray) -> np.ndarray:
         return np.stack([self.offsets[k] + np.searchsorted(e, rows[:, k], side="right") for k, e in enumerate(self.edges)], axis=1)
 
-    def _expanded(self, rows: np.ndarray) -> np.ndarray:
-        wide = np.zeros((len(rows), self.offsets[-1]), np.float32)
-        np.put_along_axis(wide, self._places(rows), 1.0, axis=1)
-        return wide
-
-    def _fit(self, wide: np.ndarray, good: np.ndarray, bad: np.ndarray) -> None:
-        draw = np.random.default_rng(1)
-        pairs = max(len(good), len(bad)) * PAIRS
-        first = np.resize(draw.permutation(good), pairs)
-        second = draw.choice(bad, pairs)
-        left = wide[first] - wide[second]
-        for _ in range(STEPS):
-            chance = 1 / (1 + np.exp(-np.clip(left @ self.weights, -30, 30)))
-            slope = left.T @ (1 - chance) - RIDGE * self.weights
-            curve = (left * (chance * (1 - chance))[:, None].astype(np.float32)).T @ left
-            step = np.linalg.solve(curve.astype(float) + RIDGE * np.eye(len(self.weights)), slope)
-            self.weights = self.weights + step
-            if np.abs(step).max() < 1e-4:
-                break
-
     def raw(self, rows: np.ndarray) -> np.ndarray:
-        return self.weights[self._places(rows)].sum(axis=1)
+        return self.weights[self.places(rows)].sum(axis=1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if self.only is not None:
@@ -133,22 +112,97 @@ def fold(key: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ranking:
-    """A ranking learned from ``labels`` (doc_id, quality) of the folds other than 0."""
+def _matrix(rows) -> np.ndarray:
+    return np.array(list(rows), float).reshape(len(rows), N_MEASURES)
+
+
+def _cells_at(cells: DataFrame, shares: list[float]) -> dict[tuple[int, float], int]:
+    """The cell (k, cell) up to which a share of the rows of k lies; there are as many cells as the scale has."""
+    counted = cells.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy("k")
+    upto = whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(whole)})
+    found = placed.groupBy("k").agg(
+        *[F.min(F.when(F.col("_upto") >= F.lit(share) * F.col("_all"), F.col("cell"))).alias(f"s{i}") for i, share in enumerate(shares)]
+    )
+    return {(r["k"], share): r[f"s{i}"] for r in found.collect() for i, share in enumerate(shares)}
+
+
+def _steps(model: Ranking):
+    """Sums over the pairs of a part: the slope and the curvature of the logistic loss at the model's weights."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "quality"], kind="stable")
+        places, labels = model.places(_matrix(rows["x"])), rows["quality"].to_numpy()
+        good, bad = places[labels == 1], places[labels == 0]
+        draw, size = np.random.default_rng(1), len(model.weights)
+        slope, curve = np.zeros(size), np.zeros((size, size))
+        more = max(len(good), len(bad)) * PAIRS if len(good) and len(bad) else 0
+        first = second = np.empty(0, int)
+        if more:  # rows of the more frequent label in turn, those of the other one drawn
+            turn, drawn = np.resize(draw.permutation(more // PAIRS), more), draw.integers(0, min(len(good), len(bad)), more)
+            first, second = (turn, drawn) if len(good) >= len(bad) else (drawn, turn)
+        for at in range(0, more, CHUNK):
+            left = np.zeros((len(first[at : at + CHUNK]), size), np.float32)
+            lines = np.arange(len(left))[:, None]
+            left[lines, good[first[at : at + CHUNK]]] = 1.0  # a row has one place per measure
+            left[lines, bad[second[at : at + CHUNK]]] -= 1.0
+            chance = 1 / (1 + np.exp(-np.clip(left @ model.weights, -30, 30)))
+            slope += left.T @ (1 - chance)
+            curve += (left * (chance * (1 - chance))[:, None].astype(np.float32)).T @ left
+        return pd.DataFrame({"at": np.arange(size * (size + 1)), "v": np.concatenate([slope, curve.ravel()])})
+
+    return run
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``x``, the measures of their texts."""
+    return docs.withColumn("x", _measured(F.col(text)))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """A ranking learned from all ``labels`` (doc_id, quality) of the folds other than 0; ``docs`` with ``x`` are not measured again."""
     known = labels.select("doc_id", "quality").filter(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)
     )
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)  # a bounded sample, broadcast
-    learned = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "quality", _measured("text").alias("x"))
-        .orderBy("doc_id", "quality")
-        .limit(2 * rows)
-        .collect()
-    )
-    x = np.array([r["x"] for r in learned], float).reshape(len(learned), N_MEASURES)
-    return Ranking(x, np.array([r["quality"] for r in learned], int))
+    rows = (docs if "x" in docs.columns else measured(docs)).select("doc_id", "x")
+    train = pinned(rows.join(known, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "x"))
+    counts = {r["quality"]: r["n"] for r in train.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    good, bad = counts.get(1, 0), counts.get(0, 0)
+    cuts = [float(c) for c in np.linspace(0, 1, BINS + 1)[1:-1]]
+    each = train.select(F.posexplode("x").alias("k", "v"))
+    found = _cells_at(each.select("k", F.floor(F.log1p(F.col("v") * 1000) * FINE).alias("cell")), cuts)
+    edges = [
+        np.unique([np.expm1((found[k, c] + 1) / FINE) / 1000 for c in cuts]) if good + bad else np.empty(0) for k in range(N_MEASURES)
+    ]
+    model = Ranking(edges)
+    if not good or not bad:
+        model.only = int(good > 0)
+        return model
+    parts = -(-(good + bad) // PART)
+    copies = min(parts, max(1, -(-parts * FEW // min(good, bad))))
+    rare = F.col("quality") == (1 if good < bad else 0)
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    several = F.sequence(F.lit(0), F.when(rare, copies - 1).otherwise(0))
+    dealt = pinned(train.select("*", F.explode(F.transform(several, lambda i: F.pmod(number + i, F.lit(parts)))).alias("part")))
+    size = len(model.weights)
+    for _ in range(STEPS):
+        sums = dealt.groupBy("part").applyInPandas(_steps(model), "at long, v double").groupBy("at").agg(F.sum("v").alias("v"))
+        values = np.zeros(size * (size + 1))
+        for row in sums.collect():
+            values[row["at"]] = row["v"]
+        slope, curve = values[:size] - RIDGE * model.weights, values[size:].reshape(size, size)
+        step = np.linalg.solve(curve + RIDGE * np.eye(size), slope)
+        model.weights = model.weights + step
+        if np.abs(step).max() < 1e-4:
+            break
+    model.weights = np.round(model.weights, 9)
+    raw = F.pandas_udf(lambda x: pd.Series(model.raw(_matrix(x))), T.DoubleType())
+    # between the scores of the ranks around the share
+    low, high = ((bad + side) / (good + bad) for side in (-0.5, 0.5))
+    found = _cells_at(train.select(F.lit(0).alias("k"), F.floor(raw("x") * GRID).alias("cell")), [low, high])
+    model.threshold = (found[0, low] + 1 + (found[0, high] - found[0, low]) * good / (good + bad)) / GRID
+    return model
 
 
 def scored(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
@@ -157,16 +211,17 @@ def scored(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = np.array([measures(t) for t in texts], float).reshape(len(texts), N_MEASURES)
-            yield pd.Series(shared.value.score(rows), dtype=float)
+        for rows in batches:
+            yield pd.Series(shared.value.score(_matrix(rows)), dtype=float)
 
-    return docs.withColumn("score", score(F.col(text)))
+    if "x" in docs.columns:
+        return docs.withColumn("score", score("x"))
+    return docs.withColumn("score", score(_measured(F.col(text))))
 
 
 @query("op3_pairwise_quality")
 def pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = pinned(measured(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     ranking = fitted(docs, read(spark, sf_dir, "labels"))
     return scored(docs, ranking).select(
         "doc_id",

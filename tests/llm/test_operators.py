@@ -410,3 +410,20 @@ def test_private_data_of_any_digits():
             assert set(spans) <= set(whole[kind])
     base, _ = private_data.spans_of("see 10.0.0.4² for it, or 10.0.0.4", field)
     assert base["ip"] == [(4, 12), (25, 33)]
+
+
+def test_ranking_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Whatever part of the rows shows the difference between the labels, the model knows it; so do rows dealt into parts."""
+    from pyspark.sql import Window, functions as F
+
+    monkeypatch.setattr(ranking, "PART", 3_000)
+    ids = spark.range(9_000)
+    order = F.row_number().over(Window.orderBy(F.xxhash64("id")))
+    placed = ids.withColumn("late", order > 7_700)
+    good = F.col("id") % 2 == 0
+    mark = F.when(F.col("late"), F.when(good, F.lit(" !!!!")).otherwise(F.lit(" ||||"))).otherwise(F.lit(""))
+    docs = placed.select(F.col("id").alias("doc_id"), F.concat(F.lit("some plain words here"), mark).alias("text"), "late", good.alias("good"))
+    labels = docs.select("doc_id", F.col("good").cast("int").alias("quality"))
+    got = ranking.scored(docs, ranking.fitted(docs, labels)).filter("late").groupBy("good").agg(F.min("score"), F.max("score")).collect()
+    bounds = {r[0]: (r[1], r[2]) for r in got}
+    assert bounds[True][0] > bounds[False][1]
