@@ -11,10 +11,11 @@ document fails if either
 distance is above its limit, or if the base rules fail: fewer than 50 words, or more than half of the words
 in repeated 3-word windows.
 
-Everything is worked out in the row: 3-word windows are hashed (xxhash64); hashes that repeat are found by
+Everything is worked out in the row: 3-word windows are hashed (xxhash64 of their words' hashes); hashes that repeat are found by
 sorting, and their windows by a look-up of the few repeated hashes or, where there are many, by sorting
-(hash, position). Classes are counted by taking one class after the other out of the text. Only counts of
-(language, word), combined before the shuffle, leave the tasks.
+(hash, position). Classes are counted by taking one class after the other out of the words. Only counts of
+(language, word), combined before the shuffle, and sums of characters leave the tasks; class sums of a language
+follow from its counts of words.
 References are broadcast while they are at most BROADCAST_LANGUAGES.
 
 A null or empty text has no words, fails the base rules and has null distances; null is a language of its
@@ -51,53 +52,60 @@ def _covered(positions: Column) -> Column:
     )
 
 
-CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", BLANKS, r"[\x00-\x7F]+")
+# Classes of the characters of words; all others are beyond ASCII. Blanks are what words leave of a text.
+CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[\x00-\x7F]+")
 
 
-def _without_classes(frame: DataFrame) -> DataFrame:
-    """Add ``_rest1`` .. ``_rest5``: the text less the first, the first two, ... classes."""
-    before = "_text"
+def _without_classes(frame: DataFrame, letters: str) -> DataFrame:
+    """Add ``_rest1`` .. ``_rest4``: the letters of words less the first, the first two, ... classes."""
+    before = letters
     for i, pattern in enumerate(CLASSES, 1):
         frame = frame.withColumn(f"_rest{i}", F.regexp_replace(before, pattern, ""))
         before = f"_rest{i}"
     return frame
 
 
-def _class_counts() -> list[Column]:
-    lengths = [F.length("_text"), *[F.length(f"_rest{i}") for i in range(1, len(CLASSES) + 1)]]
+def _class_counts(letters: str) -> list[Column]:
+    lengths = [F.length(letters), *[F.length(f"_rest{i}") for i in range(1, len(CLASSES) + 1)]]
     return [(lengths[i] - lengths[i + 1]).cast("long") for i in range(len(CLASSES))] + [lengths[-1].cast("long")]
 
 
+def _with_blanks(counts: list, blanks: Column) -> Column:
+    """Counts of all classes in their order: the blanks come fourth."""
+    return F.array(*counts[:3], blanks, *counts[3:])
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` packed in ``_row``, with the language ``_lang``, the base counts, ``_words`` and ``_classes``."""
     frame = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("lang").alias("_lang"), text_of().alias("_text")
     )
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    classes = _class_counts()
-    frame = _without_classes(frame).select(
+    # the words come first: their letters without the blanks between make long runs for the classes
+    frame = frame.withColumn("_words", words(F.col("_text"))).withColumn("_letters", F.array_join("_words", ""))
+    classes = _class_counts("_letters")
+    frame = _without_classes(frame, "_letters").select(
         "_row",
         "_lang",
-        words(F.col("_text")).alias("_words"),
-        F.array(*classes).alias("_classes"),
-        (F.length("_text") - classes[3]).cast("long").alias("word_chars"),
-        (F.length("_rest4") - F.length(F.regexp_replace("_rest4", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "_words",
+        _with_blanks(classes, (F.length("_text") - F.length("_letters")).cast("long")).alias("_classes"),
+        F.length("_letters").cast("long").alias("word_chars"),
+        (F.length("_rest3") - F.length(F.regexp_replace("_rest3", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
-    word = lambda i: F.get("_words", i)
-    hashes = F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))
-    )
+    n = F.size("_words")
     none = F.array().cast("array<int>")
-    frame = frame.withColumn("_hashes", F.when(F.size("_words") > 2, hashes).otherwise(F.array().cast("array<bigint>")))
-    frame = frame.withColumn("_sorted", F.sort_array("_hashes"))
+    nothing = F.array().cast("array<bigint>")
+    # a window's hash is chained from the hashes of its words: neighbours are paired, not looked up by place
+    frame = frame.withColumn("_ones", F.when(n > 2, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(nothing))
+    chain = lambda a, b: F.xxhash64(a, b)
+    pairs = F.zip_with(F.slice("_ones", F.lit(1), n - 2), F.slice("_ones", F.lit(2), n - 2), chain)
+    frame = frame.withColumn("_hashes", F.when(n > 2, F.zip_with(pairs, F.slice("_ones", F.lit(3), n - 2), chain)).otherwise(nothing))
+    frame = frame.withColumn("_sorted", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array("_hashes")))
     again = F.filter("_sorted", lambda h, k: F.coalesce(h == F.get("_sorted", k - 1), F.lit(False)))
-    repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
-    frame = frame.withColumn("_again", F.when(repeats, F.array_distinct(again)).otherwise(F.array().cast("array<bigint>")))
-    few = F.filter(
-        F.sequence(F.lit(0), F.size("_hashes") - 1), lambda i: F.array_contains("_again", F.get("_hashes", i))
-    )
-    placed = F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    frame = frame.withColumn("_again", F.when(F.col("_sorted").isNotNull(), F.array_distinct(again)).otherwise(nothing))
+    few = F.array_compact(F.transform("_hashes", lambda h, i: F.when(F.array_contains("_again", h), i)))
+    placed = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     frame = frame.withColumn("_placed", F.when(F.size("_again") > FEW, placed))
     same = lambda x, k: F.coalesce(x["h"] == F.get("_placed", k)["h"], F.lit(False))
     many = F.transform(F.filter("_placed", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])
@@ -137,13 +145,19 @@ def references(docs: DataFrame, common: int = COMMON, least: int = REFERENCE_WOR
         .groupBy("_lang")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), "_word"))).alias("_top"))
     )
-    totals = counts.groupBy("_lang").agg(F.sum("_n").alias("_all")).filter(F.col("_all") >= least)
-    sums = (
-        _without_classes(texts)
-        .select("_lang", *[c.alias(f"_c{i}") for i, c in enumerate(_class_counts())])
+    # every distinct word is taken apart once; blanks are the characters that belong to no word
+    totals = (
+        _without_classes(counts, "_word")
         .groupBy("_lang")
-        .agg(F.array(*[F.sum(f"_c{i}") for i in range(len(CLASSES) + 1)]).alias("_ref_classes"))
+        .agg(
+            F.sum("_n").alias("_all"),
+            F.sum(F.col("_n") * F.length("_word")).alias("_letters"),
+            *[F.sum(F.col("_n") * c).alias(f"_c{i}") for i, c in enumerate(_class_counts("_word"))],
+        )
+        .filter(F.col("_all") >= least)
     )
+    sums = texts.groupBy("_lang").agg(F.sum(F.length("_text")).alias("_chars"))
+    classes = [F.col(f"_c{i}") for i in range(len(CLASSES) + 1)]
     known = F.aggregate(F.transform("_top", lambda x: -x["m"]), F.lit(0).cast("long"), lambda a, b: a + b)
     keyed = [f.withColumnRenamed("_lang", f"_lang{i}") for i, f in enumerate((sums, top, totals))]
     return (
@@ -152,7 +166,7 @@ def references(docs: DataFrame, common: int = COMMON, least: int = REFERENCE_WOR
         .join(keyed[2], F.col("_lang0").eqNullSafe(F.col("_lang2")))
         .select(
             F.col("_lang0").alias("_ref_lang"),
-            "_ref_classes",
+            _with_blanks(classes, F.col("_chars") - F.col("_letters")).alias("_ref_classes"),
             F.transform("_top", lambda x: x["_word"]).alias("_ref_words"),
             F.concat(F.transform("_top", lambda x: -x["m"]), F.array(F.col("_all") - known)).alias("_ref_counts"),
         )

@@ -165,6 +165,20 @@ def test_long_words_count_in_the_word_test(spark):
     assert all(got[i]["word_distance"] < 0.3 for i in range(20))
 
 
+def test_reference_classes_follow_from_counts_of_words(spark):
+    """Only distinct words are taken apart for a language's class sums, not every text once more."""
+    texts = ["Ab1 é,\tab1\n" * 300, "  x#9 ", None, "", "\x0b\x0c Ab1 \u00a0z"]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    made = quality_rules.references(docs, least=3)
+    joined = "".join(t or "" for t in texts)
+    parts = [re.findall(p, joined) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[\x00-\x7F]", r"[^\x00-\x7F]")]
+    sums = [len(found) for found in parts]
+    sums[4] -= sum(sums[:4])
+    assert made.first()["_ref_classes"] == sums
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(_word#" in plan and "regexp_replace(coalesce(text#" not in plan
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
