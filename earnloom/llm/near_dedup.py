@@ -12,9 +12,11 @@ keys: a pair of similarity 0.8 misses all of 32 bands of 4 rows once in 20 milli
    tables). TURNS such turns, each on the buckets that still hold several components: a group of n copies
    gives a few times n pairs.
 3. What is left in buckets of several components gives all pairs across components, not tried before,
-   whose sizes fit and whose rarest shingles meet (without which no pair is similar enough); these are
-   confirmed too. So no candidate pair between different components stays open, and pairs inside a
-   component need no trial.
+   whose sizes fit, whose rarest shingles meet and whose bitmaps differ in few enough places (without which
+   no pair is similar enough); these are confirmed too. So no candidate pair between different components
+   stays open, and pairs inside a component need no trial. The join compares the cells of a bucket, so its
+   time can grow with the square of a group of copies that all miss the similarity; the rows it makes do not,
+   as long as the bitmaps tell the pairs apart.
 
 All steps are joins and groupings with combining before the shuffle. One row per bucket or hub is written
 to the shared folder before its members are joined to it: both sides of such a join are then plain
@@ -45,6 +47,8 @@ BANDS, ROWS = 32, 4
 TURNS = 3
 HELD = 500_000
 SLOTS = 1 << 17
+# Bits of a document's bitmap: a power of two of at least BITS for each of its shingles, within these limits.
+BITS, LEAST_BITS, MOST_BITS = 8, 512, 1 << 17
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -270,10 +274,36 @@ def _slot_counts(shingle: int):
     return run
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of shingles per slot, 64 to a long: every shingle that only one of two sets has
+    changes one bit, so bitmaps differ in at most as many places as their sets."""
+    size = min(max(LEAST_BITS, 1 << (BITS * len(hashes) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differences(a: Column, b: Column) -> Column:
+    """Number of places in which two bitmaps differ; of lengths one to two, the longer one is folded."""
+    short = F.least(F.size(a), F.size(b))
+
+    def folded(bits: Column) -> Column:
+        halves = F.zip_with(F.slice(bits, F.lit(1), short), F.slice(bits, short + 1, short), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > short, halves).otherwise(bits)
+
+    places = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(places, F.lit(0), lambda n, k: n + k)
+
+
+def _near(needed: int) -> Column:
+    """The bitmaps allow the similarity: sets of a and b members with d in only one of them have (a + b - d) / 2 in common."""
+    members = F.col("a_n") + F.col("b_n")
+    return (100 + needed) * _differences(F.col("a_bits"), F.col("b_bits")) <= (100 - needed) * members
+
+
 def _prefixes(shared, needed: int, shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rare, fewer = [], []
+            rare, fewer, bits = [], [], []
             for blob in batch.column("blob"):
                 hashes = shingle_hashes(zlib.decompress(blob.as_py()), shingle)
                 order = np.lexsort((hashes, shared.value[(hashes % np.uint64(SLOTS)).astype(np.int64)]))
@@ -281,16 +311,18 @@ def _prefixes(shared, needed: int, shingle: int):
                 length = n - -(-needed * n // 100) + 1
                 rare.append((hashes[order[:length]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 fewer.append(rare[-1][: n - -(-2 * needed * n // (100 + needed)) + 1])
+                bits.append(bitmap(hashes))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(rare, kind), pa.array(fewer, kind)], ["id", "rare", "fewer"]
+                [batch.column("id"), pa.array(rare, kind), pa.array(fewer, kind), pa.array(bits, pa.list_(pa.int64()))],
+                ["id", "rare", "fewer", "bits"],
             )
 
     return run
 
 
 def _with_rare(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -> DataFrame:
-    """Cells with the rarest shingles of their document: sets as similar as needed share one of them.
+    """Cells with the bitmap and the rarest shingles of their document: sets as similar as needed share one of these.
 
     Shingles are put in one order, by frequency and hash. Of the larger set its first n - ceil(t * n) + 1
     suffice (``rare``), of the smaller its first n - ceil(2 * t / (1 + t) * n) + 1 (``fewer``). The order
@@ -302,14 +334,15 @@ def _with_rare(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -
     for row in counted.collect():
         counts[row["slot"]] = row["n"]
     shared = placed.sparkSession.sparkContext.broadcast(counts)
-    return placed.join(texts.mapInArrow(_prefixes(shared, needed, shingle), "id long, rare array<int>, fewer array<int>"), "id")
+    kinds = "id long, rare array<int>, fewer array<int>, bits array<long>"
+    return placed.join(texts.mapInArrow(_prefixes(shared, needed, shingle), kinds), "id")
 
 
 def _pairs_across(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int) -> DataFrame:
-    """All pairs of cells of one bucket that are of different components and share a rare shingle."""
+    """All pairs of cells of one bucket that are of different components, share a rare shingle and have near bitmaps."""
     cells = pinned(_with_rare(placed, blobs, needed, shingle))
-    left = cells.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "component", "rare", "fewer")])
-    right = cells.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "component", "rare", "fewer")])
+    left = cells.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "component", "rare", "fewer", "bits")])
+    right = cells.select("bucket", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "component", "rare", "fewer", "bits")])
     return (
         left.join(
             right,
@@ -318,7 +351,8 @@ def _pairs_across(placed: DataFrame, blobs: DataFrame, needed: int, shingle: int
             & _fits(F.col("a_n"), F.col("b_n"), needed)
             & F.when(F.col("a_n") <= F.col("b_n"), F.arrays_overlap("a_fewer", "b_rare")).otherwise(
                 F.arrays_overlap("a_rare", "b_fewer")
-            ),
+            )
+            & _near(needed),
         )
         .select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
         .distinct()

@@ -106,6 +106,48 @@ def test_deduplicated_rows_of_null_and_repeated_ids(spark, odd):
     assert kept == Bag([None, 1, 4, 5, 6, 7, 8, 9])
 
 
+def test_pairs_that_miss_the_similarity_are_refuted_in_the_join(spark, monkeypatch):
+    """A group whose copies miss 0.8 among themselves: few of its pairs leave the join, and no link is lost."""
+    draw = random.Random(5)
+    words = lambda label, n: [f"{label}{draw.randrange(6)}" for _ in range(n)]
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for key in range(60):
+        copy = list(base)
+        for place in draw.sample(range(0, 160, 3), 16):
+            copy[place] = words("x", 1)[0]
+        rows.append((key, " ".join(copy)))
+    rows += [(100 + key, text + " more") for key, text in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, across = [], near_dedup._pairs_across
+
+    def counted(*given):
+        pairs = across(*given)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_pairs_across", counted)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == brute_components(rows)
+    assert len({c for _, c in found.values()}) > 50 and made[0] < 60
+
+
+def test_bitmaps_differ_in_no_more_places_than_sets(spark):
+    from pyspark.sql import functions as F
+
+    draw = np.random.default_rng(3)
+    rows, sizes = [], []
+    for n, changed in ((5, 1), (60, 9), (64, 0), (500, 60), (512, 20), (20_000, 900)):
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[changed:], draw.integers(0, 2**63, changed + 3).astype(np.uint64))))
+        rows.append((near_dedup.bitmap(a).tolist(), near_dedup.bitmap(b).tolist()))
+        sizes.append(len(np.setxor1d(a, b)))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<long>, b array<long>")
+    got = [r[0] for r in frame.orderBy("i").select(near_dedup._differences(F.col("a"), F.col("b"))).collect()]
+    assert any(len(a) != len(b) for a, b in rows)
+    assert all(0.8 * size <= n <= size for n, size in zip(got, sizes)), (got, sizes)
+
+
 def test_signature_comes_from_two_permutations():
     hashes = near_dedup.shingle_hashes(b"the quick brown fox jumps over the lazy dog")
     first = near_dedup._permute32((hashes >> 32).astype("uint32"))
