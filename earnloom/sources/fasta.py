@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import pinned
+
 # Lines of a piece: some 600 KB at 60 letters a line.
 CHUNK_LINES = 10_000
 
@@ -24,8 +26,9 @@ def read_fasta_chunks(spark: SparkSession, path: str, lines: int = CHUNK_LINES)
     """``source, record, header, chunk, sequence``: the sequence in pieces of at most ``lines`` lines.
 
     ``record`` and ``chunk`` count from 1 within a file and a record. Files are read by lines, so a record
-    of any length goes over as many file splits as it has, and no row holds more than a piece. Inside a split a
-    window numbers its headers; which record a split begins in, and how many pieces that record had before,
+    of any length goes over as many file splits as it has, and no row holds more than a piece. Inside a split
+    windows of one order number its headers and lines, so lines are shuffled and sorted once; the pieces are
+    written to the shared folder when this is called; which record a split begins in, and how many pieces that record had before,
     follows from one row per split by a running sum that starts again at each header. Lines before the first
     header of a file belong to no record and are left out, empty lines and blanks count for nothing; pieces end with a split too.
     """
@@ -35,23 +38,34 @@ def read_fasta_chunks(spark: SparkSession, path: str, lines: int = CHUNK_LINES)
         F.monotonically_increasing_id().alias("_at"),  # lines of a split are in order in one task
         F.regexp_replace("value", r"\s+$", "").alias("_line"),
     )
+    # one order for all: running numbers of headers and lines, and the header a line stands under
     inside = Window.partitionBy("source", "_split").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     head = F.col("_line").startswith(">")
-    numbered = raw.withColumn("_part", F.sum(head.cast("int")).over(inside))
-    part = Window.partitionBy("source", "_split", "_part").orderBy("_at")
-    body = (
-        numbered.withColumns({"_head": head, "_text": F.regexp_replace("_line", r"\s", "")})
+    numbered = (
+        raw.withColumns({"_head": head, "_text": F.regexp_replace("_line", r"\s", "")})
         .filter("_head OR _text <> ''")
-        .withColumn("_no", F.row_number().over(part) - F.when(F.col("_part") > 0, 1).otherwise(0))
+        .withColumns({
+            "_part": F.sum(F.col("_head").cast("int")).over(inside),
+            "_row": F.row_number().over(inside),
+            "_header": F.last(F.when(F.col("_head"), F.trim(F.substr("_line", F.lit(2)))), ignorenulls=True).over(inside),
+        })
+        .withColumn("_no", F.col("_row") - F.coalesce(F.max(F.when(F.col("_head"), F.col("_row"))).over(inside), F.lit(0)))
         .withColumn("_chunk", F.when(F.col("_head"), 0).otherwise(F.floor((F.col("_no") - 1) / lines) + 1).cast("long"))
     )
-    parts = body.groupBy("source", "_split", "_part").agg(
-        F.max("_chunk").alias("_chunks"), F.max(F.when(F.col("_head"), F.trim(F.substr("_line", F.lit(2))))).alias("_header")
+    # pieces, and a row of chunk 0 per header; written once, as the places of the splits are read from them too
+    pieces = pinned(
+        numbered.groupBy("source", "_split", "_part", "_chunk")
+        .agg(
+            F.max("_header").alias("_header"),
+            F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("_at", "_text")))).alias("_texts"),
+        )
+        .select("source", "_split", "_part", "_chunk", "_header", F.array_join("_texts._text", "").alias("sequence"))
     )
-    splits = parts.groupBy("source", "_split").agg(
+    place = F.struct("_part", "_chunk")
+    splits = pieces.groupBy("source", "_split").agg(
         F.max("_part").cast("long").alias("_heads"),
-        F.max_by("_chunks", "_part").alias("_tail"),
-        F.max_by("_header", "_part").alias("_last"),
+        F.max_by("_chunk", place).alias("_tail"),
+        F.max_by("_header", place).alias("_last"),
     )
     earlier = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     entered = F.col("_heads") > 0
@@ -64,20 +78,14 @@ def read_fasta_chunks(spark: SparkSession, path: str, lines: int = CHUNK_LINES)
         # pieces since the split in which the open record began
         (F.col("_sum") - F.coalesce(F.last(F.when(entered, F.col("_sum")), ignorenulls=True).over(earlier), F.lit(0))).alias("_before"),
     )
-    pieces = (
-        body.filter(~F.col("_head"))
-        .groupBy("source", "_split", "_part", "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_text"))).alias("_texts"))
-        .join(parts.select("source", "_split", "_part", "_header"), ["source", "_split", "_part"])
-        .join(carried, ["source", "_split"])
-    )
     first = F.col("_part") == 0
-    return pieces.select(
+    placed = pieces.filter("_chunk > 0").join(F.broadcast(carried), ["source", "_split"])  # a row per split
+    return placed.select(
         "source",
         (F.col("_records") + F.col("_part")).alias("record"),
         F.when(first, F.col("_open")).otherwise(F.col("_header")).alias("header"),
         (F.col("_chunk") + F.when(first, F.col("_before")).otherwise(0)).alias("chunk"),
-        F.array_join("_texts._text", "").alias("sequence"),
+        "sequence",
     ).filter("record > 0")
 
 

@@ -148,6 +148,15 @@ def test_fasta_records_over_several_splits(spark, tmp_path, split_bytes, lines):
     }
 
 
+def test_fasta_chunks_read_the_lines_once(spark, tmp_path):
+    """What is left after the call reads the pieces; lines are not read, shuffled and sorted again for the splits' places."""
+    (tmp_path / "one.fasta").write_text("".join(f">r{i}\nAC\n\nGT\n" for i in range(20)) + ">\n>last\nT\n")
+    made = fasta.read_fasta_chunks(spark, str(tmp_path), 1)
+    assert "] text" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r["record"], r["header"], r["chunk"], r["sequence"]) for r in made.collect())
+    assert rows == [(i + 1, f"r{i}", k, s) for i in range(20) for k, s in ((1, "AC"), (2, "GT"))] + [(22, "last", 1, "T")]
+
+
 def test_files(spark, tmp_path):
     source = str(tmp_path / "a.parquet")
     df = spark.createDataFrame([(1, "x;y"), (2, None)], "a int, b string")
