@@ -38,20 +38,27 @@ def _by_unit(unit: Column, values: dict, default=None) -> Column:
     chain = F.when(unit == names[0], F.lit(values[names[0]]))
     for name in names[1:]:
         chain = chain.when(unit == name, F.lit(values[name]))
-    return chain if default is None else chain.otherwise(F.lit(default))
+    return chain if default is None else chain.otherwise(_number(default))
 
 
 def known_unit(unit: Column) -> Column:
     """The unit; an unknown or missing one is an error."""
-    return F.when(unit.isin(*UNIT_DAYS), unit).otherwise(
-        F.raise_error(F.concat(F.lit("unknown time unit "), F.coalesce(unit, F.lit("null")))).cast("string")
-    )
+    return F.when(unit.isin(*UNIT_DAYS), unit).otherwise(unknown_unit(unit).cast("string"))
+
+
+def unknown_unit(unit: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("unknown time unit "), F.coalesce(unit, F.lit("null"))))
 
 
 def _counted(n) -> Column:
-    """0, 1 .. n-1; empty for n <= 0 (a plain sequence would count down)."""
+    """0, 1 .. n-1; empty for n <= 0 (a plain sequence would count down) and for no n."""
     n = _number(n).cast("int")
-    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: k < n)
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for a row; named inside a lambda it would be for every entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def month_end(date) -> Column:
@@ -92,17 +99,15 @@ def normalised_days(date, duration, clamp: str = "calendar") -> Column:
 
 def advance(date: Column, unit, calendar: bool = True, clamp: str = "calendar") -> Column:
     """Start of the next element, given the start and the unit of this one; an unknown or missing unit is an error."""
-    if isinstance(unit, Column):
-        unit = known_unit(unit)
-    elif unit not in UNIT_DAYS:
+    if not isinstance(unit, Column) and unit not in UNIT_DAYS:
         raise ValueError(f"unknown time unit {unit}")
     if not calendar:
-        return F.date_add(date, unit_days(unit))
+        return F.date_add(date, unit_days(known_unit(unit) if isinstance(unit, Column) else unit))
     if isinstance(unit, Column):
-        years = _by_unit(unit, {"YEAR": 12}, 0)
-        months = _by_unit(unit, {"MONTH": 1, "QUARTER": 3}, 0)
+        # a step of a year never lands on 29 February from day 30 or 31, so one step of months does for all units
+        months = _by_unit(unit, {"MONTH": 1, "QUARTER": 3, "YEAR": 12, "DAY": 0, "WEEK": 0}, unknown_unit(unit).cast("int"))
         days = _by_unit(unit, {"DAY": 1, "WEEK": 7}, 0)
-        return F.date_add(add_months_clamped(F.add_months(date, years), months, clamp), days)
+        return F.date_add(add_months_clamped(date, months, clamp), days)
     if unit in UNIT_MONTHS:
         return add_months_clamped(date, F.lit(UNIT_MONTHS[unit]), clamp if unit != "YEAR" else "calendar")
     return F.date_add(date, UNIT_DAYS[unit])
@@ -231,16 +236,21 @@ def period_ends(start, limit, unit: str) -> Column:
         n = F.floor((F.datediff(limit, start) + 1) / length)
         return F.transform(_counted(n), lambda k: F.date_add(start, (k + 1) * length - 1))
     step = UNIT_MONTHS[unit]
-    n = _steps_between(start, limit, unit)
-    plain = F.transform(_counted(n), lambda k: F.date_sub(F.add_months(start, (k + 1) * step), 1))
-    chained = F.aggregate(
-        _counted(n),
-        F.struct(start.alias("at"), F.array().cast("array<date>").alias("ends")),
-        lambda acc, k: F.struct(
-            F.add_months(acc["at"], step).alias("at"),
-            F.concat(acc["ends"], F.array(F.date_sub(F.add_months(acc["at"], step), 1))).alias("ends"),
-        ),
-        lambda acc: acc["ends"],
-    )
-    ends = F.when(F.dayofmonth(start) <= 28, plain).otherwise(chained)
-    return F.filter(ends, lambda d: d <= limit)
+
+    def listed(row: Column) -> Column:
+        start, limit = row["start"], row["limit"]
+        counted = _counted(_steps_between(start, limit, unit))
+        plain = F.transform(counted, lambda k: F.date_sub(F.add_months(start, (k + 1) * step), 1))
+        chained = F.aggregate(
+            counted,
+            F.struct(start.alias("at"), F.array().cast("array<date>").alias("ends")),
+            lambda acc, k: F.struct(
+                F.add_months(acc["at"], step).alias("at"),
+                F.concat(acc["ends"], F.array(F.date_sub(F.add_months(acc["at"], step), 1))).alias("ends"),
+            ),
+            lambda acc: acc["ends"],
+        )
+        ends = F.when(F.dayofmonth(start) <= 28, plain).otherwise(chained)
+        return F.filter(ends, lambda d: d <= limit)
+
+    return once(F.struct(start.alias("start"), limit.alias("limit")), listed)

@@ -47,13 +47,15 @@ def from_period(start: Column, ends: Column, to_end=True) -> Column:
     Ranges that would stop before they start (ends before the insured start) are left out.
     """
     label_end = to_end if isinstance(to_end, Column) else F.lit(bool(to_end))
-    before = F.concat(F.array(F.date_sub(start, 1)), ends)
 
     def build(last: Column, end: Column) -> Column:
         lo = F.date_add(last, 1)
         return _bucket(lo, end, F.when(label_end, end).otherwise(lo))
 
-    return F.filter(F.zip_with(before, ends, build), lambda b: b["lo"] <= b["hi"])
+    def ranges(ends: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.date_sub(start, 1)), ends), ends, build)
+
+    return F.filter(cal.once(ends, ranges), lambda b: b["lo"] <= b["hi"])
 
 
 PERIOD_SETS = {"F": "financial", "D": "development", "C": "combined"}
@@ -80,7 +82,7 @@ def period_set(letter: str, start: Column, first: Column, last: Column, developm
             return financial
         if letter == "D":
             return development
-        return cal.combined_dates(financial, development)
+        return F.sort_array(F.array_union(financial, development))  # no null among them
 
     if letter not in PERIOD_SETS:
         raise ValueError(f"unknown period set {letter!r}: use F, D or C")

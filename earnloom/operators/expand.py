@@ -33,19 +33,22 @@ def scheduled_elements(start: Column, calendar: Column | bool = True, clamp: str
 
         def length(name: str) -> Column:
             nominal = whole_days(e[name])
-            return either(cal.normalised_days(at, nominal, clamp), nominal)
-
-        row = F.struct(
-            e["ord"].alias("ord"),
-            e["unit"].alias("unit"),
-            at.alias("element_start"),
-            F.datediff(following, at).alias("element_days"),
-            e["up_front"].alias("up_front"),
-            length("up_front_days").alias("up_days"),
-            e["distribution"].alias("distribution"),
-            length("distribution_days").alias("dist_days"),
-        )
-        return F.struct(following.alias("at"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+            return either(cal.once(nominal, lambda days: cal.normalised_days(at, days, clamp)), nominal)
+
+        def added(following: Column) -> Column:
+            row = F.struct(
+                e["ord"].alias("ord"),
+                e["unit"].alias("unit"),
+                at.alias("element_start"),
+                F.datediff(following, at).alias("element_days"),
+                e["up_front"].alias("up_front"),
+                length("up_front_days").alias("up_days"),
+                e["distribution"].alias("distribution"),
+                length("distribution_days").alias("dist_days"),
+            )
+            return F.struct(following.alias("at"), F.array_append(acc["rows"], row).alias("rows"))
+
+        return cal.once(following, added)
 
     empty = F.struct(start.alias("at"), F.array().cast(SCHEDULE_TYPE).alias("rows"))
     return F.aggregate("elements", empty, add, lambda acc: acc["rows"])
@@ -365,6 +368,16 @@ def financial_cells(schedule: DataFrame, keys: Sequence[str], unit: str = "QUART
     return sum_cells(cells, keys)
 
 
+def _each_bucket(rows: DataFrame, buckets: str, into: str) -> DataFrame:
+    """A row per bucket of the array in place of the array; those touched are picked by a plain filter on the rows.
+
+    A filter on the array would be interpreted entry by entry; the rows are compiled. Outer: the plain form
+    would test the arrays beforehand and work them out twice for that.
+    """
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != buckets]
+    return rows.select(*rest, F.inline_outer(buckets).alias(f"{into}_lo", f"{into}_hi", f"{into}_label"))
+
+
 def bucket_cells(
     schedule: DataFrame,
     keys: Sequence[str],
@@ -378,25 +391,24 @@ def bucket_cells(
     """
     keys = list(keys)
     start = F.col("element_start")
-    touched = F.filter(incurred, lambda b: (b["hi"] >= start) & (b["lo"] <= F.date_add(start, F.col("_more"))))
     by_incurred = (
-        _rates(schedule, [*keys, incurred, exposure])
-        .select(*keys, exposure, "element_start", "_n", "_more", "_rate", "_nu", "_up_rate", F.explode(touched).alias("_inc"))
+        _each_bucket(_rates(schedule, [*keys, incurred, exposure]), incurred, "_inc")
+        .filter((F.col("_inc_hi") >= start) & (F.col("_inc_lo") <= F.date_add(start, F.col("_more"))))
         .select(
-            *keys, exposure, F.col("_inc.label").alias("incurred_bucket"), "element_start", "_n", "_rate", "_nu", "_up_rate",
-            F.greatest(F.datediff("_inc.lo", start), F.lit(0)).alias("_a"),
-            F.least(F.datediff("_inc.hi", start), F.col("_more")).alias("_b"),
+            *keys, exposure, F.col("_inc_label").alias("incurred_bucket"), "element_start", "_n", "_rate", "_nu", "_up_rate",
+            F.greatest(F.datediff("_inc_lo", start), F.lit(0)).alias("_a"),
+            F.least(F.datediff("_inc_hi", start), F.col("_more")).alias("_b"),
         )
     )
     first_day = F.date_add(start, F.col("_a"))
     last_day = F.date_add(start, F.greatest(F.col("_nu") - 1, F.col("_b") + F.col("_n").cast("int")))
-    reached = F.filter(exposure, lambda b: (b["hi"] >= first_day) & (b["lo"] <= last_day))
     cells = (
-        by_incurred.select(*keys, "incurred_bucket", *_CELL_FIELDS, F.explode(reached).alias("_exp"))
+        _each_bucket(by_incurred, exposure, "_exp")
+        .filter((F.col("_exp_hi") >= first_day) & (F.col("_exp_lo") <= last_day))
         .select(
-            *keys, "incurred_bucket", F.col("_exp.label").alias("exposure_bucket"), *_CELL_FIELDS,
-            F.datediff("_exp.lo", start).alias("_c"),
-            F.datediff("_exp.hi", start).alias("_d"),
+            *keys, "incurred_bucket", F.col("_exp_label").alias("exposure_bucket"), *_CELL_FIELDS,
+            F.datediff("_exp_lo", start).alias("_c"),
+            F.datediff("_exp_hi", start).alias("_d"),
         )
         .select(*keys, "incurred_bucket", "exposure_bucket", _cell_value().alias("value"))
     )

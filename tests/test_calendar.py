@@ -105,3 +105,31 @@ def test_financial_development_combined(spark):
     assert value(spark, development)[-1] == D(2025, 11, 1)
     both = value(spark, cal.combined_dates(financial, development))
     assert both == sorted(set(both)) and len(both) == 14
+
+
+def test_limits_of_period_ends_are_worked_out_once_a_row(spark):
+    """Start and limit stand outside the lambdas; inside one they are worked out for every entry."""
+    found = spark.range(1).select(
+        cal.period_ends(F.make_date(F.col("id").cast("int") + 2020, F.lit(1), F.lit(31)), cal.year_end(F.lit(D(2021, 5, 5))), "QUARTER").alias("ends")
+    )
+    assert found._jdf.queryExecution().analyzed().toString().count("make_date") == 1
+    assert found.first()["ends"] == dates(
+        "2020-04-29", "2020-07-29", "2020-10-29", "2021-01-29", "2021-04-29", "2021-07-29", "2021-10-29"
+    )
+    none = spark.range(1).select(
+        cal.period_ends(day("2023-05-01"), day("2023-05-02"), "YEAR").alias("short"),
+        cal.period_ends(day("2023-05-01"), F.lit(None).cast("date"), "QUARTER").alias("open"),
+    ).first()
+    assert none["short"] == [] and none["open"] == []
+
+
+def test_one_month_step_for_all_units(spark):
+    starts = [D(2024, 1, 31), D(2024, 2, 29), D(2023, 11, 30), D(2023, 1, 29)]
+    rows = [(s, u) for s in starts for u in cal.UNIT_DAYS]
+    df = spark.createDataFrame(rows, "d date, u string")
+    for clamp in cal.CLAMPS:
+        chain = F.lit(None).cast("date")
+        for unit in cal.UNIT_DAYS:
+            chain = F.when(F.col("u") == unit, cal.advance(F.col("d"), unit, True, clamp)).otherwise(chain)
+        moved = df.select(cal.advance(F.col("d"), F.col("u"), True, clamp).alias("a"), chain.alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in moved)

@@ -522,3 +522,22 @@ def test_linear_cells_add_up_the_days_in_closed_form(spark):
     assert all(abs(got[key] - want[key]) < 1e-11 for key in got)
     plan = cells._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 2
+
+
+def test_bucket_matching_is_compiled(spark):
+    """Touched buckets are rows behind a plain filter, not arrays filtered by a lambda for every element."""
+    cases = random_patterns(3, 4)
+    ends = buckets.from_ends(F.array(F.lit(D(2024, 3, 15)), F.lit(None).cast("date"), F.lit(D(2025, 1, 10))))
+    frame = instance_frame(spark, cases).select(
+        "k", expand.scheduled_elements(F.col("start_date")).alias("s"), ends.alias("incurred_buckets"), ends.alias("exposure_buckets")
+    ).select("k", "incurred_buckets", "exposure_buckets", F.inline("s")).localCheckpoint()
+    assert "lambda" not in expand.bucket_cells(frame, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    without = frame.withColumn("exposure_buckets", F.lit(None).cast(frame.schema["exposure_buckets"].dataType))
+    assert expand.bucket_cells(without, ["k"]).count() == 0
+
+
+def test_ends_of_a_period_set_are_worked_out_once(spark):
+    ends = F.array(F.make_date(F.col("id").cast("int") + 2024, F.lit(3), F.lit(31)), F.lit(D(2024, 6, 30)))
+    df = spark.range(1).select(buckets.from_period(F.lit(D(2024, 2, 10)), ends).alias("b"))
+    assert df._jdf.queryExecution().analyzed().toString().count("make_date") == 1
+    assert [(b["lo"], b["hi"]) for b in df.first()["b"]] == [(D(2024, 2, 10), D(2024, 3, 31)), (D(2024, 4, 1), D(2024, 6, 30))]
