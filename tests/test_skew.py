@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from earnloom.operators.joins import hot_keys, lookup_join, running_sum, spread_rows, with_key_totals
+from earnloom.operators.joins import hot_keys, lookup_join, pairing_join, running_sum, spread_rows, with_key_totals
 from workload import block_queries, pattern_queries
 
 
@@ -32,6 +32,38 @@ def test_a_key_with_nine_tenths_of_the_rows_goes_over_many_tasks(spark):
     assert [tuple(r) for r in parts] == [(-1, 18)]
 
 
+def test_pairing_join_equals_the_plain_left_join(spark):
+    # key 0 is on most rows of both sides, key 1 often on the left without a match, some keys are null or met once
+    key = F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 3 == 0, 1).when(F.col("id") % 7 != 0, F.col("id") % 20).cast("int")
+    left = spark.range(600).select("id", key.alias("k"), F.create_map(F.lit("a"), F.col("id")).alias("m")).unionByName(
+        spark.range(3).select(F.lit(-1).cast("long").alias("id"), F.lit(0).alias("k"), F.create_map(F.lit("a"), F.lit(0).cast("long")).alias("m"))
+    )
+    right = spark.range(300).select(
+        F.when(F.col("id") % 2 == 0, 0).when(F.col("id") % 11 != 0, F.col("id") % 10 + 2).cast("int").alias("k"),
+        F.when(F.col("id") % 6 != 0, F.col("id") % 140).alias("w"),
+    )
+    plain = sorted(map(str, left.join(right, ["k"], "left").select("id", "k", "m", "w").collect()))
+    for rows in (1, 3, 16, 1024):
+        paired = pairing_join(left, right, ["k"], rows)
+        assert paired.columns == ["id", "k", "m", "w"]
+        assert sorted(map(str, paired.collect())) == plain
+
+
+def test_a_map_that_repeats_a_value_deals_its_pairs_out(spark, tmp_path):
+    from earnloom.operators.steps import map_values
+    from earnloom.plans.mapping import MappingRun
+
+    path = str(tmp_path / "map.parquet")
+    spark.range(9_000).select((F.col("id") % 3).alias("from"), F.concat(F.lit("n"), F.col("id")).alias("to")).write.parquet(path)
+    rows = spark.range(3_000).select("id", (F.col("id") % 4).alias("k")).coalesce(1)
+    mapped = map_values(rows, {"columns": ["k"], "mapping_file": path}, MappingRun(spark, {}, environment={}))
+    tasks = [r["count"] for r in mapped.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 3 * 750 * 3_000 + 750
+    assert len(tasks) >= 4 and max(tasks) < sum(tasks) / 2
+    assert mapped.distinct().count() == sum(tasks)
+    assert mapped.filter("k = '3'").count() == 750
+
+
 def test_coverages_of_one_pair_and_the_scans_they_take(spark):
     from earnloom.operators.coverage import CoveragePatterns
 
