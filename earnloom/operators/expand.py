@@ -82,6 +82,8 @@ def merged_elements(
     start: str = "element_start",
     lengths: Sequence[str] = ("element_days", "up_days", "dist_days"),
     significant_only: bool = False,
+    together: bool = False,
+    count: int = 0,
 ) -> DataFrame:
     """Elements of the same keys, start and lengths as one: their shares add up, ``merged`` is their number.
 
@@ -92,7 +94,10 @@ def merged_elements(
     element, and ``edges_shown`` tells whether half a daily weight still counts (see ``daily_factors``).
 
     The rows come spread for expansion. With keys they lie by key and quarter of the start: what a task expands
-    meets in few sums there, and a key with most rows goes over as many parts as it has quarters.
+    meets in few sums there, and a key with most rows goes over as many parts as it has quarters. With ``together``
+    the merged elements of a key go on to one task, so that its daily sums need no other shuffle: at most as many
+    as there are days and lengths, however many rows the key has. ``count``, the number of rows, makes
+    the tasks more as the rows do.
     """
     keys, shape = list(keys), [start, *lengths]
     if significant_only:
@@ -108,14 +113,18 @@ def merged_elements(
         )
         shape.append("edges_shown")
     if keys:
-        rows = spread_rows(rows.select("*", F.trunc(start, "QUARTER").alias("_quarter")), [*keys, "_quarter"])
+        rows = spread_rows(rows.select("*", F.trunc(start, "QUARTER").alias("_quarter")), [*keys, "_quarter"], count)
         shape.append("_quarter")
     merged = rows.groupBy(*keys, *shape).agg(
         F.sum("up_front").alias("up_front"),
         F.sum("distribution").alias("distribution"),
         F.count(F.lit(1)).alias("merged"),
     )
-    return merged.drop("_quarter") if keys else spread_rows(merged, shape)
+    if not keys:
+        return spread_rows(merged, shape)
+    merged = merged.drop("_quarter")
+    # sorted, the sums of a key stay close to each other while its days are added up
+    return spread_rows(merged, keys, count).sortWithinPartitions(*keys) if together else merged
 
 
 # --- daily factors -------------------------------------------------------------------------------

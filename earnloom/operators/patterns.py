@@ -7,8 +7,9 @@ row carries its elements as an array of that struct in ``elements``, ordered by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import HOT_ROWS, lookup_join, with_key_totals
 
@@ -192,13 +193,21 @@ def apply_ultimates(df: DataFrame, ultimates, value: str = "value") -> DataFrame
     )
 
 
-def normalise(df: DataFrame, keys: Sequence[str], position: str, value: str = "value") -> DataFrame:
-    """Divide by the key's total; a total of about zero is an error.
+def normalise(
+    df: DataFrame, keys: Sequence[str], position: str, value: str = "value", together: bool = False
+) -> DataFrame:
+    """Divide by the key's total; a total of about zero is an error. Rows without a key drop out, those
+    without a position count in the total and drop out.
 
     ``position`` is a date or integer column; the total comes back to the rows per (key, block of positions),
-    so no task has to hold all factors of a pattern.
+    so no task has to hold all factors of a pattern. That works the rows out twice. With ``together`` the rows of a
+    key are few (one per day) and lie in one task already: the total is a window there, without a shuffle.
     """
-    summed = with_key_totals(df, keys, position, {"_total": (F.sum, F.col(value))})
+    if together:
+        placed = df.filter(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+        summed = placed.withColumn("_total", F.sum(value).over(Window.partitionBy(*keys))).filter(F.col(position).isNotNull())
+    else:
+        summed = with_key_totals(df, keys, position, {"_total": (F.sum, F.col(value))})
     safe = F.when(
         F.abs(F.col("_total")) < ZERO, F.raise_error(F.lit("the factors of a pattern add up to zero")).cast("double")
     ).otherwise(F.col("_total"))

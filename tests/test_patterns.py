@@ -254,6 +254,53 @@ def test_merged_elements_give_the_same_daily_sums(spark):
         expand.daily_factors(shown, by, linear=True, significant_only=True)
 
 
+def test_elements_of_a_key_that_lie_together(spark):
+    rows = [(k, START + dt.timedelta(days=40 * i % 400), 1, "WEEK", 0.1 * i, 7, 0.2, 5 + i % 3) for k in (*"abcde", None) for i in range(12)]
+    names = ["ord", "unit", "up_front", "up_front_days", "distribution", "distribution_days"]
+    lines = spark.createDataFrame(
+        rows + rows, "k string, start_date date, ord int, unit string, up_front double, up_front_days int, distribution double, distribution_days int"
+    )
+    lengths = ["ord", "unit", "up_front_days", "distribution_days"]
+    apart, together = (
+        expand.merged_elements(lines, ["k"], "start_date", lengths, together=t, count=120 if t else 0) for t in (False, True)
+    )
+    assert apart.columns == together.columns
+    assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    tasks = together.select("k", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.count() == tasks.select("k").distinct().count() == 6
+
+    def per_day(merged):
+        schedule = expand.element_schedule(merged.select("*", F.array(F.struct(*names)).alias("elements")), ["k"])
+        return expand.daily_factors(schedule, ["k"]).groupBy("k", "exposed_date").agg(F.sum("value").alias("value"))
+
+    def listed(df):
+        return {(r["k"], r["exposed_date"]): pytest.approx(r["value"], rel=1e-9) for r in df.collect()}
+
+    want = listed(patterns.normalise(per_day(apart), ["k"], "exposed_date"))
+    assert {k for k, _ in want} == set("abcde")
+    assert listed(patterns.normalise(per_day(together), ["k"], "exposed_date", together=True)) == want
+
+
+def test_normalise_of_rows_that_lie_together(spark):
+    values = [(1, 1, 1.0), (1, 9000, 3.0), (1, 2, None), (1, None, 7.0), (2, 1, 5.0), (2, 1, 5.0), (None, 1, 5.0), (3, 1, None)]
+    df = spark.createDataFrame(values, "k int, day int, value double")
+    want = sorted(map(str, patterns.normalise(df, ["k"], "day").collect()))
+    got = patterns.normalise(df, ["k"], "day", together=True)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == want and len(want) == 6
+    zero = spark.createDataFrame([(1, 1, 1.0), (1, 2, -1.0)], "k int, day int, value double")
+    with pytest.raises(Exception, match="add up to zero"):
+        patterns.normalise(zero, ["k"], "day", together=True).collect()
+
+
+def test_normalised_factors_work_the_days_out_once_and_shuffle_none(spark):
+    from workload import pattern_queries
+
+    plan = pattern_queries.e11(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line]
+    assert shuffles and not any("exposed_date" in line or "Broadcast" in line for line in shuffles)
+    assert sum("Generate explode(sequence" in line for line in plan.splitlines()) == 3  # up-front days, element days, their days
+
+
 def test_daily_factors_equal_loops(spark):
     cases = random_patterns(11, 6)
     schedule = expand.element_schedule(instance_frame(spark, cases), ["k"], calendar=False)
